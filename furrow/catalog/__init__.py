@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["ingest", "scalars", "joins"]
+AREAS = ["ingest", "scalars", "joins", "aggregates", "windows", "forecasts"]
 
 
 def _load() -> None:

@@ -167,7 +167,7 @@ def attributions(spark, sf):
     old as (select sample + 1 as sample, feature, importance as old from imp
             where feature not like 'dim%')
     select i.sample, i.feature, {qs('importance', 8)} as importance,
-      {qs('importance - coalesce(old, 0)')} as delta
+      {qs('importance - coalesce(old, 0)', 6)} as delta
     from imp i left join old o on o.sample = i.sample and o.feature = i.feature""")
 def importance_delta(spark, sf):
     imp = attributions(spark, sf).groupBy("sample", "feature").agg(
@@ -176,7 +176,7 @@ def importance_delta(spark, sf):
     old = imp.filter(~F.col("feature").startswith("dim")).withColumn("sample", F.col("sample") + 1)
     out = joins.importance_delta(imp, old, ["sample"])
     return out.select(
-        "sample", "feature", q("importance", 8).alias("importance"), q("delta").alias("delta")
+        "sample", "feature", q("importance", 8).alias("importance"), q("delta", 6).alias("delta")
     )
 
 

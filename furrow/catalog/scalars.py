@@ -194,9 +194,8 @@ def temp_shape(spark, sf):
     select crop, mandi, date, case when n = 10 and s < 1.0 then 1 else 0 end as drought_flag from r""")
 def drought_flag(spark, sf):
     rolled = windows.rain_roll(table(spark, sf, "daily_prices"))
-    # two-decimal inputs: rounding away float noise keeps the threshold exact
     return rolled.select(
-        *KEYS, numbers.drought_flag(q("rainfall_roll_10d", 6)).alias("drought_flag")
+        *KEYS, numbers.drought_flag(F.col("rainfall_roll_10d")).alias("drought_flag")
     )
 
 

@@ -57,7 +57,11 @@ def futures_signal(futures: Column, spot: Column) -> Column:
 
 
 def drought_flag(rain_sum: Column) -> Column:
-    return F.coalesce((rain_sum < K.DROUGHT_MM).cast("int"), F.lit(0))
+    """1 below the drought threshold, 0 otherwise or when unknown.
+
+    Rounding first keeps float noise in the sum (ten times 0.1) off the edge.
+    """
+    return F.coalesce((F.round(rain_sum, 6) < K.DROUGHT_MM).cast("int"), F.lit(0))
 
 
 def change_pct(current: Column, previous: Column) -> Column:
