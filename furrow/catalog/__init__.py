@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["ingest", "scalars", "joins", "aggregates", "windows", "forecasts"]
+AREAS = ["ingest", "scalars", "joins", "aggregates", "windows", "forecasts", "streams"]
 
 
 def _load() -> None:

@@ -9,7 +9,6 @@ from furrow.catalog.aggregates import KS, TAIL90, SCORES
 from furrow.catalog.joins import ATTR, attributions
 from furrow.catalog.registry import newest_ship, q, qs, query, rounded
 from furrow.operators import aggregates as A, drift, joins
-from furrow.operators.features import engineer_features
 from furrow.plans import backtest as B, forecast as P, learn
 from furrow.session import shared_folder
 from furrow.sources import sinks
@@ -196,7 +195,7 @@ def backtest(spark, sf):
 
 
 def features(spark, sf):
-    return engineer_features(prices(spark, sf), table(spark, sf, "announcements"))
+    return learn.stored_features(prices(spark, sf), table(spark, sf, "announcements"))
 
 
 @query("regress_forecast")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from furrow import constants as K
+from furrow.functions.arrays import bind
 from furrow.functions.numbers import lookup
 
 
@@ -62,11 +63,6 @@ def tokens(body: Column) -> Column:
     return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, r"\s+"))
 
 
-def _bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def classify(body: Column) -> Column:
     """Struct (command, crop, mandi, lang) of a chat message."""
 
@@ -110,10 +106,10 @@ def classify(body: Column) -> Column:
             a["lang"].alias("lang"),
         )
 
-    parsed = _bind(
+    parsed = bind(
         tokens(body), lambda w: F.struct(w.alias("words"), kind_of(w).alias("kind"))
     )
-    return _bind(_bind(parsed, arguments), outcome)
+    return bind(bind(parsed, arguments), outcome)
 
 
 def title_case(value: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from furrow import constants as K
 from furrow.functions.dates import between_days
@@ -84,6 +85,6 @@ def exact_ks_p(n1: int, n2: int, d: float) -> float:
     return float(min(1.0, max(0.0, 1.0 - row[n])))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _exact_p(n1: pd.Series, n2: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([exact_ks_p(a, b, c) for a, b, c in zip(n1, n2, d)])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from furrow import constants as K
-from furrow.functions import numbers
+from furrow.functions import arrays as A, numbers
 from furrow.operators.series import SERIES, as_of_column
 
 TAIL = 90
@@ -33,33 +33,6 @@ def last_known(prices: DataFrame) -> DataFrame:
     return last.select(*SERIES, F.coalesce("_p", fallback).alias("current_price"))
 
 
-def _line(values: Column, first: Column) -> Column:
-    """Least-squares (slope, intercept) of an array at x = first, first+1, ..."""
-    n = F.size(values)
-    mean_x = first + (n - 1) / F.lit(2.0)
-    mean_y = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
-    spread = F.aggregate(
-        F.transform(values, lambda v, i: (first + i - mean_x) * (v - mean_y)),
-        F.lit(0.0), lambda a, v: a + v,
-    )
-    square = F.aggregate(
-        F.transform(values, lambda v, i: (first + i - mean_x) * (first + i - mean_x)),
-        F.lit(0.0), lambda a, v: a + v,
-    )
-    slope = F.coalesce(F.try_divide(spread, square), F.lit(0.0))
-    return F.struct(slope.alias("slope"), (mean_y - slope * mean_x).alias("intercept"))
-
-
-def _on_line(line: Column, start: Column, stop: Column) -> Column:
-    """Line values at start..stop, empty when the range is."""
-    return F.when(stop < start, F.array().cast("array<double>")).otherwise(
-        F.transform(
-            F.sequence(start, F.greatest(start, stop)),
-            lambda i: line["slope"] * i + line["intercept"],
-        )
-    )
-
-
 def tails(prices: DataFrame, n: int = TAIL) -> DataFrame:
     """Per series: ``y`` (last known prices, oldest first) and their count.
 
@@ -88,11 +61,11 @@ def decompose(tail: DataFrame) -> DataFrame:
     Series under 14 points get empty arrays.
     """
     long_enough = F.col("n") >= MIN_POINTS
-    empty = F.array().cast("array<double>")
+    empty = A.empty()
     y, n, period, half = F.col("y"), F.col("n"), F.col("period"), F.col("_half")
 
     def moving(i: Column) -> Column:
-        around = F.aggregate(F.slice(y, i - half + 1, 2 * half + 1), F.lit(0.0), lambda a, v: a + v)
+        around = A.total(F.slice(y, i - half + 1, 2 * half + 1))
         ends = F.get(y, i - half) + F.get(y, i + half)
         return (around - F.when(period % 2 == 0, ends * 0.5).otherwise(0.0)) / period
 
@@ -108,10 +81,10 @@ def decompose(tail: DataFrame) -> DataFrame:
     mid = F.col("_mid")
     df = df.withColumns(
         {
-            "_head": F.when(long_enough, _line(F.slice(mid, 1, head_points), half)),
+            "_head": F.when(long_enough, A.fit_line(F.slice(mid, 1, head_points), half)),
             "_tail": F.when(
                 long_enough,
-                _line(F.slice(mid, back_first - half + 1, last - back_first), back_first),
+                A.fit_line(F.slice(mid, back_first - half + 1, last - back_first), back_first),
             ),
         }
     )
@@ -120,9 +93,9 @@ def decompose(tail: DataFrame) -> DataFrame:
         F.when(
             long_enough,
             F.concat(
-                _on_line(F.col("_head"), F.lit(0), half - 1),
+                A.line_values(F.col("_head"), F.lit(0), half),
                 mid,
-                _on_line(F.col("_tail"), last + 1, n - 1),
+                A.line_values(F.col("_tail"), last + 1, half),
             ),
         ).otherwise(empty),
     )
@@ -130,36 +103,29 @@ def decompose(tail: DataFrame) -> DataFrame:
 
     def phase_mean(p: Column) -> Column:
         same = F.filter("_detrended", lambda v, i: i % period == p)
-        return F.aggregate(same, F.lit(0.0), lambda a, v: a + v) / F.size(same)
+        return A.total(same) / F.size(same)
 
     df = df.withColumn(
         "_phases",
         F.when(long_enough, F.transform(F.sequence(F.lit(0), period - 1), phase_mean)).otherwise(empty),
     )
-    centre = F.aggregate("_phases", F.lit(0.0), lambda a, v: a + v) / period
+    centre = A.total(F.col("_phases")) / period
     return df.withColumn("seasonal", F.transform("_phases", lambda v: v - centre)).drop(
         "_half", "_mid", "_head", "_tail", "_detrended", "_phases"
     )
 
 
 def seasonal_profile(prices: DataFrame) -> DataFrame:
-    """Long rows (series, phase, seasonal) of the last 90 prices."""
-    return decompose(tails(prices)).select(
-        *SERIES, "period", F.posexplode("seasonal").alias("phase", "seasonal")
+    """Long rows (series, period, phase, seasonal) of the last 90 prices."""
+    # an outer explode: the inner one infers filters on its input, and pushing
+    # them down would repeat the whole decomposition inside the filter
+    return (
+        decompose(tails(prices))
+        .select(*SERIES, "period", F.posexplode_outer("seasonal").alias("phase", "seasonal"))
+        .filter(F.col("phase").isNotNull())
     )
 
 
-def _volatility(y: Column, n: Column) -> Column:
-    """Sample spread of the steps; 3 % of the mean when zero."""
-    steps = F.zip_with(F.slice(y, 2, n - 1), F.slice(y, 1, n - 1), lambda b, a: b - a)
-    m = n - 1
-    mean = F.aggregate(steps, F.lit(0.0), lambda a, v: a + v) / m
-    square = F.aggregate(steps, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
-    spread = F.sqrt(square / (m - 1))
-    level = F.aggregate(y, F.lit(0.0), lambda a, v: a + v) / n
-    return F.when(spread == 0, level * 0.03).otherwise(spread)
-
-
 def baseline_forecast(
     prices: DataFrame, horizon: int = 30, as_of=None, aligned: bool = False, digits: int | None = 2
 ) -> DataFrame:
@@ -173,8 +139,8 @@ def baseline_forecast(
     y, n, i = F.col("y"), F.col("n"), F.col("step")
     model = (
         decompose(tails(prices))
-        .withColumn("_line", F.when(n >= MIN_POINTS, _line(y, F.lit(0))))
-        .withColumn("_vol", F.when(n >= MIN_POINTS, _volatility(y, n)))
+        .withColumn("_line", F.when(n >= MIN_POINTS, A.fit_line(y, F.lit(0))))
+        .withColumn("_vol", F.when(n >= MIN_POINTS, A.step_spread(y, n)))
         .withColumn("_last", F.coalesce(F.try_element_at(y, F.lit(-1)), F.lit(K.DEFAULT_PRICE)))
         .drop("trend", "y")
     )

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from furrow import constants as K
 from furrow.operators import aggregates as A
+from furrow.operators.features import engineer_features
 from furrow.operators.joins import label_features
 from furrow.operators.series import SERIES, in_order
 from furrow.operators.splits import split_ts_folds, with_position
+from furrow.session import materialise
+
+
+def stored_features(prices: DataFrame, announcements: DataFrame | None = None) -> DataFrame:
+    """The feature matrix written once to the shared folder."""
+    return materialise(engineer_features(prices, announcements))
 
 
 def direct_targets(features: DataFrame, horizon: int) -> DataFrame:
@@ -31,6 +40,12 @@ def fit_linear(training: DataFrame) -> LinearRegressionModel:
     ).fit(training)
 
 
+def linear_score(model: LinearRegressionModel) -> Column:
+    """The model as plain column arithmetic: compiled, no vector row in between."""
+    terms = [F.col(n) * float(c) for n, c in zip(K.FEATURE_NAMES, model.coefficients)]
+    return reduce(lambda a, b: a + b, terms, F.lit(float(model.intercept)))
+
+
 def regress_forecast(
     features: DataFrame, horizon: int, train_share: float = 0.8, fit_crops: list[str] | None = None,
     score_crops: list[str] | None = None,
@@ -39,6 +54,8 @@ def regress_forecast(
 
     The earliest ``train_share`` of each series trains; scored rows come after.
     ``fit_crops``/``score_crops`` fit on data-rich crops and score others.
+    ``features`` should be a stored table (``stored_features``): fitting and
+    scoring are separate jobs that each read it.
     """
     rows = with_position(direct_targets(features, horizon).filter(F.col("label").isNotNull()))
     ready = assemble(rows)
@@ -51,8 +68,8 @@ def regress_forecast(
     if score_crops is not None:
         test = test.filter(F.col("crop").isin(score_crops))
     model = fit_linear(train)
-    scored = model.transform(test).select(
-        *SERIES, "date", F.col("label").alias("actual"), F.col("prediction").alias("predicted"),
+    scored = test.select(
+        *SERIES, "date", F.col("label").alias("actual"), linear_score(model).alias("predicted")
     )
     return model, A.residual_interval(scored, SERIES)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str = "local[8]", shuffle_partitions: int = 8) -> SparkSession:
@@ -34,3 +34,14 @@ def shared_folder(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="furrow-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/furrow/{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a result once to the shared folder and go on from the files.
+
+    Cuts the lineage of inputs that several jobs read (model fitting); the
+    files survive the loss of any executor.
+    """
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
