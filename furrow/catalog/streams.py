@@ -81,7 +81,7 @@ def session_state(spark, sf):
 
     said = spark.sql(TABLES["messages"], conversations=stream(spark, sf, "conversations"))
     sessions = jobs.session_state(said.select("sender", "body", F.col("turn").alias("seq")))
-    return jobs.run_available(sessions, shared_folder(spark))
+    return jobs.run_until_idle(sessions, shared_folder(spark))
 
 
 @query("stream_metrics", "ops_events", sql=f"""

@@ -1,12 +1,13 @@
 """Live jobs on Structured Streaming.
 
 All sources are file streams with an explicit schema; every job can be run to
-completion with ``run_available`` (``availableNow``) or left running with a
+completion (``run_available``, ``run_until_idle``) or left running with a
 processing-time trigger.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -54,6 +55,35 @@ def run_available(stream: DataFrame, folder: str, timeout: int = 600) -> DataFra
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def run_until_idle(stream: DataFrame, folder: str, timeout: int = 600) -> DataFrame:
+    """As ``run_available``, for state that expires by processing time.
+
+    Such a query keeps running empty batches to expire state, so it never ends
+    by itself; it is stopped after the first batch without input.
+    """
+    spark = stream.sparkSession
+    query = (
+        stream.writeStream.format("parquet")
+        .option("path", f"{folder}/out")
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .outputMode("append")
+        .start()
+    )
+    deadline = time.monotonic() + timeout
+    while True:
+        if query.exception() is not None:
+            raise query.exception()
+        last = query.lastProgress
+        if last is not None and last["batchId"] > 0 and last["numInputRows"] == 0:
+            break
+        if time.monotonic() > deadline:
+            query.stop()
+            raise TimeoutError("stream did not drain in time")
+        time.sleep(0.2)
+    query.stop()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
 def _finish(query, timeout: int) -> None:
     if not query.awaitTermination(timeout):
         query.stop()
