@@ -126,44 +126,58 @@ def seasonal_profile(prices: DataFrame) -> DataFrame:
     )
 
 
-def baseline_forecast(
-    prices: DataFrame, horizon: int = 30, as_of=None, aligned: bool = False, digits: int | None = 2
-) -> DataFrame:
-    """Trend plus season for ``horizon`` days after ``as_of``, every series.
-
-    Under 14 known prices the forecast is flat at the last price with a 5 %
-    band.  By default the phase counts from the series start and wraps at its
-    length, and the trend continues one position late; ``aligned=True`` puts
-    both on the day after the last observation.
-    """
-    y, n, i = F.col("y"), F.col("n"), F.col("step")
-    model = (
-        decompose(tails(prices))
+def fit_tails(tail: DataFrame) -> DataFrame:
+    """Add trend line, step spread, seasonal profile and last price to rows
+    with an array ``y`` of ``n`` prices; the array itself is dropped."""
+    y, n = F.col("y"), F.col("n")
+    return (
+        decompose(tail)
         .withColumn("_line", F.when(n >= MIN_POINTS, A.fit_line(y, F.lit(0))))
         .withColumn("_vol", F.when(n >= MIN_POINTS, A.step_spread(y, n)))
-        .withColumn("_last", F.coalesce(F.try_element_at(y, F.lit(-1)), F.lit(K.DEFAULT_PRICE)))
+        .withColumn("_last", F.try_element_at(y, F.lit(-1)))
         .drop("trend", "y")
     )
-    days = model.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn(
-        "date", F.date_add(as_of_column(prices, as_of), i)
-    )
-    position = n - 1 + i if aligned else n + i
-    phase = position % F.col("period") if aligned else (position % n) % F.col("period")
+
+
+def projection(step: Column, aligned: bool = False) -> tuple[Column, Column, Column]:
+    """(predicted, lower, upper) ``step`` days ahead on ``fit_tails`` columns.
+
+    Under 14 known prices the forecast is flat at the last price with a 5 %
+    band.  By default the phase counts from the series start and wraps at its
+    length, and the trend continues one position late; ``aligned`` puts both on
+    the day after the last observation.
+    """
+    n, period, last = F.col("n"), F.col("period"), F.col("_last")
+    position = n - 1 + step if aligned else n + step
+    phase = position % period if aligned else F.try_mod(position, n) % period
     point = (
         F.col("_line.slope") * position + F.col("_line.intercept") + F.get(F.col("seasonal"), phase)
     )
-    width = 1.96 * F.col("_vol") * F.sqrt(i)
+    width = 1.96 * F.col("_vol") * F.sqrt(step)
     long_enough = n >= MIN_POINTS
+    return (
+        F.when(long_enough, point).otherwise(last),
+        F.when(long_enough, point - width).otherwise(last * 0.95),
+        F.when(long_enough, point + width).otherwise(last * 1.05),
+    )
 
-    def shown(value: Column) -> Column:
-        return value if digits is None else numbers.display_round(value, digits)
 
-    return days.select(
-        *SERIES, "step", "date",
-        shown(F.when(long_enough, point).otherwise(F.col("_last"))).alias("predicted_price"),
-        shown(F.when(long_enough, point - width).otherwise(F.col("_last") * 0.95)).alias("lower_bound"),
-        shown(F.when(long_enough, point + width).otherwise(F.col("_last") * 1.05)).alias("upper_bound"),
+def baseline_forecast(
+    prices: DataFrame, horizon: int = 30, as_of=None, aligned: bool = False, digits: int | None = 2
+) -> DataFrame:
+    """Trend plus season for ``horizon`` days after ``as_of``, every series."""
+    step = F.col("step")
+    days = (
+        fit_tails(tails(prices))
+        .withColumn("_last", F.coalesce("_last", F.lit(K.DEFAULT_PRICE)))
+        .withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+        .withColumn("date", F.date_add(as_of_column(prices, as_of), step))
     )
+    names = ["predicted_price", "lower_bound", "upper_bound"]
+    values = projection(step, aligned)
+    if digits is not None:
+        values = tuple(numbers.display_round(v, digits) for v in values)
+    return days.select(*SERIES, "step", "date", *[v.alias(c) for v, c in zip(values, names)])
 
 
 def flat_forecast(levels: DataFrame, horizon: int, as_of: Column) -> DataFrame:
