@@ -31,21 +31,20 @@ def ks_statistic(
     value range, so a hot crop is not one task.
     """
     end = as_of_column(prices, as_of)
-    recent = between_days(F.col("date"), end, days, 0)
-    prior = between_days(F.col("date"), end, 2 * days, days)
+    recent = F.col("date") >= F.date_sub(end, days)
     counted = (
-        prices.filter(F.col(value).isNotNull() & (recent | prior))
+        prices.filter(F.col(value).isNotNull() & between_days(F.col("date"), end, 2 * days, 0))
+        .withColumn("_recent", recent)
         .groupBy(*keys, value)
-        .agg(F.count_if(prior).alias("c1"), F.count_if(recent).alias("c2"))
+        .agg(F.count_if(~F.col("_recent")).alias("c1"), F.count_if("_recent").alias("c2"))
     )
-    sizes = (
-        counted.groupBy(*keys)
-        .agg(F.sum("c1").alias("n1"), F.sum("c2").alias("n2"))
-        .filter((F.col("n1") >= min_rows) & (F.col("n2") >= min_rows))
+    steps = running_totals(counted, keys, value, ["c1", "c2"])
+    gap = F.abs(F.col("cum_c1") / F.col("total_c1") - F.col("cum_c2") / F.col("total_c2"))
+    return (
+        steps.filter((F.col("total_c1") >= min_rows) & (F.col("total_c2") >= min_rows))
+        .groupBy(*keys, F.col("total_c1").alias("n1"), F.col("total_c2").alias("n2"))
+        .agg(F.max(gap).alias("statistic"))
     )
-    steps = running_totals(counted, keys, value, ["c1", "c2"]).join(sizes, keys)
-    gap = F.abs(F.col("cum_c1") / F.col("n1") - F.col("cum_c2") / F.col("n2"))
-    return steps.groupBy(*keys, "n1", "n2").agg(F.max(gap).alias("statistic"))
 
 
 def ks_drift(

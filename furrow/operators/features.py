@@ -15,14 +15,16 @@ def engineer_features(df: DataFrame, announcements: DataFrame | None = None) ->
     """Series keys, date and the 53 features; incomplete rows dropped.
 
     ``df`` is at daily grain with the columns of ``MERGED_COLUMNS``.  Every
-    window uses the same partition and order, so the plan has one Exchange and
-    one Sort for the whole matrix.
+    window uses the same partition and order, so all windows together cost one
+    Exchange and one Sort.
     """
     spec = in_order()
     df = df.withColumn("date", dates.iso_date(F.col("date")))
     df = df.select(*SERIES, "date", *K.MERGED_COLUMNS)
     if announcements is not None:
-        df = attach_announcements(df, announcements)
+        # back to one partition per series: a join on the crop alone would leave
+        # every market of a crop in the same window task
+        df = attach_announcements(df, announcements).repartition(*SERIES)
     else:
         df = df.withColumn("_announced", F.array().cast("array<date>"))
 
@@ -90,9 +92,3 @@ def require_complete(df: DataFrame) -> DataFrame:
     """Drop rows with any missing feature."""
     return df.na.drop("any", subset=[c for c in df.columns if c in K.FEATURE_NAMES])
 
-
-def latest_vectors(features: DataFrame, length: int) -> DataFrame:
-    """The last ``length`` feature rows of every series."""
-    from furrow.operators.series import tail_n
-
-    return tail_n(features, length)

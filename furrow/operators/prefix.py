@@ -10,8 +10,9 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running sums of ``sums`` per key, ordered by numeric ``value``.
 
-    Output: one row per (keys, value) with ``cum_<sum>`` columns; equal values
-    count together.  Works in two levels, both exact:
+    Output: one row per (keys, value) with ``cum_<sum>`` and, per key,
+    ``total_<sum>`` columns; equal values count together.  Works in two levels,
+    both exact:
 
     1. rows are pre-aggregated per distinct value (combines map-side), and each
        value falls into one of ``cells`` ordered cells of its key's range on a
@@ -24,7 +25,11 @@ def running_totals(
     per_value = df.groupBy(*keys, value).agg(*[F.sum(s).alias(s) for s in sums])
     scale = F.signum(value) * F.log1p(F.abs(value))
     ranged = per_value.withColumn("_g", scale)
-    bounds = ranged.groupBy(*keys).agg(F.min("_g").alias("_lo"), F.max("_g").alias("_hi"))
+    totals = [f"total_{s}" for s in sums]
+    bounds = ranged.groupBy(*keys).agg(
+        F.min("_g").alias("_lo"), F.max("_g").alias("_hi"),
+        *[F.sum(s).alias(t) for s, t in zip(sums, totals)],
+    )
     share = F.try_divide(F.col("_g") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     celled = (
         ranged.join(bounds, keys)
@@ -46,7 +51,7 @@ def running_totals(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     return celled.join(offsets, [*keys, "_cell"]).select(
-        *keys, value, *sums,
+        *keys, value, *sums, *totals,
         *[(F.sum(s).over(inside) + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums],
     )
 
@@ -63,19 +68,18 @@ def exact_quantiles(
     counted = df.filter(F.col(value).isNotNull()).select(
         *keys, value, F.lit(1).cast("bigint").alias("n")
     )
-    totals = counted.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    ranked = running_totals(counted, keys, value, ["n"]).join(totals, keys)
+    ranked = running_totals(counted, keys, value, ["n"])
     picks = []
     for name, p in probabilities.items():
-        place = F.lit(p) * (F.col("_total") - 1)
+        place = F.lit(p) * (F.col("total_n") - 1)
         picks += [
             F.min(F.when(F.col("cum_n") > F.floor(place), F.col(value))).alias(f"_lo_{name}"),
             F.min(F.when(F.col("cum_n") > F.ceil(place), F.col(value))).alias(f"_hi_{name}"),
         ]
-    picked = ranked.groupBy(*keys, "_total").agg(*picks)
+    picked = ranked.groupBy(*keys, "total_n").agg(*picks)
     out = []
     for name, p in probabilities.items():
-        place = F.lit(p) * (F.col("_total") - 1)
+        place = F.lit(p) * (F.col("total_n") - 1)
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         out.append((low + (high - low) * (place - F.floor(place))).alias(name))
     return picked.select(*keys, *out)

@@ -97,18 +97,18 @@ def backtest(
     prices: DataFrame, horizons: list[int], extra: dict[str, DataFrame] | None = None
 ) -> DataFrame:
     """Scores per (series, horizon, model); a model without any prediction for
-    a grid row gets the failure sentinel."""
+    a grid row gets the failure marks."""
     rows = predictions(prices, horizons)
     for name, other in (extra or {}).items():
         rows = with_extra_model(rows, name, other)
     keys = [*KEYS, "model_name", "n_train_samples", "n_test_samples"]
     usable = F.when(F.col("predicted").isNotNull(), F.col("actual"))
     scores = forecast_errors(rows.withColumn("actual", usable), keys)
-    sentinel = {"rmse": FAILED, "mae": FAILED, "mape": FAILED,
-                "directional_accuracy": 0.0, "pi_coverage_95": 0.0}
+    marks = {"rmse": FAILED, "mae": FAILED, "mape": FAILED,
+             "directional_accuracy": 0.0, "pi_coverage_95": 0.0}
     failed = F.col("rmse").isNull()
     return scores.select(
         *KEYS, "model_name",
-        *[F.when(failed, F.lit(v)).otherwise(F.col(m)).alias(m) for m, v in sentinel.items()],
+        *[F.when(failed, F.lit(v)).otherwise(F.col(m)).alias(m) for m, v in marks.items()],
         "n_train_samples", "n_test_samples",
     )

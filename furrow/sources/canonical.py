@@ -13,33 +13,30 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = {
-    # one row per product, market and day; partial sums happen before the
-    # shuffle, so a hot product costs its map tasks, not one reducer
+    # one row per product, market and day: sums and extremes combine map-side,
+    # so a busy day of a hot product reaches its reducer as one row per map task
     "daily_prices": """
-        select d.crop, d.mandi, d.date, d.modal_price, f.msp, d.min_price, d.max_price,
-               d.arrivals_tonnes, d.rainfall_mm, d.max_temp, d.min_temp, d.freight_index,
-               d.futures_price
-        from (
-          select p.p_type as crop, concat('M', cast(l.l_suppkey % 3 as varchar(4))) as mandi,
-            cast(l.l_shipdate as date) as date,
-            floor(cast(sum(cast(l_extendedprice as decimal(14,2))) as double)*100
-                  /cast(sum(cast(l_quantity as decimal(14,2))) as double))/100 as modal_price,
-            floor(min(l_extendedprice/l_quantity)*100)/100 as min_price,
-            ceil(max(l_extendedprice/l_quantity)*100)/100 as max_price,
-            cast(sum(cast(l_quantity as decimal(14,2))) as double) as arrivals_tonnes,
-            cast(sum(cast(l_discount as decimal(6,2))) as double) as rainfall_mm,
-            20+100*max(l_tax) as max_temp, 10+100*min(l_tax) as min_temp,
-            cast(90+count(*) as double) as freight_index,
-            floor(cast(sum(cast(l_extendedprice as decimal(14,2))
-                       *(1-cast(l_discount as decimal(6,2)))) as double)*105
-                  /cast(sum(cast(l_quantity as decimal(14,2))) as double))/100 as futures_price
-          from {lineitem} l join {part} p on l.l_partkey = p.p_partkey
-          group by p.p_type, concat('M', cast(l.l_suppkey % 3 as varchar(4))),
-                   cast(l.l_shipdate as date)) d
-        join (
-          select p_type, floor(cast(sum(cast(p_retailprice as decimal(14,2))) as double)*100
-                               /count(*))/100 as msp
-          from {part} group by p_type) f on d.crop = f.p_type""",
+        select p.crop, concat('M', cast(l.l_suppkey % 3 as varchar(4))) as mandi,
+          cast(l.l_shipdate as date) as date,
+          floor(cast(sum(cast(l_extendedprice as decimal(14,2))) as double)*100
+                /cast(sum(cast(l_quantity as decimal(14,2))) as double))/100 as modal_price,
+          max(p.msp) as msp,
+          floor(min(l_extendedprice/l_quantity)*100)/100 as min_price,
+          ceil(max(l_extendedprice/l_quantity)*100)/100 as max_price,
+          cast(sum(cast(l_quantity as decimal(14,2))) as double) as arrivals_tonnes,
+          cast(sum(cast(l_discount as decimal(6,2))) as double) as rainfall_mm,
+          20+100*max(l_tax) as max_temp, 10+100*min(l_tax) as min_temp,
+          cast(90+count(*) as double) as freight_index,
+          floor(cast(sum(cast(l_extendedprice as decimal(14,2))
+                     *(1-cast(l_discount as decimal(6,2)))) as double)*105
+                /cast(sum(cast(l_quantity as decimal(14,2))) as double))/100 as futures_price
+        from {lineitem} l join (
+          select x.p_partkey, x.p_type as crop, f.msp from {part} x join (
+            select p_type, floor(cast(sum(cast(p_retailprice as decimal(14,2))) as double)*100
+                                 /count(*))/100 as msp
+            from {part} group by p_type) f on x.p_type = f.p_type) p on l.l_partkey = p.p_partkey
+        group by p.crop, concat('M', cast(l.l_suppkey % 3 as varchar(4))),
+                 cast(l.l_shipdate as date)""",
     "announcements": """
         select crop, min(date) as announced_on
         from {daily_prices} group by crop, extract(year from date)""",

@@ -21,6 +21,13 @@ def market(payload: str = "_p") -> Column:
     return F.coalesce(*[F.col(f"{payload}.{k}") for k in ("market_name", "mandi", "market")])
 
 
+def in_date_order(rows: DataFrame, newest_first: bool = False) -> DataFrame:
+    """Sort by date, ties by id: the id also lets Spark split one busy date
+    over several sort partitions."""
+    keys = [F.col("fetch_date"), F.col("id")]
+    return rows.orderBy(*[k.desc() for k in keys] if newest_first else keys)
+
+
 def scan_series(
     raw: DataFrame, crop: str, mandi: str, as_of=None, years: int = 3
 ) -> DataFrame:
@@ -30,14 +37,16 @@ def scan_series(
     scan; the market lives in the payload and is filtered after parsing.
     """
     recent = dates.since(F.col("fetch_date"), as_of_column(raw, as_of, "fetch_date"), years * 365)
-    rows = payload_struct(raw.filter(text.same_text(F.col("crop"), crop) & recent)).filter(
-        text.like_text(market(), mandi)
+    rows = in_date_order(
+        payload_struct(raw.filter(text.same_text(F.col("crop"), crop) & recent)).filter(
+            text.like_text(market(), mandi)
+        )
     )
     picked = rows.select(
         F.col("fetch_date").alias("date"),
         *[F.col(f"_p.{c}").alias(c) for c in K.MERGED_COLUMNS],
     )
-    return numbers.fill_defaults(picked, K.TRAINING_DEFAULTS).orderBy("date")
+    return numbers.fill_defaults(picked, K.TRAINING_DEFAULTS)
 
 
 def price_history(
@@ -51,17 +60,16 @@ def price_history(
         raise ValueError("days must be between 1 and 3650")
     recent = dates.since(F.col("fetch_date"), as_of_column(raw, as_of, "fetch_date"), days)
     name = F.coalesce(market(), F.lit(""))
-    rows = (
-        payload_struct(raw.filter(text.like_text(F.col("crop"), crop) & recent))
-        .filter(text.market_contains(name, mandi))
-        .select(
-            F.col("fetch_date").alias("date"),
-            *[F.col(f"_p.{c}").alias(c) for c in PRICE_FIELDS],
-            F.when(name == "", mandi).otherwise(name).alias("mandi"),
-        )
+    rows = payload_struct(raw.filter(text.like_text(F.col("crop"), crop) & recent)).filter(
+        text.market_contains(name, mandi)
     )
     total = rows.agg(F.count(F.lit(1))).scalar()
-    return rows.withColumn("total_records", total).orderBy(F.col("date").desc())
+    return in_date_order(rows, newest_first=True).select(
+        F.col("fetch_date").alias("date"),
+        *[F.col(f"_p.{c}").alias(c) for c in PRICE_FIELDS],
+        F.when(name == "", mandi).otherwise(name).alias("mandi"),
+        total.alias("total_records"),
+    )
 
 
 def forecast_history(
@@ -69,29 +77,27 @@ def forecast_history(
 ) -> DataFrame:
     """Chronological rows with the eleven forecast inputs and their defaults."""
     recent = dates.since(F.col("fetch_date"), as_of_column(raw, as_of, "fetch_date"), days)
-    rows = (
-        payload_struct(raw.filter(text.like_text(F.col("crop"), crop) & recent))
-        .filter(text.market_contains(market(), mandi))
-        .select(
-            F.col("fetch_date").alias("date"),
-            *[F.col(f"_p.{c}").alias(c) for c in K.MERGED_COLUMNS],
+    rows = in_date_order(
+        payload_struct(raw.filter(text.like_text(F.col("crop"), crop) & recent)).filter(
+            text.market_contains(market(), mandi)
         )
+    ).select(
+        F.col("fetch_date").alias("date"),
+        *[F.col(f"_p.{c}").alias(c) for c in K.MERGED_COLUMNS],
     )
-    return numbers.fill_defaults(rows, K.HISTORY_DEFAULTS).orderBy("date")
+    return numbers.fill_defaults(rows, K.HISTORY_DEFAULTS)
 
 
 def eval_series(raw: DataFrame, crop: str, mandi: str, min_rows: int = 120) -> DataFrame:
     """Four typed columns of an exact crop and market; empty when the series
     has fewer than ``min_rows`` rows."""
     fields = [*PRICE_FIELDS, "arrivals_tonnes"]
-    rows = raw.filter(
-        (F.col("crop") == crop) & (text.market_key(F.col("raw_data")) == mandi)
-    ).select(
+    rows = raw.filter((F.col("crop") == crop) & (text.market_key(F.col("raw_data")) == mandi))
+    enough = rows.agg(F.count(F.lit(1)) >= min_rows).scalar()
+    return in_date_order(rows.filter(enough)).select(
         F.col("fetch_date").alias("date"),
         *[numbers.json_number(F.col("raw_data"), c).alias(c) for c in fields],
     )
-    enough = rows.agg(F.count(F.lit(1)) >= min_rows).scalar()
-    return rows.filter(enough).orderBy("date")
 
 
 def scan_subscriptions(subscriptions: DataFrame) -> DataFrame:

@@ -114,7 +114,7 @@ def test_report(spark, prices):
         forecast.forecast_report(prices, 91)
 
 
-def test_backtest_sentinel_and_extra_model(spark, prices):
+def test_backtest_failure_marks_and_extra_model(spark, prices):
     part = prices.filter("mandi in ('n40', 'n100', 'flat')")
     extra = spark.createDataFrame([], "crop string, mandi string, horizon int, date date, predicted double, lower_bound double, upper_bound double")
     rows = {(r.mandi, r.horizon, r.model_name): r for r in backtest.backtest(part, [30, 60], {"other": extra}).collect()}
