@@ -14,23 +14,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = {
     # one row per product, market and day: sums and extremes combine map-side,
-    # so a busy day of a hot product reaches its reducer as one row per map task
+    # so a busy day of a hot product reaches its reducer as one row per map task;
+    # money is summed in whole cents, which is exact in any order
     "daily_prices": """
         select p.crop, concat('M', cast(l.l_suppkey % 3 as varchar(4))) as mandi,
           cast(l.l_shipdate as date) as date,
-          floor(cast(sum(cast(l_extendedprice as decimal(14,2))) as double)*100
-                /cast(sum(cast(l_quantity as decimal(14,2))) as double))/100 as modal_price,
+          floor(cast(sum(l.amount) as double)/100*100/(cast(sum(l.quantity) as double)/100))/100
+            as modal_price,
           max(p.msp) as msp,
           floor(min(l_extendedprice/l_quantity)*100)/100 as min_price,
           ceil(max(l_extendedprice/l_quantity)*100)/100 as max_price,
-          cast(sum(cast(l_quantity as decimal(14,2))) as double) as arrivals_tonnes,
-          cast(sum(cast(l_discount as decimal(6,2))) as double) as rainfall_mm,
+          cast(sum(l.quantity) as double)/100 as arrivals_tonnes,
+          cast(sum(l.discount) as double)/100 as rainfall_mm,
           20+100*max(l_tax) as max_temp, 10+100*min(l_tax) as min_temp,
           cast(90+count(*) as double) as freight_index,
-          floor(cast(sum(cast(l_extendedprice as decimal(14,2))
-                     *(1-cast(l_discount as decimal(6,2)))) as double)*105
-                /cast(sum(cast(l_quantity as decimal(14,2))) as double))/100 as futures_price
-        from {lineitem} l join (
+          floor(cast(sum(l.amount*(100-l.discount)) as double)/10000*105
+                /(cast(sum(l.quantity) as double)/100))/100 as futures_price
+        from (
+          select l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_tax,
+            cast(floor(l_extendedprice*100+0.5) as bigint) as amount,
+            cast(floor(l_quantity*100+0.5) as bigint) as quantity,
+            cast(floor(l_discount*100+0.5) as bigint) as discount
+          from {lineitem}) l join (
           select x.p_partkey, x.p_type as crop, f.msp from {part} x join (
             select p_type, floor(cast(sum(cast(p_retailprice as decimal(14,2))) as double)*100
                                  /count(*))/100 as msp
