@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Scratch root of a local session that names none, one for each process.
+_LOCAL_ROOT: list[str] = []
+
 
 def get_session(master: str = "local[8]", shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and the bench; a cluster brings its own session."""
@@ -23,25 +26,50 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8) -> SparkS
     )
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder visible to every executor.
+def shared_root(spark: SparkSession, location: str | None = None) -> str:
+    """The folder that every executor and the driver can reach.
 
-    Lives under ``spark.checkpoint.dir``; only where that is unset (local
-    tests) is it placed on the local machine.
+    ``location`` if the caller names one, else ``spark.checkpoint.dir``. A
+    session on one machine (master ``local``) may do without; on any other
+    master a missing folder is an error, never a machine-local folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="furrow-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/furrow/{uuid.uuid4().hex}"
+    root = location or spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(
+            f"set spark.checkpoint.dir to a folder that all executors of {master} share"
+        )
+    if not _LOCAL_ROOT:
+        _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="furrow-"))
+    return _LOCAL_ROOT[0]
+
+
+def shared_folder(spark: SparkSession, location: str | None = None) -> str:
+    """A fresh folder visible to every executor."""
+    return f"{shared_root(spark, location)}/furrow/{uuid.uuid4().hex}"
+
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    """See to it that ``DataFrame.checkpoint`` has a folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
+
+
+def release(spark: SparkSession, folder: str) -> bool:
+    """Delete a scratch folder made by ``shared_folder``; True if it is gone."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return not files.exists(path) or files.delete(path, True)
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, location: str | None = None) -> DataFrame:
     """Write a result once to the shared folder and go on from the files.
 
     Cuts the lineage of inputs that several jobs read (model fitting); the
-    files survive the loss of any executor.
+    files survive the loss of any executor. ``release`` deletes them again.
     """
-    folder = shared_folder(df.sparkSession)
+    folder = shared_folder(df.sparkSession, location)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
