@@ -111,7 +111,7 @@ def compare_with_edit(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leave it, to be paired with those of the neighbouring ranges.
     """
     order = [F.desc_nulls_last("doc_id"), F.desc("text")]
-    ordered = texts(df, id_col, text_col).repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = texts(df, id_col, text_col).repartitionByRange(order[0]).sortWithinPartitions(*order)
     names = [n for n, _ in _RESULT]
     edge = ["part", "first_text", "last_id", "last_text"]
     schema = pa.schema([*_RESULT, ("part", pa.int64()), ("first_text", pa.string()), ("last_id", pa.int64()), ("last_text", pa.string())])
