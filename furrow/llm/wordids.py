@@ -22,7 +22,7 @@ from furrow.llm.common import per_process
 #: becomes two characters in lower case.
 SPLIT_AFTER_LETTER = "([A-Za-z0-9À-įı-ſ])([.,;:!?%#$&*])"
 #: Words kept in a worker's memo before it starts afresh.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 250_000
 
 
 class Memo:
