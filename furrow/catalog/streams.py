@@ -30,12 +30,11 @@ def event_prices(spark, sf):
 
 
 @query("price_change_feed", sql=f"""
-    with wm as (select date_trunc('millisecond', max(ts)) - interval 10 minute as mark from events),
-    m as (select event_type as crop, concat('M', cast(user_id % 3 as varchar)) as mandi,
+    with m as (select event_type as crop, concat('M', cast(user_id % 3 as varchar)) as mandi,
         date_trunc('minute', ts) + interval 1 minute as ts, arg_max(value, ts) as price
       from events group by 1, 2, 3),
     l as (select crop, mandi, m.ts, price, lag(price) over (partition by crop, mandi order by m.ts) as prev
-      from m, wm where m.ts <= wm.mark)
+      from m)
     select crop, mandi, ts, price, {qs('case when prev > 0 then (price - prev) / prev * 100 else 0 end')}
       as change_pct
     from l where prev is null or prev <> price""")
@@ -49,23 +48,27 @@ SUBS = """
     with s as (select c_custkey as subscription_id,
         case c_custkey % 5 when 0 then 'click' when 1 then 'view' when 2 then 'signup'
                            when 3 then 'error' else 'purchase' end as crop,
-        concat('M', cast(c_nationkey % 3 as varchar(4))) as mandi, 300 + c_acctbal / 50 as threshold_price
-      from {customer} where c_custkey % 4 <> 0)"""
+        concat('M', cast(c_nationkey % 3 as varchar(4))) as mandi, 
+        case when c_custkey % 50 = 0 then 0 else 300 + c_acctbal / 50 end as threshold_price,
+        c_custkey % 4 <> 0 as is_active
+      from {customer})"""
 
 
 @query("stream_alerts", sql=SUBS.format(customer="customer") + """
+    , e as (select event_id, event_type as crop, concat('M', cast(user_id % 3 as varchar)) as mandi, value,
+        row_number() over (partition by event_type, user_id % 3, date_trunc('minute', ts)
+          order by ts desc, value desc, event_id desc) as rn
+      from events where value is not null and ts is not null)
     select e.event_id as id, s.subscription_id, s.crop, s.mandi, e.value as price
-    from events e join s on s.crop = e.event_type and s.mandi = concat('M', cast(e.user_id % 3 as varchar))
-    where e.value > s.threshold_price""")
+    from e join s on s.crop = e.crop and s.mandi = e.mandi
+    where rn = 1 and s.is_active and (s.threshold_price = 0 or e.value > s.threshold_price)""")
 def stream_alerts(spark, sf):
     subs = spark.sql(
-        SUBS + " select subscription_id as id, crop, mandi, threshold_price, true as is_active from s",
+        SUBS + " select subscription_id as id, crop, mandi, threshold_price, is_active from s",
         customer=load(spark, sf, "customer"),
     )
-    due = jobs.stream_alerts(event_prices(spark, sf), subs).select(
-        "id", "subscription_id", "crop", "mandi", "price"
-    )
-    return jobs.run_available(due, shared_folder(spark))
+    due = jobs.run_available(jobs.stream_alerts(event_prices(spark, sf), subs), shared_folder(spark))
+    return due.select("id", "subscription_id", "crop", "mandi", "price")
 
 
 @query("session_state", "messages", sql=COMMANDS + """
@@ -85,14 +88,12 @@ def session_state(spark, sf):
 
 
 @query("stream_metrics", "ops_events", sql=f"""
-    , wm as (select date_trunc('millisecond', max(ts)) - interval 10 minute as mark from ops_events)
     select date_trunc('hour', ts) as window_start, label, """ + ", ".join(
         f"count(*) filter (where latency <= {e}::double) as {edge_name(e)}" for e in K.LATENCY_EDGES
     ) + f""", count(latency) as total, count(*) filter (where status_code >= 400) as errors,
       {qs('cast(count(*) filter (where status_code >= 400) as double) / count(*)', 6)} as error_rate,
       {qs('cast(count(*) filter (where cache_hit) as double) / count(cache_hit)', 6)} as hit_rate
-    from ops_events, wm group by 1, 2, mark
-    having date_trunc('hour', max(ts)) + interval 1 hour <= mark""")
+    from ops_events group by 1, 2""")
 def stream_metrics(spark, sf):
     from furrow.sources.canonical import TABLES
 

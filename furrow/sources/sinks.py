@@ -60,6 +60,13 @@ def current_rows(table: DataFrame, partition: str) -> DataFrame:
     return table.join(newest, [partition, "version"], "left_semi").drop("version")
 
 
+def _has_rows(spark: SparkSession, folder: str) -> bool:
+    """Whether the table has been written with at least one partition."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*=*")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
 def merge_partitions(
     incoming: DataFrame, folder: str, version: int, keys: list[str], partition: str, order: list[str]
 ) -> None:
@@ -67,14 +74,17 @@ def merge_partitions(
 
     Only the partition values present in ``incoming`` are rewritten, under a
     new version; readers keep seeing the older one until the write commits.
+    Stored and incoming rows of a key are ranked together by ``order``; incoming
+    wins only a tie. A batch without rows leaves the table as it is.
     Re-running a version replaces exactly its own files.
     """
     spark = incoming.sparkSession
-    if version > 0:
+    if _has_rows(spark, folder):
         table = spark.read.parquet(folder).filter(F.col("version") < version)
         touched = incoming.select(partition).distinct()
         old = current_rows(table.join(touched, partition, "left_semi"), partition)
-        out = upsert(old.select(incoming.columns), incoming, keys, order)
+        both = old.select(incoming.columns).withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
+        out = latest_per_key(both, keys, [*order, "_new"]).drop("_new")
     else:
         out = latest_per_key(incoming, keys, order)
     (

@@ -1,28 +1,27 @@
 """Live jobs on Structured Streaming.
 
-All sources are file streams with an explicit schema; every job can be run to
-completion (``run_available``, ``run_until_idle``) or left running with a
-processing-time trigger.
+All sources are file streams with an explicit schema. The answer of a job does
+not depend on how its input falls into micro-batches: every batch is reduced to
+a part that merges with the others in any order, stored under its batch id, and
+the parts are merged when the job is read. A replayed batch replaces its own
+part, rows that come late count like any other, and the newest window is given
+as it stands.
 """
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 from furrow import constants as K
 from furrow.functions import numbers, text
 from furrow.operators.ops import bucket_columns
-from furrow.operators.series import SERIES
+from furrow.operators.series import SERIES, latest_per_key
 from furrow.sources import feed, sinks
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def file_stream(
     spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1000
@@ -35,112 +34,95 @@ def file_stream(
     )
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """Typed state with expiry needs the RocksDB state store."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+@dataclass
+class Job:
+    """A stream, what is kept of each micro-batch, and how the parts are read."""
+
+    stream: DataFrame
+    reduce: Callable[[DataFrame], DataFrame]
+    merge: Callable[[DataFrame], DataFrame]
+
+
+def read_parts(job: Job, folder: str) -> DataFrame:
+    """The job's answer over all batches stored so far."""
+    spark = job.stream.sparkSession
+    kept = job.reduce(spark.createDataFrame([], job.stream.schema)).schema
+    return job.merge(spark.read.schema(kept).parquet(f"{folder}/parts"))
+
 
+def run_available(job: Job, folder: str, timeout: int | None = None) -> DataFrame:
+    """Process what is there into parts under ``folder`` and read the answer.
+
+    A further call on the same folder goes on where this one ended. Without
+    ``timeout`` (seconds) a drain takes as long as it takes.
+    """
+    spark = job.stream.sparkSession
+    # a part without rows, so that a job without input reads as empty
+    job.reduce(spark.createDataFrame([], job.stream.schema)).write.mode("overwrite").parquet(f"{folder}/parts/batch=-1")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        job.reduce(batch).write.mode("overwrite").parquet(f"{folder}/parts/batch={batch_id}")
 
-def run_available(stream: DataFrame, folder: str, timeout: int = 600) -> DataFrame:
-    """Process what is there into Parquet under ``folder`` and read it back."""
-    spark = stream.sparkSession
     query = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{folder}/out")
+        job.stream.writeStream.foreachBatch(keep)
         .option("checkpointLocation", f"{folder}/checkpoint")
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
     _finish(query, timeout)
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return read_parts(job, folder)
 
 
-def run_until_idle(stream: DataFrame, folder: str, timeout: int = 600) -> DataFrame:
-    """As ``run_available``, for state that expires by processing time.
+def run_until_idle(job: Job, folder: str, timeout: int | None = None) -> DataFrame:
+    """As ``run_available``; kept for jobs whose rows expire."""
+    return run_available(job, folder, timeout)
 
-    Such a query keeps running empty batches to expire state, so it never ends
-    by itself; it is stopped after the first batch without input.
-    """
-    spark = stream.sparkSession
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{folder}/out")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .outputMode("append")
-        .start()
-    )
-    deadline = time.monotonic() + timeout
-    while True:
-        if query.exception() is not None:
-            raise query.exception()
-        last = query.lastProgress
-        if last is not None and last["batchId"] > 0 and last["numInputRows"] == 0:
-            break
-        if time.monotonic() > deadline:
-            query.stop()
-            raise TimeoutError("stream did not drain in time")
-        time.sleep(0.2)
-    query.stop()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
-
-
-def _finish(query, timeout: int) -> None:
-    if not query.awaitTermination(timeout):
+
+def _finish(query, timeout: int | None) -> None:
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError("stream did not drain in time")
 
 
 # --- price changes ------------------------------------------------------------
 
-CHANGE_SCHEMA = "crop string, mandi string, ts timestamp, price double, change_pct double"
-
+def polled(prices: DataFrame, poll: str, *carried: str) -> Job:
+    """Latest price of each market and poll interval: crop, mandi, poll (its
+    end), ts, price and the ``carried`` columns. Rows without time or price are
+    left out; of rows with one time the largest price counts."""
+    latest = F.struct("ts", "price", *carried)
 
-class _LastPrice(StatefulProcessor):
-    """Emits a price only when it differs from the last one emitted."""
+    def reduce(batch: DataFrame) -> DataFrame:
+        priced = batch.where(F.col("price").isNotNull() & ~F.isnan("price"))
+        return priced.groupBy(F.window("ts", poll)["end"].alias("poll"), *SERIES).agg(F.max(latest).alias("latest"))
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", "price double")
+    def merge(parts: DataFrame) -> DataFrame:
+        return parts.groupBy("poll", *SERIES).agg(F.max("latest").alias("latest")).select(*SERIES, "poll", "latest.*")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # one row per poll interval: short even for the busiest market
-        polls = pd.concat(list(rows)).sort_values("ts")
-        last = self._last.get()[0] if self._last.exists() else None
-        out = []
-        for ts, price in zip(polls["ts"], polls["price"]):
-            if price is None or pd.isna(price) or price == last:
-                continue
-            change = (price - last) / last * 100 if last is not None and last > 0 else 0.0
-            out.append((key[0], key[1], ts, float(price), float(change)))
-            last = float(price)
-        if out:
-            self._last.update((last,))
-            yield pd.DataFrame(out, columns=["crop", "mandi", "ts", "price", "change_pct"])
+    return Job(prices, reduce, merge)
 
-    def close(self) -> None:
-        pass
 
-
-def price_change_feed(
-    prices: DataFrame, poll: str = "60 seconds", lateness: str = "10 minutes"
-) -> DataFrame:
+def price_change_feed(prices: DataFrame, poll: str = "60 seconds") -> Job:
     """Changed prices per market: (crop, mandi, ts, price) rows in, one row per
-    change out.
+    change out, with the change in percent of the price before.
 
-    Each poll interval is first reduced to its latest price, a windowed
-    aggregate with map-side partials, so the keyed state sees at most one row
-    per market and interval.
+    Each poll interval is first reduced to its latest price, with map-side
+    partials, so a market's window holds one short row an interval.
     """
-    use_rocksdb(prices.sparkSession)
-    polls = (
-        prices.filter(F.col("price").isNotNull())
-        .withWatermark("ts", lateness)
-        .groupBy(F.window("ts", poll), *SERIES)
-        .agg(F.max_by("price", F.struct("ts", "price")).alias("price"))
-        .select(*SERIES, F.col("window.end").alias("ts"), "price")
-    )
-    return polls.groupBy(*SERIES).transformWithStateInPandas(
-        _LastPrice(), CHANGE_SCHEMA, outputMode="append", timeMode="None"
-    )
+    polls = polled(prices, poll)
+    before = Window.partitionBy(*SERIES).orderBy("ts")
+
+    def changes(parts: DataFrame) -> DataFrame:
+        rows = polls.merge(parts).select(*SERIES, F.col("poll").alias("ts"), "price")
+        rows = rows.withColumn("_prev", F.lag("price").over(before))
+        return rows.where(F.col("_prev").isNull() | (F.col("_prev") != F.col("price"))).select(
+            *SERIES, "ts", "price",
+            F.when(F.col("_prev") > 0, (F.col("price") - F.col("_prev")) / F.col("_prev") * 100).otherwise(0.0).alias("change_pct"),
+        )
+
+    return Job(prices, polls.reduce, changes)
 
 
 def with_advice(changes: DataFrame, reports: DataFrame) -> DataFrame:
@@ -152,94 +134,83 @@ def with_advice(changes: DataFrame, reports: DataFrame) -> DataFrame:
 
 # --- alerts ---------------------------------------------------------------------
 
-def stream_alerts(prices: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Incoming prices that trigger a subscription (stream-static join)."""
+def stream_alerts(prices: DataFrame, subscriptions: DataFrame, poll: str = "60 seconds") -> Job:
+    """Incoming prices that trigger a subscription.
+
+    Prices are reduced to the latest of each market and poll interval before
+    they meet the subscriptions, so one busy minute alerts a subscriber once.
+    """
     active = subscriptions.filter("is_active").select(
         F.col("id").alias("subscription_id"), *SERIES, "threshold_price"
     )
     due = numbers.alert_trigger(F.col("threshold_price"), F.col("price"), F.lit(None).cast("double"))
-    return prices.join(active, SERIES).filter(due)
+    polls = polled(prices, poll, "id")
+    return Job(prices, polls.reduce, lambda parts: polls.merge(parts).join(active, SERIES).filter(due))
 
 
 # --- chat sessions ----------------------------------------------------------------
 
-SESSION_SCHEMA = "sender string, lang string, crop string, mandi string"
-SESSION_TTL_MS = 30 * 24 * 3600 * 1000
-
-
-def _newest_per_sender(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keep the newest row per sender and kind inside each Arrow batch."""
-    for batch in batches:
-        yield batch.sort_values("seq").groupby(["sender", "kind"], as_index=False).tail(1)
+SESSION_DAYS = 30
 
 
-class _Session(StatefulProcessor):
-    """Last language and last crop/market per sender, expiring after 30 days."""
+def session_state(messages: DataFrame, days: int = SESSION_DAYS) -> Job:
+    """Last language and last crop and market per sender: (sender, body, seq) rows in.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState(
-            "session", "lang string, crop string, mandi string", SESSION_TTL_MS
-        )
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest: dict[str, tuple] = {}
-        for chunk in rows:  # constant memory: one newest row per kind
-            for kind, seq, lang, crop, mandi in chunk[
-                ["kind", "seq", "lang", "crop", "mandi"]
-            ].itertuples(index=False):
-                if kind not in newest or seq > newest[kind][0]:
-                    newest[kind] = (seq, lang, crop, mandi)
-        lang, crop, mandi = self._state.get() if self._state.exists() else ("english", None, None)
-        if "language" in newest:
-            lang = newest["language"][1]
-        if "market" in newest:
-            crop, mandi = newest["market"][2:]
-        self._state.update((lang, crop, mandi))
-        yield pd.DataFrame([(key[0], lang, crop, mandi)], columns=["sender", "lang", "crop", "mandi"])
-
-    def close(self) -> None:
-        pass
-
-
-def session_state(messages: DataFrame) -> DataFrame:
-    """Session after each micro-batch: (sender, body, seq) rows in."""
-    use_rocksdb(messages.sparkSession)
-    parsed = messages.withColumn("_c", text.classify(F.col("body")))
+    The message with the largest ``seq`` of its kind counts, in whatever batch
+    it came. A sender not heard of for ``days`` days of processing time is gone.
+    """
     kind = F.when(F.col("_c.command") == "language", "language").when(
         F.col("_c.command").isin("subscribe", "forecast"), "market"
     )
-    slim = parsed.select(
-        "sender", "seq", kind.alias("kind"), F.col("_c.lang").alias("lang"),
-        F.col("_c.crop").alias("crop"), F.col("_c.mandi").alias("mandi"),
-    ).filter(F.col("kind").isNotNull())
-    reduced = slim.mapInPandas(_newest_per_sender, slim.schema)
-    return reduced.groupBy("sender").transformWithStateInPandas(
-        _Session(), SESSION_SCHEMA, outputMode="append", timeMode="ProcessingTime"
-    )
+
+    def reduce(batch: DataFrame) -> DataFrame:
+        slim = batch.withColumn("_c", text.classify(F.col("body"))).select(
+            "sender", "seq", kind.alias("kind"), F.col("_c.lang").alias("lang"),
+            F.col("_c.crop").alias("crop"), F.col("_c.mandi").alias("mandi"),
+        ).filter(F.col("kind").isNotNull())
+        return latest_per_key(slim, ["sender", "kind"], ["seq"]).withColumn("written", F.current_timestamp())
+
+    def merge(parts: DataFrame) -> DataFrame:
+        newest = latest_per_key(parts, ["sender", "kind"], ["seq", "written"])
+        of = lambda kind, column: F.max(F.when(F.col("kind") == kind, F.col(column)))  # noqa: E731  one row a kind
+        heard = parts.groupBy("sender").agg(F.max("written").alias("heard"))
+        sessions = newest.groupBy("sender").agg(
+            F.coalesce(of("language", "lang"), F.lit("english")).alias("lang"),
+            of("market", "crop").alias("crop"), of("market", "mandi").alias("mandi"),
+        )
+        alive = heard.where(F.col("heard") > F.current_timestamp() - F.make_dt_interval(F.lit(days)))
+        return sessions.join(alive, "sender", "left_semi")
+
+    return Job(messages, reduce, merge)
 
 
 # --- operational metrics -------------------------------------------------------------
 
-def stream_metrics(
-    events: DataFrame, width: str = "1 hour", lateness: str = "10 minutes"
-) -> DataFrame:
+def stream_metrics(events: DataFrame, width: str = "1 hour") -> Job:
     """Tumbling counts, latency buckets, error rate and cache hit rate per label.
 
     ``events``: ts, label, latency, status_code, cache_hit.
     """
-    failed = F.col("status_code") >= 400
-    return (
-        events.withWatermark("ts", lateness)
-        .groupBy(F.window("ts", width), "label")
-        .agg(
+
+    def reduce(batch: DataFrame) -> DataFrame:
+        return batch.groupBy(F.window("ts", width)["start"].alias("window_start"), "label").agg(
             *bucket_columns(F.col("latency"), K.LATENCY_EDGES),
-            F.count_if(failed).alias("errors"),
-            F.try_divide(F.count_if(failed), F.count(F.lit(1))).alias("error_rate"),
-            F.try_divide(F.count_if("cache_hit"), F.count("cache_hit")).alias("hit_rate"),
+            F.count_if(F.col("status_code") >= 400).alias("errors"),
+            F.count(F.lit(1)).alias("_events"),
+            F.count_if("cache_hit").alias("_hits"),
+            F.count("cache_hit").alias("_lookups"),
         )
-        .withColumn("window_start", F.col("window.start"))
-        .drop("window")
-    )
+
+    def merge(parts: DataFrame) -> DataFrame:
+        keys = ["window_start", "label"]
+        counts = parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in parts.columns if c not in (*keys, "batch")])
+        return (
+            counts.withColumn("error_rate", F.try_divide("errors", "_events"))
+            .withColumn("hit_rate", F.try_divide("_hits", "_lookups"))
+            .drop("_events", "_hits", "_lookups")
+        )
+
+    return Job(events, reduce, merge)
 
 
 # --- upsert -------------------------------------------------------------------------------
@@ -247,11 +218,13 @@ def stream_metrics(
 def stream_upsert(
     records: DataFrame, folder: str, keys: list[str], partition: str, order: list[str],
     checks: dict[str, Column], dedupe_within: str | None = None,
+    timeout: int | None = None,
 ) -> Callable[[], DataFrame]:
     """Upsert every micro-batch on ``keys`` and set failing rows aside.
 
     Returns a function that drains the stream and gives the current table.
-    Both writes carry the batch id, so a replayed batch changes nothing.
+    Both writes carry the batch id, so a replayed batch changes nothing, and the
+    row with the largest ``order`` of a key stays, in whatever batch it came.
     """
     spark = records.sparkSession
 
@@ -272,7 +245,7 @@ def stream_upsert(
             .trigger(availableNow=True)
             .start()
         )
-        _finish(query, 600)
+        _finish(query, timeout)
         return sinks.current_rows(spark.read.parquet(f"{folder}/table"), partition)
 
     return drain

@@ -89,10 +89,10 @@ def source(spark, tmp_path, name, rows, schema):
 def test_change_feed_stream(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     rows = [("w", "m", t0 + dt.timedelta(minutes=i), p) for i, p in enumerate([1.0, 1.0, 2.0])]
-    rows += [("other", "m", t0 + dt.timedelta(hours=5), 7.0)]  # moves the watermark past the rest
+    rows += [("other", "m", t0 + dt.timedelta(hours=5), 7.0)]  # the newest poll is given too
     feed = jobs.price_change_feed(source(spark, tmp_path, "p", rows, "crop string, mandi string, ts timestamp, price double"))
     out = jobs.run_available(feed, str(tmp_path / "run")).orderBy("ts").collect()
-    assert [(r.crop, r.price, r.change_pct) for r in out] == [("w", 1.0, 0.0), ("w", 2.0, 100.0)]
+    assert [(r.crop, r.price, r.change_pct) for r in out] == [("w", 1.0, 0.0), ("w", 2.0, 100.0), ("other", 7.0, 0.0)]
 
 
 def test_session_stream(spark, tmp_path):
@@ -110,3 +110,75 @@ def test_upsert_stream(spark, tmp_path):
     assert [(r.id, r.price) for r in drain().collect()] == [(2, 2.0)]
     bad = spark.read.parquet(f"{folder}/errors").collect()
     assert [(r.id, r.error_message) for r in bad] == [(3, "price")]
+
+
+def batched(spark, tmp_path, files, schema):
+    """The same rows as one file, and as one file a micro-batch in reverse order."""
+    import os
+
+    for name, parts in (("one", [sum(files, [])]), ("many", files[::-1])):
+        path = str(tmp_path / name)
+        for i, rows in enumerate(parts):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+            for f in os.listdir(path):
+                if f.endswith(".parquet") and not os.path.exists(f"{path}/.seen-{f}"):
+                    os.utime(f"{path}/{f}", (1_700_000_000 + i, 1_700_000_000 + i))
+                    open(f"{path}/.seen-{f}", "w").close()
+        yield name, jobs.file_stream(spark, path, spark.read.parquet(path).schema, 1)
+
+
+def test_answers_do_not_depend_on_batches(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [
+        (i, "w" if i % 3 else "r", "m", t0 + dt.timedelta(minutes=7 * i), None if i % 11 == 0 else float(i % 5), 200 if i % 4 else 500, i % 2 == 0)
+        for i in range(200)
+    ]
+    schema = "id int, crop string, mandi string, ts timestamp, price double, status_code int, cache_hit boolean"
+    subs = spark.createDataFrame([(1, "w", "m", 2.0, True), (2, "r", "m", 0.0, True), (3, "r", "m", 1.0, False)], "id int, crop string, mandi string, threshold_price double, is_active boolean")
+    answers = {}
+    for name, source in batched(spark, tmp_path, [rows[i::4] for i in range(4)], schema):
+        run = lambda job, kind: sorted(map(str, jobs.run_available(job, str(tmp_path / f"{name}-{kind}")).collect()))
+        prices = source.select("id", "crop", "mandi", "ts", "price")
+        events = source.select("ts", F.col("crop").alias("label"), F.col("price").alias("latency"), "status_code", "cache_hit")
+        drain = jobs.stream_upsert(source.withColumns({"day": F.to_date("ts"), "state": F.lit("s")}), str(tmp_path / f"{name}-u"), ["crop", "day"], "day", ["id"], {"price": F.col("price").isNotNull()})
+        answers[name] = (
+            run(jobs.price_change_feed(prices.drop("id")), "c"), run(jobs.stream_metrics(events), "m"),
+            run(jobs.stream_alerts(prices, subs), "a"), sorted(str((r.id, r.crop, r.day)) for r in drain().collect()),
+        )
+    assert answers["one"] == answers["many"]
+    assert all(answers["one"])
+
+
+def test_older_messages_in_later_batches_do_not_win(spark, tmp_path):
+    files = [[("s1", 1, "language hindi"), ("s1", 2, "wheat Karnal")], [("s1", 3, "rice Indore"), ("s2", 1, "wheat Agra")]]
+    answers = [
+        sorted((r.sender, r.lang, r.crop, r.mandi) for r in jobs.run_available(jobs.session_state(s), str(tmp_path / f"run-{name}")).collect())
+        for name, s in batched(spark, tmp_path, files, "sender string, seq int, body string")
+    ]
+    assert answers[0] == answers[1] == [("s1", "hindi", "rice", "indore"), ("s2", "english", "wheat", "agra")]
+
+
+def test_scratch_folder_needs_a_shared_place(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from furrow import session
+
+    conf = SimpleNamespace(get=lambda key, default: default)
+    far = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        session.shared_folder(far)
+    assert session.shared_folder(far, "hdfs://shared/").startswith("hdfs://shared/furrow/")
+    near = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[4]"))
+    assert session.shared_root(near) == session.shared_root(near)
+    set_to = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: "file:///shared/x/"), sparkContext=far.sparkContext)
+    assert session.shared_root(set_to) == "file:///shared/x"
+
+
+def test_scratch_folder_is_released(spark):
+    from furrow import session
+
+    folder = session.shared_folder(spark)
+    spark.range(3).write.parquet(folder)
+    assert session.release(spark, folder) and session.release(spark, folder)
+    with pytest.raises(Exception):
+        spark.read.parquet(folder)
