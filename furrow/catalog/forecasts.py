@@ -275,9 +275,9 @@ def cv_select(spark, sf):
 
 @query("drift_to_pairs", "daily_prices", sql=KS + """
     select distinct d.crop, d.mandi from daily_prices d
-    where d.crop in (select crop from p where p_value < 0.5::double)""")
+    where d.crop in (select crop from p where p_value < 0.05::double)""")
 def drift_to_pairs(spark, sf):
     daily = prices(spark, sf)
-    drifted = drift.ks_drift(daily, ["crop"], newest_ship(spark, sf), alpha=0.5).filter("drift")
+    drifted = drift.ks_drift(daily, ["crop"], newest_ship(spark, sf)).filter("drift")
     pairs = joins.experiment_grid(daily, [30], ["naive"]).select(*SERIES)
     return joins.selective_pairs(pairs, drifted)

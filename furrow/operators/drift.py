@@ -13,8 +13,6 @@ from furrow.functions.stats import ks_p_value
 from furrow.operators.prefix import running_totals
 from furrow.operators.series import as_of_column
 
-EXACT_LIMIT = 10000
-
 
 def ks_statistic(
     prices: DataFrame,
@@ -51,37 +49,43 @@ def ks_drift(
     prices: DataFrame, keys: list[str], as_of=None, days: int = 90,
     min_rows: int = 10, alpha: float = K.DRIFT_ALPHA, exact: bool = False,
 ) -> DataFrame:
-    """Statistic, p-value and drift flag per key.
+    """Statistic, p-value, its method and drift flag per key.
 
-    The p-value is asymptotic by default.  ``exact=True`` counts lattice paths
-    for samples up to 10,000 rows a side and is asymptotic beyond.
+    The caller chooses the method, and sample sizes never change it: asymptotic
+    by default, or ``exact=True``, whose work grows with the product of the two
+    sample sizes.
     """
     stat = ks_statistic(prices, keys, as_of, days, min_rows)
-    asymptotic = ks_p_value(F.col("statistic"), F.col("n1"), F.col("n2"))
-    if exact:
-        small = F.greatest("n1", "n2") <= EXACT_LIMIT
-        p = F.when(small, _exact_p("n1", "n2", "statistic")).otherwise(asymptotic)
-    else:
-        p = asymptotic
-    return stat.withColumn("p_value", p).withColumn("drift", F.col("p_value") < alpha)
+    p = _exact_p("n1", "n2", "statistic") if exact else ks_p_value(F.col("statistic"), F.col("n1"), F.col("n2"))
+    return stat.withColumns({"p_value": p, "method": F.lit("exact" if exact else "asymptotic")}).withColumn(
+        "drift", F.col("p_value") < alpha
+    )
 
 
 def exact_ks_p(n1: int, n2: int, d: float) -> float:
-    """P(D >= d) for continuous samples, by counting monotone lattice paths
-    that stay inside the band |i/n1 - j/n2| < d."""
+    """P(D >= d) for continuous samples.
+
+    The pooled values are drawn one by one; ``inside[i]`` is the probability that
+    i of them came from the smaller sample and the gap never reached d. A gap
+    times n1 * n2 is a whole number, so the comparison is exact; what crosses is
+    added up.
+    """
     m, n = sorted((int(n1), int(n2)))
-    if m > EXACT_LIMIT or n > EXACT_LIMIT:
-        return float("nan")
-    limit = (0.5 + np.floor(d * m * n - 1e-7)) / (m * n)
-    j = np.arange(n + 1) / n
-    row = (j <= limit).astype(float)
-    row = np.cumprod(row)
-    for i in range(1, m + 1):
-        inside = np.abs(i / m - j) <= limit
-        # each row is scaled by i / (i + n), which turns counts into shares
-        row = np.cumsum(np.where(inside, row * (i / (i + n)), 0.0))
-        row = np.where(inside, row, 0.0)
-    return float(min(1.0, max(0.0, 1.0 - row[n])))
+    reach = round(d * m * n)
+    if reach <= 0:
+        return 1.0
+    i = np.arange(m + 1)
+    inside, crossed = np.zeros(m + 1), 0.0
+    inside[0] = 1.0
+    for drawn in range(m + n):
+        left = m + n - drawn
+        grown = inside * (m - i) / left
+        inside = inside * np.maximum(n - (drawn - i), 0) / left
+        inside[1:] += grown[:-1]
+        over = np.abs(i * n - (drawn + 1 - i) * m) >= reach
+        crossed += inside[over].sum()
+        inside[over] = 0.0
+    return float(min(1.0, crossed))
 
 
 @F.pandas_udf(DoubleType())
