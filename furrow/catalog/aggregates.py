@@ -117,16 +117,6 @@ def pivot_crop_model(spark, sf):
     return rounded(A.pivot_mean(evaluations(spark, sf), "crop", "model_name", MODELS), MODELS)
 
 
-@query("pivot_model_horizon", "predictions", sql=ERRORS + " select model_name, " + ", ".join(
-    f"{qs(f'''avg(case when mandi = '{m}' then rmse end)''')} as h{h}"
-    for m, h in (("M0", 30), ("M1", 60), ("M2", 90))) + " from ev group by model_name")
-def pivot_model_horizon(spark, sf):
-    horizon = F.when(F.col("mandi") == "M0", 30).when(F.col("mandi") == "M1", 60).otherwise(90)
-    evals = evaluations(spark, sf).withColumn("horizon", horizon)
-    wide = A.pivot_mean(evals, "model_name", "horizon", K.HORIZONS)
-    return wide.select("model_name", *[q(F.col(f"`{h}`")).alias(f"h{h}") for h in K.HORIZONS])
-
-
 @query("improve_vs_baseline", "predictions", sql=ERRORS + f"""
     , bd as (select model_name, avg(rmse) as rmse from ev group by model_name),
     r as (select coalesce(max(case when model_name = 'lag1' then rmse end), avg(rmse)) as base from bd)
@@ -268,7 +258,7 @@ PROMOTED = """
     , after as (select crop, mandi, min(rmse_after) as rmse_after from runs
                 where rmse_after is not null group by crop, mandi),
     before as (select crop, mandi, min(rmse_before) as rmse_before from runs
-               where rmse_before is not null and mandi <> 'M2' group by crop, mandi),
+               where rmse_before is not null group by crop, mandi),
     cc as (select a.crop, a.mandi, rmse_after, rmse_before,
         coalesce((rmse_before - rmse_after) / rmse_before > 0.02::double, true) as model_promoted,
         coalesce((rmse_before - rmse_after) / rmse_before * 100, 100) as improvement
@@ -280,7 +270,7 @@ def challenged(spark, sf):
     after = runs.filter("rmse_after is not null").groupBy(*SERIES).agg(
         F.min("rmse_after").alias("rmse_after")
     )
-    before = runs.filter("rmse_before is not null and mandi <> 'M2'").groupBy(*SERIES).agg(
+    before = runs.filter("rmse_before is not null").groupBy(*SERIES).agg(
         F.min("rmse_before").alias("rmse_before")
     )
     return A.champion_challenger(after, before, K.PROMOTION_MARGIN)

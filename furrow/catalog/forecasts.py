@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from furrow import constants as K
 from furrow.catalog.aggregates import KS, TAIL90, SCORES
 from furrow.catalog.joins import ATTR, attributions
-from furrow.catalog.registry import newest_ship, q, qs, query, rounded
-from furrow.operators import aggregates as A, drift, joins
+from furrow.catalog.registry import newest, newest_ship, q, qs, query, rounded
+from furrow.catalog.scalars import duck_title, template_sql
+from furrow.operators import aggregates as A, drift, joins, replies
 from furrow.plans import backtest as B, forecast as P, learn
-from furrow.session import shared_folder
+from furrow.session import materialise, shared_folder
 from furrow.sources import sinks
-from furrow.sources.canonical import table
+from furrow.sources.canonical import announcements_of, table
 
 SERIES = ["crop", "mandi"]
 KEYS = [*SERIES, "date"]
@@ -24,7 +25,7 @@ def prices(spark, sf):
 
 
 def season_ctes(keys: str, horizon: str) -> str:
-    """CTEs from ``s`` (keys, i, n, y) with full 90-row tails to ``fc``."""
+    """CTEs from the tails ``s`` (keys, i, n, y) to ``fc``, for tails of 14 rows or more."""
     k = keys
     w = f"partition by {k} order by i"
     on = " and ".join(f"{{0}}.{c} = {{1}}.{c}" for c in k.split(", "))
@@ -34,26 +35,30 @@ def season_ctes(keys: str, horizon: str) -> str:
 
     cols = ", ".join(f"m.{c}" for c in k.split(", "))
     return f"""
-    , m as (select *, case when i between 3 and n - 4 then avg(y) over ({w} rows between 3 preceding
-        and 3 following) end as tr from s),
+    , s0 as (select *, greatest(2, least(7, n // 3)) as p, greatest(2, least(7, n // 3)) // 2 as h
+             from s where n >= 14),
+    m as (select *, case when i between h and n - 1 - h then (sum(y) over ({w} rows between h preceding
+        and h following) - case when p % 2 = 0 then 0.5::double * (lag(y, h) over ({w})
+        + lead(y, h) over ({w})) else 0 end) / p end as tr from s0),
     hd as (select {k}, regr_slope(tr, i) as a, regr_intercept(tr, i) as b from m
-           where i between 3 and 9 group by {k}),
+           where i >= h and i < least(h + p, n - 1 - h) group by {k}),
     tl as (select {k}, regr_slope(tr, i) as a, regr_intercept(tr, i) as b from m
-           where i between n - 11 and n - 5 group by {k}),
-    de as (select {cols}, m.i, m.y - case when m.i < 3 then hd.a * m.i + hd.b
-             when m.i > m.n - 4 then tl.a * m.i + tl.b else tr end as v
+           where i >= greatest(h, n - 1 - h - p) and i < n - 1 - h group by {k}),
+    de as (select {cols}, m.i, m.p, m.y - case when m.i < h then hd.a * m.i + hd.b
+             when m.i > m.n - 1 - h then tl.a * m.i + tl.b else tr end as v
            from m join hd on {j('m', 'hd')} join tl on {j('m', 'tl')}),
-    ph as (select {k}, i % 7 as phase, avg(v) as v from de group by {k}, i % 7),
+    ph as (select {k}, i % p as phase, avg(v) as v from de group by {k}, i % p),
     se as (select {k}, phase, v - avg(v) over (partition by {k}) as seasonal from ph),
-    st as (select *, y - lag(y) over ({w}) as dy from s),
-    ln as (select {k}, max(n) as n, regr_slope(y, i) as slope, regr_intercept(y, i) as intercept,
+    st as (select *, y - lag(y) over ({w}) as dy from s0),
+    ln as (select {k}, max(n) as n, max(p) as period, regr_slope(y, i) as slope,
+             regr_intercept(y, i) as intercept,
              case when coalesce(stddev_samp(dy), 0) = 0 then avg(y) * 0.03::double
                   else stddev_samp(dy) end as vol
            from st group by {k}),
     hz as (select ln.*, unnest(range(1, {horizon} + 1)) as step from ln),
     fc as (select hz.*, slope * (n + step) + intercept + seasonal as p,
              1.96::double * vol * sqrt(step) as ci
-           from hz join se on {j('hz', 'se')} and se.phase = ((hz.n + hz.step) % hz.n) % 7)"""
+           from hz join se on {j('hz', 'se')} and se.phase = ((hz.n + hz.step) % hz.n) % hz.period)"""
 
 
 BASELINE = TAIL90 + season_ctes("crop, mandi", "30")
@@ -91,20 +96,44 @@ def horizon_mean(spark, sf):
     return rounded(A.horizon_mean(days), ["avg_predicted_price"], 3)
 
 
-@query("flat_forecast", "daily_prices", sql=f"""
-    , r as (select *, row_number() over (partition by crop, mandi order by date desc) as rn
-            from daily_prices where date > {LAST_DAY} - 12)
-    select crop, mandi, cast(k as int) as step, {LAST_DAY} + cast(k as int) as date,
-      modal_price as predicted_price, {qs('modal_price * 0.95')} as lower_bound,
-      {qs('modal_price * 1.05')} as upper_bound
-    from r, (select unnest(range(1, 8)) as k) where rn = 1""")
+@query("flat_forecast", "spot_prices", sql="""
+    , s as (select crop, mandi, modal_price as y, count(*) over (partition by crop, mandi) as n,
+        row_number() over (partition by crop, mandi order by date) - 1 as i
+      from spot_prices where modal_price is not null)""" + season_ctes("crop, mandi", "7") + f"""
+    , every as (
+      select crop, mandi, step, p, p - ci as lo, p + ci as hi from fc
+      union all
+      select crop, mandi, k as step, y as p, y * 0.95::double as lo, y * 1.05::double as hi
+      from s, (select unnest(range(1, 8)) as k) where n < 14 and i = n - 1)
+    select crop, mandi, cast(step as int) as step,
+      (select cast(max(ts) as date) from events) + cast(step as int) as date,
+      {qs('p', 3)} as predicted_price, {qs('lo', 3)} as lower_bound, {qs('hi', 3)} as upper_bound from every""")
 def flat_forecast(spark, sf):
-    """Markets known for under 14 days: the flat branch of the forecast."""
-    as_of = newest_ship(spark, sf)
-    young = prices(spark, sf).filter(F.col("date") > F.date_sub(as_of, 12))
-    return rounded(
-        P.baseline_forecast(young, 7, as_of, digits=None), ["lower_bound", "upper_bound"]
+    """Short series: flat under 14 prices, trend and season from there on."""
+    out = P.baseline_forecast(
+        table(spark, sf, "spot_prices"), 7, newest(spark, sf, "events", "ts"), digits=None
     )
+    return rounded(out, BOUNDS, 3)
+
+
+@query("alerts_due", "subscriptions", "users", "daily_prices", sql=BASELINE + f"""
+    , f as (select s.crop, s.mandi, s.y as current_price, {qs('fc.p', 2)} as next_price
+      from s join fc on fc.crop = s.crop and fc.mandi = s.mandi and fc.step = 1 where s.i = s.n - 1),
+    p as (select b.*, coalesce(nullif(b.phone_number, ''), nullif(u.phone, '')) as ph
+      from subscriptions b left join users u on b.user_id = u.id where b.is_active)
+    select p.id, case when starts_with(ph, 'whatsapp:') then ph
+      when starts_with(ph, '+') then concat('whatsapp:', ph)
+      else concat('whatsapp:+91', ph) end as phone, language, p.crop, p.mandi, threshold_price,
+      current_price, next_price,
+      concat({duck_title('p.crop')}, ' @ ', {duck_title('p.mandi')}) as title,
+      concat('₹', cast(next_price as varchar), '/q') as quote
+    from p join f on p.crop = f.crop and p.mandi = f.mandi
+    where ph is not null and (threshold_price = 0 or current_price > threshold_price
+                              or next_price > threshold_price)""")
+def alerts_due(spark, sf):
+    """Subscriptions due by today's price or tomorrow's forecast of their market."""
+    levels = P.next_prices(prices(spark, sf)).withColumn("next_price", q("next_price", 2))
+    return joins.alerts_due(table(spark, sf, "subscriptions"), table(spark, sf, "users"), levels)
 
 
 @query("extend_horizon", "daily_prices", sql=BASELINE + f"""
@@ -120,7 +149,8 @@ def extend_horizon(spark, sf):
     return rounded(P.extend_horizon(days, 33), BOUNDS, 3)
 
 
-@query("forecast_report", "daily_prices", sql=BASELINE + f"""
+# mean forecast of each series with its advice, from ``fc``
+REPORT = """
     , d as (select crop, mandi, step, cast(round_even(p, 2) as decimal(18,2)) as p from fc),
     g as (select crop, mandi, sum(cast(p * 100 as bigint)) as cents, count(*) as n from d group by crop, mandi),
     a as (select crop, mandi, floor(cast(cents as double) / n) as whole,
@@ -132,13 +162,17 @@ def extend_horizon(spark, sf):
     x as (select v.*, c.msp, c.current_price,
             cast(round_even(abs(avg_p - msp) / msp * 100, 1) as double) as pct from v join c
             on v.crop = c.crop and v.mandi = c.mandi)
+    , rp as (select x.*, case when avg_p > msp then 'SELL' else 'HOLD' end as recommendation,
+      concat('Predicted avg price ₹', format('{:,.0f}', avg_p), ' is ', cast(pct as varchar),
+        case when avg_p > msp then '% above MSP ₹' else '% below MSP ₹' end, format('{:,.0f}', msp),
+        case when avg_p > msp then '' else ' — consider holding' end) as recommendation_reason from x)"""
+
+
+@query("forecast_report", "daily_prices", sql=BASELINE + REPORT + f"""
     select x.crop, x.mandi, 30 as horizon_days, current_price, msp, avg_p as avg_predicted_price,
-      case when avg_p > msp then 'SELL' else 'HOLD' end as recommendation,
-      concat('Predicted avg price ₹', format('{{:,.0f}}', avg_p), ' is ', cast(pct as varchar),
-        case when avg_p > msp then '% above MSP ₹' else '% below MSP ₹' end, format('{{:,.0f}}', msp),
-        case when avg_p > msp then '' else ' — consider holding' end) as recommendation_reason,
+      recommendation, recommendation_reason,
       cast(n as int) as days, cast(d.p as double) as first_price, {LAST_DAY} + 30 as last_day
-    from x join d on d.crop = x.crop and d.mandi = x.mandi and d.step = 1""")
+    from rp x join d on d.crop = x.crop and d.mandi = x.mandi and d.step = 1""")
 def forecast_report(spark, sf):
     daily = prices(spark, sf)
     floors = daily.groupBy("crop").agg(F.max("msp").alias("msp"))
@@ -151,6 +185,38 @@ def forecast_report(spark, sf):
     )
 
 
+def reply_sql(kind: str, templates: dict[str, str], slots: dict[str, str]) -> str:
+    text = template_sql("lang", templates)
+    for name, value in slots.items():
+        text = f"replace({text}, '{{{name}}}', {value})"
+    return f"select crop, mandi, lang, '{kind}' as command, {text} as reply from both_, langs"
+
+
+NAMED = {"crop": duck_title("crop"), "mandi": duck_title("mandi")}
+
+
+@query("market_replies", "daily_prices", sql=TAIL90 + season_ctes("crop, mandi", "7") + REPORT + f"""
+    , hist as (select crop, mandi, min(modal_price) as lo, max(modal_price) as hi, avg(modal_price) as mid
+      from daily_prices where date >= {LAST_DAY} - 30 group by crop, mandi),
+    both_ as (select rp.*, lo, hi, mid from rp left join hist on rp.crop = hist.crop and rp.mandi = hist.mandi),
+    langs as (select unnest({K.LANGUAGES}) as lang),
+    every as (
+    """ + reply_sql("history", K.HISTORY_TEMPLATE, {
+        **NAMED, "min": "cast(lo as varchar)", "max": "cast(hi as varchar)",
+        "avg": "cast(cast(round_even(mid, 0) as bigint) as varchar)"}) + " union all " + reply_sql(
+    "forecast", K.FORECAST_TEMPLATE, {
+        **NAMED, "current": "cast(current_price as varchar)", "msp": "cast(msp as varchar)",
+        "avg": "cast(avg_p as varchar)", "rec": "recommendation", "reason": "recommendation_reason"}) + """)
+    select * from every where reply is not null""")
+def market_replies(spark, sf):
+    """History and 7-day forecast replies of every market in every language."""
+    daily = materialise(prices(spark, sf).select(*KEYS, "modal_price", "msp"))
+    as_of = newest_ship(spark, sf)
+    floors = daily.groupBy("crop").agg(F.max("msp").alias("msp"))
+    recent = A.history_summary(daily.filter(F.col("date") >= F.date_sub(as_of, 30)))
+    return replies.market_replies(P.forecast_report(daily, 7, as_of, floors), recent)
+
+
 def backtest_sql() -> str:
     horizon = "(select unnest([30, 60, 90]) as horizon)"
     return f"""
@@ -183,19 +249,31 @@ def backtest_sql() -> str:
           as pi_coverage_95
       from dr group by crop, mandi, horizon, model_name),
     sz as (select crop, mandi, horizon, max(n_train) as n_train_samples, max(n_test) as n_test_samples
-           from hh group by crop, mandi, horizon)
-    select ev.crop, ev.mandi, ev.horizon, model_name,
-      {', '.join(f'{qs(c, 3)} as {c}' for c in SCORES)}, n_train_samples, n_test_samples
-    from ev join sz on ev.crop = sz.crop and ev.mandi = sz.mandi and ev.horizon = sz.horizon"""
+           from hh group by crop, mandi, horizon)"""
+
+
+BACKTEST = backtest_sql()
 
 
-@query("backtest", "daily_prices", sql=backtest_sql())
+@query("backtest", "daily_prices", sql=BACKTEST + f"""
+    select ev.crop, ev.mandi, ev.horizon, model_name,
+      {', '.join(f'{qs(c, 3)} as {c}' for c in SCORES)}, n_train_samples, n_test_samples
+    from ev join sz on ev.crop = sz.crop and ev.mandi = sz.mandi and ev.horizon = sz.horizon""")
 def backtest(spark, sf):
     return rounded(B.backtest(prices(spark, sf), K.HORIZONS), SCORES, 3)
 
 
+@query("pivot_model_horizon", "daily_prices", sql=BACKTEST + " select model_name, " + ", ".join(
+    f"{qs(f'avg(case when horizon = {h} then rmse end)', 3)} as h{h}" for h in K.HORIZONS
+) + " from ev group by model_name")
+def pivot_model_horizon(spark, sf):
+    wide = A.pivot_mean(B.backtest(prices(spark, sf), K.HORIZONS), "model_name", "horizon", K.HORIZONS)
+    return wide.select("model_name", *[q(F.col(f"`{h}`"), 3).alias(f"h{h}") for h in K.HORIZONS])
+
+
 def features(spark, sf):
-    return learn.stored_features(prices(spark, sf), table(spark, sf, "announcements"))
+    daily = materialise(prices(spark, sf))
+    return learn.stored_features(daily, announcements_of(daily))
 
 
 @query("regress_forecast")

@@ -19,11 +19,11 @@ def num(key: str) -> str:
 
 
 @query("scan_series", "raw_prices", sql=f"""
-    select fetch_date as date, {num('modal_price')} as modal_price, cast(2000 as double) as msp,
+    select fetch_date as date, {num('modal_price')} as modal_price, coalesce({num('msp')}, 2000) as msp,
       {num('min_price')} as min_price, {num('max_price')} as max_price,
-      {num('arrivals_tonnes')} as arrivals_tonnes, cast(0 as double) as rainfall_mm,
-      cast(35 as double) as max_temp, cast(20 as double) as min_temp,
-      cast(100 as double) as freight_index, cast(null as double) as futures_price
+      {num('arrivals_tonnes')} as arrivals_tonnes, coalesce({num('rainfall_mm')}, 0) as rainfall_mm,
+      coalesce({num('max_temp')}, 35) as max_temp, coalesce({num('min_temp')}, 20) as min_temp,
+      coalesce({num('freight_index')}, 100) as freight_index, {num('futures_price')} as futures_price
     from raw_prices
     where lower(crop) = 'purchase' and {MARKET} ilike 'm1'
       and fetch_date >= (select max(fetch_date) from raw_prices) - 1095""")
@@ -46,11 +46,11 @@ def price_history(spark, sf):
 
 
 @query("forecast_history", "raw_prices", sql=f"""
-    select fetch_date as date, {num('modal_price')} as modal_price, cast(0 as double) as msp,
+    select fetch_date as date, {num('modal_price')} as modal_price, coalesce({num('msp')}, 0) as msp,
       {num('min_price')} as min_price, {num('max_price')} as max_price,
-      coalesce({num('arrivals_tonnes')}, 0) as arrivals_tonnes, cast(0 as double) as rainfall_mm,
-      cast(null as double) as max_temp, cast(null as double) as min_temp,
-      cast(100 as double) as freight_index, cast(null as double) as futures_price
+      coalesce({num('arrivals_tonnes')}, 0) as arrivals_tonnes, coalesce({num('rainfall_mm')}, 0) as rainfall_mm,
+      {num('max_temp')} as max_temp, {num('min_temp')} as min_temp,
+      coalesce({num('freight_index')}, 100) as freight_index, {num('futures_price')} as futures_price
     from raw_prices
     where crop ilike 'view' and (coalesce({MARKET}, '') = '' or lower({MARKET}) like '%m0%')
       and fetch_date >= (select max(fetch_date) from raw_prices) - 365""")
@@ -162,13 +162,17 @@ def upsert_prices(spark, sf):
     select o.district, o.date,
       case when o.date >= date '2024-01-20' then o.rainfall_mm + 1 else o.rainfall_mm end as rainfall_mm,
       o.max_temp, o.min_temp, o.humidity, o.wind_speed
-    from weather_obs o""")
+    from weather_obs o
+    union all
+    select concat('N', district) as district, date, rainfall_mm + 1, max_temp, min_temp, humidity, wind_speed
+    from weather_obs where date >= date '2024-01-20'""")
 def upsert_weather(spark, sf):
     observed = table(spark, sf, "weather_obs")
     incoming = observed.filter("date >= date '2024-01-20'").withColumn(
         "rainfall_mm", F.col("rainfall_mm") + 1
     )
-    return sinks.upsert_weather(observed, incoming, ["wind_speed"])
+    opened = incoming.withColumn("district", F.concat(F.lit("N"), "district"))  # stations not seen before
+    return sinks.upsert_weather(observed, incoming.unionByName(opened), ["wind_speed"])
 
 
 @query("replace_diagnostics", "daily_prices", sql="""

@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from furrow import constants as K
 from furrow.catalog.registry import q, qs, query
-from furrow.catalog.scalars import duck_title
 from furrow.operators import joins
-from furrow.operators.series import tail_n
-from furrow.sources.canonical import load, table
+from furrow.session import materialise
+from furrow.sources.canonical import announcements_of, load, table
 
 KEYS = ["crop", "mandi", "date"]
 
@@ -22,46 +21,14 @@ def subs_left_users(spark, sf):
     )
 
 
-@query("alerts_due", "subscriptions", "users", "daily_prices", sql=f"""
-    , r as (select crop, mandi, modal_price, row_number() over (partition by crop, mandi
-                                                     order by date desc) as rn from daily_prices),
-    f as (select crop, mandi, max(case when rn = 1 then modal_price end) as current_price,
-            max(case when rn = 2 then modal_price end) as next_price
-          from r where rn <= 2 group by crop, mandi),
-    p as (select s.*, coalesce(nullif(s.phone_number, ''), nullif(u.phone, '')) as ph
-      from subscriptions s left join users u on s.user_id = u.id where s.is_active)
-    select p.id, case when starts_with(ph, 'whatsapp:') then ph
-      when starts_with(ph, '+') then concat('whatsapp:', ph)
-      else concat('whatsapp:+91', ph) end as phone, language, p.crop, p.mandi, threshold_price,
-      current_price, next_price,
-      concat({duck_title('p.crop')}, ' @ ', {duck_title('p.mandi')}) as title,
-      concat('₹', cast(next_price as varchar), '/q') as quote
-    from p join f on p.crop = f.crop and p.mandi = f.mandi
-    where ph is not null and (threshold_price = 0 or current_price > threshold_price
-                              or next_price > threshold_price)""")
-def alerts_due(spark, sf):
-    # one row per series: newest price, and the one before as a naive forecast
-    newest = tail_n(table(spark, sf, "daily_prices"), 2).select(
-        *KEYS, "modal_price"
-    )
-    levels = newest.groupBy("crop", "mandi").agg(
-        F.max_by("modal_price", "date").alias("current_price"),
-        F.min_by("modal_price", "date").alias("next_price"),
-    )
-    return joins.alerts_due(
-        table(spark, sf, "subscriptions"), table(spark, sf, "users"), levels
-    )
-
-
 @query("msp_asof", "daily_prices", "announcements", sql="""
     select d.crop, d.mandi, d.date,
       coalesce(d.date - a.announced_on, 0) as days_since_msp_announcement
     from daily_prices d asof left join announcements a
       on d.crop = a.crop and d.date >= a.announced_on""")
 def msp_asof(spark, sf):
-    out = joins.days_since_announcement(
-        table(spark, sf, "daily_prices"), table(spark, sf, "announcements")
-    )
+    daily = materialise(table(spark, sf, "daily_prices").select(*KEYS))
+    out = joins.days_since_announcement(daily, announcements_of(daily))
     return out.select(*KEYS, "days_since_msp_announcement")
 
 
@@ -73,10 +40,9 @@ def msp_asof(spark, sf):
       then {qs('(msp - prev) / prev * 100', 6)} end, 0) as msp_hike_pct
     from l left join announcements a on a.crop = l.crop and a.announced_on = l.date""")
 def msp_hike(spark, sf):
-    stepped = table(spark, sf, "daily_prices").withColumn(
-        "msp", F.col("msp") + 10 * (F.year("date") - 1990)
-    )
-    out = joins.floor_price_hike(stepped, table(spark, sf, "announcements"))
+    daily = materialise(table(spark, sf, "daily_prices").select(*KEYS, "msp"))
+    stepped = daily.withColumn("msp", F.col("msp") + 10 * (F.year("date") - 1990))
+    out = joins.floor_price_hike(stepped, announcements_of(daily))
     return out.select(*KEYS, q("msp_hike_pct", 6).alias("msp_hike_pct"))
 
 

@@ -69,10 +69,9 @@ def date_window(spark, sf):
     )
 
 
-@query("fill_defaults", "raw_prices", sql="""
-    select id, cast(2000 as double) as msp, cast(0 as double) as rainfall_mm,
-      cast(35 as double) as max_temp, cast(20 as double) as min_temp,
-      cast(100 as double) as freight_index from raw_prices""")
+@query("fill_defaults", "raw_prices", sql="select id, " + ", ".join(
+    f"coalesce(try_cast(json_extract_string(raw_data, '$.{k}') as double), {v}) as {k}"
+    for k, v in K.TRAINING_DEFAULTS.items()) + " from raw_prices")
 def fill_defaults(spark, sf):
     parsed = table(spark, sf, "raw_prices").select(
         "id", F.from_json("raw_data", schemas.PRICE_PAYLOAD).alias("p")
@@ -292,16 +291,20 @@ def duck_title(value: str) -> str:
             f"lambda w: upper(w[1]) || lower(w[2:])), ' ')")
 
 
+def template_sql(lang: str, templates: dict[str, str]) -> str:
+    return f"case {lang} " + " ".join(f"when '{x}' then '{t}'" for x, t in templates.items()) + " end"
+
+
 @query("render_template", "messages", sql=COMMANDS + f"""
-    select conv_id, turn, replace(replace(case conv_id % 2 when 0
-        then '{K.SUBSCRIBED_TEMPLATE['english']}' else '{K.SUBSCRIBED_TEMPLATE['hindi']}' end,
+    select conv_id, turn, replace(replace({template_sql('langs[conv_id % 5 + 1]', K.SUBSCRIBED_TEMPLATE)},
       '{{crop}}', {duck_title('crop')}), '{{mandi}}', {duck_title('mandi')}) as reply
-    from cmd where command = 'subscribe'""")
+    from cmd, (select {K.LANGUAGES} as langs) where command = 'subscribe'""")
 def render_template(spark, sf):
     rows = table(spark, sf, "messages").select(
         "conv_id", "turn", text.classify(F.col("body")).alias("c")
     ).filter("c.command = 'subscribe'")
-    lang = F.when(F.col("conv_id") % 2 == 0, "English").otherwise("Hindi")
+    names = F.array(*[F.lit(x.title()) for x in K.LANGUAGES])
+    lang = F.get(names, (F.col("conv_id") % len(K.LANGUAGES)).cast("int"))
     slots = {"crop": text.title_case(F.col("c.crop")), "mandi": text.title_case(F.col("c.mandi"))}
     return rows.select(
         "conv_id", "turn",
@@ -357,11 +360,12 @@ def require_complete(spark, sf):
 
 
 @query("min_rows_gate", "raw_prices", sql="""
-    select id, crop, state from raw_prices where (crop, state) in (
-      select (crop, state) from raw_prices group by crop, state having count(*) >= 400)""")
+    select id, crop, state, fetch_date from raw_prices where (crop, state, fetch_date) in (
+      select (crop, state, fetch_date) from raw_prices group by crop, state, fetch_date
+      having count(*) >= 14)""")
 def min_rows_gate(spark, sf):
-    raw = table(spark, sf, "raw_prices").select("id", "crop", "state")
-    return series.min_rows_gate(raw, 400, ["crop", "state"])
+    raw = table(spark, sf, "raw_prices").select("id", "crop", "state", "fetch_date")
+    return series.min_rows_gate(raw, 14, ["crop", "state", "fetch_date"])
 
 
 @query("cast_iso_dates", "feed_text", sql="select id, order_date as date from feed_text")

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from furrow import constants as K
 from furrow.catalog.aggregates import edge_name
+from furrow.catalog.forecasts import season_ctes
 from furrow.catalog.ingest import J
-from furrow.catalog.registry import qs, query, rounded
+from furrow.catalog.registry import newest, qs, query, rounded
 from furrow.catalog.scalars import COMMANDS
 from furrow.functions.numbers import json_number
-from furrow.session import shared_folder
+from furrow.plans import forecast
+from furrow.session import materialise, shared_folder
 from furrow.sources.canonical import load, table
 from furrow.streaming import jobs
 
@@ -29,18 +31,31 @@ def event_prices(spark, sf):
     )
 
 
-@query("price_change_feed", sql=f"""
-    with m as (select event_type as crop, concat('M', cast(user_id % 3 as varchar)) as mandi,
+@query("price_change_feed", "market_days", sql=f"""
+    , mi as (select event_type as crop, concat('M', cast(user_id % 3 as varchar)) as mandi,
         date_trunc('minute', ts) + interval 1 minute as ts, arg_max(value, ts) as price
       from events group by 1, 2, 3),
-    l as (select crop, mandi, m.ts, price, lag(price) over (partition by crop, mandi order by m.ts) as prev
-      from m)
-    select crop, mandi, ts, price, {qs('case when prev > 0 then (price - prev) / prev * 100 else 0 end')}
-      as change_pct
-    from l where prev is null or prev <> price""")
+    ch as (select crop, mandi, mi.ts, price, lag(price) over (partition by crop, mandi order by mi.ts) as prev
+      from mi),
+    s as (select crop, mandi, modal_price as y, count(*) over (partition by crop, mandi) as n,
+        row_number() over (partition by crop, mandi order by date) - 1 as i
+      from market_days where modal_price is not null)""" + season_ctes("crop, mandi", "7") + f"""
+    , expect as (select crop, mandi, avg(p) as average from (
+        select crop, mandi, p from fc union all select crop, mandi, y from s where n < 14 and i = n - 1)
+      group by crop, mandi),
+    floors as (select crop, floor(avg(modal_price)) + 0.5 as msp from market_days group by crop)
+    select ch.crop, ch.mandi, ts, price,
+      {qs('case when prev > 0 then (price - prev) / prev * 100 else 0 end')} as change_pct,
+      case when average > msp then 'SELL' else 'HOLD' end as recommendation
+    from ch left join expect e on e.crop = ch.crop and e.mandi = ch.mandi left join floors f on f.crop = ch.crop
+    where prev is null or prev <> price""")
 def price_change_feed(spark, sf):
+    """Price changes with the current advice of their market."""
+    days = materialise(table(spark, sf, "market_days"))
+    floors = days.groupBy("crop").agg((F.floor(F.avg("modal_price")) + 0.5).alias("msp"))
+    reports = forecast.forecast_report(days, 7, newest(spark, sf, "events", "ts"), floors)
     changes = jobs.price_change_feed(event_prices(spark, sf).drop("id"))
-    out = jobs.run_available(changes, shared_folder(spark))
+    out = jobs.with_advice(jobs.run_available(changes, shared_folder(spark)), reports)
     return rounded(out, ["change_pct"]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 

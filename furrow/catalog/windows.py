@@ -12,7 +12,8 @@ from furrow.catalog.registry import q, qs, query, rounded
 from furrow.operators import aggregates as A, ops, series, splits, windows as W
 from furrow.operators.features import engineer_features
 from furrow.plans import forecast
-from furrow.sources.canonical import load, table
+from furrow.session import materialise
+from furrow.sources.canonical import announcements_of, load, table
 
 SERIES = ["crop", "mandi"]
 KEYS = [*SERIES, "date"]
@@ -190,25 +191,28 @@ FEATURES = CORR + f"""
 
 @query("features_53", "daily_prices", "announcements", sql=FEATURES)
 def features_53(spark, sf):
-    daily = prices(spark, sf)
-    out = engineer_features(daily, table(spark, sf, "announcements"))
+    daily = materialise(prices(spark, sf))  # read twice: features and announcement days
+    out = engineer_features(daily, announcements_of(daily))
     return out.withColumns({c: q(c, d) for c, d in DIGITS.items()})
 
 
 @query("last_known", "raw_prices", sql="""
-    , p as (select crop, state as mandi, fetch_date as date, id,
+    , p as (select case crop when 'error' then 'Mustard' else crop end as crop, state as mandi,
+        fetch_date as date, id,
         try_cast(json_extract_string(raw_data, '$.modal_price') as double) as price from raw_prices),
     r as (select *, row_number() over (partition by crop, mandi order by date desc, id desc) as rn
-          from p where price is not null and mandi <> 'S4')
-    select distinct p.crop, p.mandi, coalesce(r.price, 2000) as current_price
+          from p where price is not null)
+    select distinct p.crop, p.mandi, coalesce(r.price, case when p.crop = 'Mustard' then 5650 else 2000 end)
+      as current_price
     from p left join r on r.crop = p.crop and r.mandi = p.mandi and r.rn = 1""")
 def last_known(spark, sf):
     from furrow.functions.numbers import json_number
 
-    price = F.when(F.col("state") != "S4", json_number(F.col("raw_data"), "modal_price"))
+    # one of the crops with a support price; its market S4 and view in S2 have no price at all
+    crop = F.when(F.col("crop") == "error", "Mustard").otherwise(F.col("crop"))
     raw = table(spark, sf, "raw_prices").select(
-        "crop", F.col("state").alias("mandi"), "id", F.col("fetch_date").alias("date"),
-        price.alias("modal_price"),
+        crop.alias("crop"), F.col("state").alias("mandi"), "id", F.col("fetch_date").alias("date"),
+        json_number(F.col("raw_data"), "modal_price").alias("modal_price"),
     )
     # newest priced row per day first: the operator expects daily grain
     daily = series.daily_grain(raw.filter("modal_price is not null"), "id")
@@ -313,9 +317,11 @@ POS = """
       case when pos < n - greatest(60, floor(n * 0.15::double)) then 'train' else 'test' end as split_60
     from p""")
 def split_temporal(spark, sf):
-    share = splits.split_temporal(prices(spark, sf)).select(*KEYS, "split")
-    tail = splits.split_temporal(prices(spark, sf), horizon=60)
-    return share.join(tail.select(*KEYS, F.col("split").alias("split_60")), KEYS)
+    rows = splits.with_position(prices(spark, sf))
+    return rows.select(
+        *KEYS, splits.side(splits.train_rows()).alias("split"),
+        splits.side(splits.train_rows(horizon=60)).alias("split_60"),
+    )
 
 
 @query("split_ts_folds", "daily_prices", sql=POS + """
@@ -394,13 +400,18 @@ def price_changes(spark, sf):
     return W.price_changes(daily, SERIES, "date", "price")
 
 
-@query("pool_series", "daily_prices", sql="""
-    select crop, mandi, date, modal_price from daily_prices
-    where crop in ('STANDARD', 'PROMO', 'LARGE') and (crop, mandi) in (
-      select (crop, mandi) from daily_prices group by crop, mandi having count(*) >= 1800)""")
+@query("pool_series", sql="""
+    with e as (select event_type as crop, concat('M', cast(user_id % 40 as varchar)) as mandi, ts as date,
+        event_id as id, value as modal_price from events)
+    select * from e where crop in ('click', 'view', 'signup') and (crop, mandi) in (
+      select (crop, mandi) from e group by crop, mandi having count(*) >= 50)""")
 def pool_series(spark, sf):
-    rows = prices(spark, sf).select(*KEYS, "modal_price")
-    return splits.pool_series(rows, ["STANDARD", "PROMO", "LARGE"], 1800)
+    rows = load(spark, sf, "events").select(
+        F.col("event_type").alias("crop"),
+        F.concat(F.lit("M"), (F.col("user_id") % 40).cast("string")).alias("mandi"),
+        F.col("ts").alias("date"), F.col("event_id").alias("id"), F.col("value").alias("modal_price"),
+    )
+    return splits.pool_series(rows, ["click", "view", "signup"], 50)
 
 
 @query("append_future", "daily_prices", sql="""

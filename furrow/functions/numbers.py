@@ -19,11 +19,6 @@ def parse_price(text: Column) -> Column:
     return F.trim(text).try_cast("double")
 
 
-def clean_nan(value: Column) -> Column:
-    """NaN to NULL (NULL is the only missing marker in the engine)."""
-    return F.nanvl(value, F.lit(None).cast("double"))
-
-
 def fill_defaults(df: DataFrame, defaults: dict[str, float]) -> DataFrame:
     """Replace NULL by a per-column default."""
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})

@@ -24,9 +24,13 @@ def engineer_features(df: DataFrame, announcements: DataFrame | None = None) ->
     if announcements is not None:
         # back to one partition per series: a join on the crop alone would leave
         # every market of a crop in the same window task
-        df = attach_announcements(df, announcements).repartition(*SERIES)
+        df = attach_announcements(df, announcements)
+        known = F.filter("_announced", lambda d: d <= F.col("date"))
+        df = df.withColumns(
+            {"_last": F.array_max(known), "_today": F.array_contains("_announced", F.col("date"))}
+        ).drop("_announced").repartition(*SERIES)
     else:
-        df = df.withColumn("_announced", F.array().cast("array<date>"))
+        df = df.withColumns({"_last": F.lit(None).cast("date"), "_today": F.lit(False)})
 
     mean_temp = (F.col("max_temp") + F.col("min_temp")) / 2
     price, msp = F.col("modal_price"), F.col("msp")
@@ -53,9 +57,8 @@ def engineer_features(df: DataFrame, announcements: DataFrame | None = None) ->
     day = F.col("date")
     month_sin, month_cos = dates.month_cycle(day)
     week_sin, week_cos = dates.week_cycle(day)
-    last_announced = F.array_max(F.filter("_announced", lambda d: d <= day))
     hike = F.when(
-        F.array_contains("_announced", day) & (F.col("_msp_before") > 0),
+        F.col("_today") & (F.col("_msp_before") > 0),
         (msp - F.col("_msp_before")) / F.col("_msp_before") * 100,
     )
     df = df.withColumns(
@@ -67,7 +70,7 @@ def engineer_features(df: DataFrame, announcements: DataFrame | None = None) ->
             "msp_distance": numbers.floor_gap(price, msp),
             "msp_pct": numbers.floor_gap_pct(price, msp),
             "days_since_msp_announcement": F.coalesce(
-                F.date_diff(day, last_announced), F.lit(0)
+                F.date_diff(day, F.col("_last")), F.lit(0)
             ),
             "msp_hike_pct": F.coalesce(hike, F.lit(0.0)),
             "drought_flag": numbers.drought_flag(F.col("rainfall_roll_10d")),

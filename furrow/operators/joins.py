@@ -102,13 +102,6 @@ def experiment_grid(
     )
 
 
-def crop_grid(crops: DataFrame, markets: list[str]) -> DataFrame:
-    """Every crop with every listed market."""
-    return crops.select("crop").distinct().withColumn(
-        "mandi", F.explode(F.array(*[F.lit(m) for m in markets]))
-    )
-
-
 def with_support_price(df: DataFrame, crop: str = "crop") -> DataFrame:
     """Support price of each row's crop (16 fixed entries as a literal map)."""
     return df.withColumn("msp", numbers.support_price(F.col(crop)))

@@ -24,14 +24,20 @@ def test_size(n: Column, horizon: Column | int) -> Column:
     return F.greatest(horizon.cast("bigint"), F.floor(n * 0.15))
 
 
+def train_rows(train_share: float = 0.8, horizon: int | None = None) -> Column:
+    """Rows before the cut: a share of the series, or all but its held-out rows."""
+    if horizon is None:
+        return F.floor(F.col("n") * train_share)
+    return F.col("n") - test_size(F.col("n"), horizon)
+
+
+def side(cut: Column) -> Column:
+    return F.when(F.col("pos") < cut, "train").otherwise("test")
+
+
 def split_temporal(df: DataFrame, train_share: float = 0.8, horizon: int | None = None) -> DataFrame:
     """First part trains, the rest tests, by position in the series."""
-    rows = with_position(df)
-    if horizon is None:
-        cut = F.floor(F.col("n") * train_share)
-    else:
-        cut = F.col("n") - test_size(F.col("n"), horizon)
-    return rows.withColumn("split", F.when(F.col("pos") < cut, "train").otherwise("test"))
+    return with_position(df).withColumn("split", side(train_rows(train_share, horizon)))
 
 
 def split_ts_folds(df: DataFrame, k: int = 3, min_side: int = 0) -> DataFrame:

@@ -180,6 +180,14 @@ def baseline_forecast(
     return days.select(*SERIES, "step", "date", *[v.alias(c) for v, c in zip(values, names)])
 
 
+def next_prices(prices: DataFrame) -> DataFrame:
+    """Newest known price and the next day's forecast, one row per series."""
+    fitted = fit_tails(tails(prices)).withColumn("_last", F.coalesce("_last", F.lit(K.DEFAULT_PRICE)))
+    return fitted.select(
+        *SERIES, F.col("_last").alias("current_price"), projection(F.lit(1))[0].alias("next_price")
+    )
+
+
 def flat_forecast(levels: DataFrame, horizon: int, as_of: Column) -> DataFrame:
     """Flat projection of ``current_price`` with a 5 % band."""
     price = F.col("current_price")

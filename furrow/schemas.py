@@ -2,43 +2,6 @@
 
 from __future__ import annotations
 
-RAW_PRICES = (
-    "id bigint, crop string, state string, fetch_date date, raw_data string, created_at timestamp"
-)
-SCRAPE_ERRORS = ("crop string, state string, error_message string, failed_at timestamp")
-WEATHER_OBS = (
-    "district string, date date, rainfall_mm double, max_temp double, min_temp double, "
-    "humidity double, wind_speed double"
-)
-MODEL_DIAGNOSTICS = (
-    "crop string, mandi string, test_name string, stage string, adf_statistic double, "
-    "p_value double, critical_1pct double, critical_5pct double, critical_10pct double, "
-    "is_stationary boolean, differencing_applied boolean"
-)
-MODEL_CONFIGS = (
-    "crop string, lstm_units int, dropout double, learning_rate double, sequence_length int, "
-    "batch_size int, rmse double, optimized_at timestamp"
-)
-EXPLANATIONS = (
-    "crop string, prediction_date date, feature_name string, shap_value double, "
-    "feature_value double, farmer_label string, rank int, created_at timestamp"
-)
-SUBSCRIPTIONS = (
-    "id bigint, user_id bigint, phone_number string, language string, crop string, mandi string, "
-    "threshold_price double, is_active boolean"
-)
-RETRAINING_LOGS = (
-    "crop string, mandi string, started_at timestamp, finished_at timestamp, "
-    "duration_seconds double, rmse_before double, rmse_after double, improvement_pct double, "
-    "model_promoted boolean, feature_importance_delta map<string,double>, status string, "
-    "error_message string"
-)
-MODEL_EVALUATIONS = (
-    "crop string, mandi string, horizon int, model_name string, rmse double, mae double, "
-    "mape double, directional_accuracy double, pi_coverage_95 double, training_time_s double, "
-    "n_train_samples bigint, n_test_samples bigint"
-)
-
 # payload of raw_prices.raw_data: the market name may sit under any of three keys
 PRICE_PAYLOAD = (
     "commodity string, market_name string, mandi string, market string, state string, "

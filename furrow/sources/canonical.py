@@ -52,16 +52,48 @@ TABLES = {
             case event_id % 4 when 0 then 'market_name' when 1 then 'mandi'
                               when 2 then 'market' else 'place' end,
             '":"M', cast(user_id % 3 as varchar(4)), '"',
-            case when event_id % 7 = 0 then '' else concat(',"modal_price":',
+            case when event_id % 7 = 0 or (event_type = 'error' and user_id % 5 = 4)
+                   or (event_type = 'view' and user_id % 5 = 2) then ''
+                 else concat(',"modal_price":',
                  cast(cast(value as decimal(12,2)) as varchar(20))) end,
             case when event_id % 5 = 0 then '' else concat(',"min_price":',
                  cast(cast(value - 0.25 as decimal(12,2)) as varchar(20))) end,
             ',"max_price":', cast(cast(value + 0.25 as decimal(12,2)) as varchar(20)),
             case when event_id % 3 = 0 then '' else concat(',"arrivals_tonnes":',
                  cast(user_id as varchar(20))) end,
+            case when event_id % 4 = 1 then concat(',"msp":',
+                 cast(1800 + 50 * (event_id % 9) as varchar(20))) else '' end,
+            case when event_id % 6 = 1 then concat(',"rainfall_mm":',
+                 cast(event_id % 30 as varchar(4)), '.5') else '' end,
+            case when event_id % 4 = 2 then concat(',"max_temp":',
+                 cast(30 + event_id % 13 as varchar(4))) else '' end,
+            case when event_id % 5 = 2 then concat(',"min_temp":',
+                 cast(10 + event_id % 11 as varchar(4))) else '' end,
+            case when event_id % 9 = 4 then concat(',"freight_index":',
+                 cast(95 + event_id % 17 as varchar(4))) else '' end,
+            case when event_id % 8 = 3 then concat(',"futures_price":',
+                 cast(cast(value + 2.25 as decimal(12,2)) as varchar(20))) else '' end,
             '}}') as raw_data,
           ts as created_at
         from {events}""",
+    # newest price per day of few markets, as the live feed sees them
+    "market_days": """
+        select crop, mandi, date, modal_price from (
+          select event_type as crop, concat('M', cast(user_id % 3 as varchar(4))) as mandi,
+            cast(ts as date) as date, value as modal_price,
+            row_number() over (partition by event_type, user_id % 3, cast(ts as date)
+                               order by ts desc, event_id desc) as rn
+          from {events}) x
+        where rn = 1""",
+    # newest price per day of many short series, most of them under 14 days
+    "spot_prices": """
+        select crop, mandi, date, modal_price from (
+          select event_type as crop, concat('U', cast(user_id as varchar(20))) as mandi,
+            cast(ts as date) as date, value as modal_price,
+            row_number() over (partition by event_type, user_id, cast(ts as date)
+                               order by event_id desc) as rn
+          from {events}) x
+        where rn = 1""",
     "weather_obs": """
         select cast(user_id as varchar(20)) as district, cast(ts as date) as date,
           case when (extract(day from cast(ts as date)) + user_id) % 3 = 0 then null
@@ -193,7 +225,8 @@ TABLES = {
         from {part}""",
     "runs": """
         select p_partkey as id, p_type as crop, concat('M', cast(p_size % 3 as varchar(4))) as mandi,
-          case when p_partkey % 5 = 0 then null else p_retailprice end as rmse_before,
+          case when p_partkey % 5 = 0 or (p_type = 'PROMO' and p_size % 3 = 2) then null
+               else p_retailprice end as rmse_before,
           case when p_partkey % 11 = 0 then null
                else p_retailprice * cast(90 + p_partkey % 20 as double) / 100 end as rmse_after,
           case when p_partkey % 11 = 0 then 'failed' else 'success' end as status
@@ -225,6 +258,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **inputs)
 
 
+def announcements_of(daily: DataFrame) -> DataFrame:
+    """Announcement days of a daily table that is already at hand."""
+    return daily.sparkSession.sql(TABLES["announcements"], daily_prices=daily)
+
+
 def with_clause(*names: str) -> str:
     """``WITH ...`` defining the named canonical tables for the SQL twins."""
     done: dict[str, str] = {}
