@@ -210,12 +210,29 @@ def ks_drift(spark, sf):
     )
 
 
-@query("ks_drift_exact")
+# the pooled values drawn one by one: i of them from the first sample, with probability pr
+EXACT = KS + """
+    , lat as (select crop, n1, n2, statistic, cast(round(statistic * n1 * n2) as bigint) as reach from p),
+    ex as (with recursive walk(crop, n1, n2, reach, drawn, i, pr) as (
+        select crop, n1, n2, reach, cast(0 as bigint), cast(0 as bigint), 1.0::double from lat where reach > 0
+        union all
+        select crop, n1, n2, reach, drawn + 1, i, sum(pr) from (
+          select crop, n1, n2, reach, drawn, i + up as i,
+            pr * (case when up = 1 then n1 - i else n2 - (drawn - i) end) / (n1 + n2 - drawn) as pr
+          from walk, (select unnest([0, 1]) as up) where drawn < n1 + n2) s
+        where pr > 0 and abs(i * n2 - (drawn + 1 - i) * n1) < reach
+        group by crop, n1, n2, reach, drawn, i)
+      select crop, 1 - sum(case when drawn = n1 + n2 then pr else 0 end) as p_value from walk group by crop)"""
+
+
+@query("ks_drift_exact", "daily_prices", sql=EXACT + f"""
+    select lat.crop, n1, n2, {qs('statistic', 8)} as statistic, {qs('coalesce(ex.p_value, 1)', 6)} as p_value,
+      'exact' as method, coalesce(ex.p_value, 1) < 0.05::double as drift
+    from lat left join ex on ex.crop = lat.crop""")
 def ks_drift_exact(spark, sf):
-    """Exact small-sample p-values by lattice-path counting (no SQL twin)."""
-    return drift.ks_drift(
-        table(spark, sf, "daily_prices"), ["crop"], newest_ship(spark, sf), exact=True
-    )
+    """Exact small-sample p-values by lattice-path counting."""
+    out = drift.ks_drift(table(spark, sf, "daily_prices"), ["crop"], newest_ship(spark, sf), exact=True)
+    return rounded(rounded(out, ["statistic"], 8), ["p_value"], 6)
 
 
 @query("adf_test")
@@ -225,7 +242,8 @@ def adf_test(spark, sf):
 
 @query("make_stationary")
 def make_stationary(spark, sf):
-    _, diagnostics = stationarity.make_stationary(table(spark, sf, "daily_prices"))
+    """Diagnostics of all series and of a random walk beside each."""
+    _, diagnostics = stationarity.make_stationary(table(spark, sf, "walk_prices"))
     return diagnostics
 
 

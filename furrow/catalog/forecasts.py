@@ -263,6 +263,15 @@ def backtest(spark, sf):
     return rounded(B.backtest(prices(spark, sf), K.HORIZONS), SCORES, 3)
 
 
+@query("backtest_models")
+def backtest_models(spark, sf):
+    """The back-test with the learned regression beside the other two models
+    (no SQL twin: the fit has none)."""
+    daily = materialise(prices(spark, sf))
+    learned = learn.holdout_forecasts(learn.stored_features(daily, announcements_of(daily)), daily, K.HORIZONS)
+    return B.backtest(daily, K.HORIZONS, {"regression": learned})
+
+
 @query("pivot_model_horizon", "daily_prices", sql=BACKTEST + " select model_name, " + ", ".join(
     f"{qs(f'avg(case when horizon = {h} then rmse end)', 3)} as h{h}" for h in K.HORIZONS
 ) + " from ev group by model_name")

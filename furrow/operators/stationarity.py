@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from furrow.functions.stats import adf_critical, adf_p_value
 from furrow.operators.series import SERIES
 from furrow.operators.windows import first_difference
+from furrow.session import materialise
 
 ADF_SCHEMA = (
     "crop string, mandi string, adf_statistic double, p_value double, critical_1pct double, "
@@ -57,52 +58,63 @@ def adf_statistic(y: np.ndarray) -> tuple[float, int, int]:
     return float(stat), best, len(target)
 
 
-def adf_test(df: DataFrame, value: str = "modal_price") -> DataFrame:
-    """One row per series.  A series is at daily grain, so the group handed to
-    the function is one short array; series spread over all tasks."""
+def _tested(y: np.ndarray) -> dict:
+    """Test result of one array; too short or constant: no test."""
+    if len(y) < 8 or np.ptp(y) == 0:
+        return {}
+    stat, lag, nobs = adf_statistic(y)
+    return {
+        "adf_statistic": stat, "p_value": adf_p_value(stat),
+        "critical_1pct": adf_critical("1pct", nobs), "critical_5pct": adf_critical("5pct", nobs),
+        "critical_10pct": adf_critical("10pct", nobs), "used_lag": lag, "nobs": nobs,
+    }
+
+
+def adf_stages(
+    df: DataFrame, significance: float | None = 0.05, value: str = "modal_price"
+) -> DataFrame:
+    """A row ``original`` per series and, where that one is not stationary, a
+    row ``differenced``; without ``significance`` only the first.
+
+    A series is at daily grain, so the group handed to the function is one short
+    array; series spread over all tasks, and both stages cost one shuffle.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         y = group.sort_values("date")["value"].to_numpy(dtype=float)
-        row = {k: group[k].iloc[0] for k in SERIES}
-        if len(y) < 8 or np.ptp(y) == 0:  # too short or constant: no test
-            return pd.DataFrame([row], columns=ADF_COLUMNS)
-        stat, lag, nobs = adf_statistic(y)
-        row.update(
-            adf_statistic=stat,
-            p_value=adf_p_value(stat),
-            critical_1pct=adf_critical("1pct", nobs),
-            critical_5pct=adf_critical("5pct", nobs),
-            critical_10pct=adf_critical("10pct", nobs),
-            used_lag=lag,
-            nobs=nobs,
-        )
-        return pd.DataFrame([row], columns=ADF_COLUMNS)
+        key = {k: group[k].iloc[0] for k in SERIES}
+        rows = []
+        if not np.isnan(y).all():
+            rows.append({**key, "stage": "original", **_tested(y[~np.isnan(y)])})
+            if significance is not None and rows[0].get("p_value", 0.0) > significance:
+                change = np.diff(y)
+                rows.append({**key, "stage": "differenced", **_tested(change[~np.isnan(change)])})
+        return pd.DataFrame(rows, columns=["crop", "mandi", "stage", *ADF_COLUMNS[2:]])
 
     slim = df.select(*SERIES, "date", F.col(value).cast("double").alias("value"))
-    return slim.filter(F.col("value").isNotNull()).groupBy(*SERIES).applyInPandas(run, ADF_SCHEMA)
+    staged = ADF_SCHEMA.replace("mandi string", "mandi string, stage string")
+    return slim.groupBy(*SERIES).applyInPandas(run, staged)
 
 
-ADF_COLUMNS = [field.split()[0] for field in ADF_SCHEMA.split(", ")]
+def adf_test(df: DataFrame, value: str = "modal_price") -> DataFrame:
+    """One row per series with a known value."""
+    return adf_stages(df, None, value).drop("stage")
 
 
-def _diagnostic(tests: DataFrame, stage: str, significance: float, differenced) -> DataFrame:
-    return tests.select(
-        *SERIES,
-        F.lit("ADF").alias("test_name"),
-        F.lit(stage).alias("stage"),
-        "adf_statistic", "p_value", "critical_1pct", "critical_5pct", "critical_10pct",
-        (F.col("p_value") <= significance).alias("is_stationary"),
-        differenced.alias("differencing_applied"),
-    )
+ADF_COLUMNS = [field.split()[0] for field in ADF_SCHEMA.split(", ")]
 
 
 def make_stationary(
     df: DataFrame, significance: float = 0.05, value: str = "modal_price"
 ) -> tuple[DataFrame, DataFrame]:
     """(series, diagnostics): non-stationary series are differenced once and
-    tested again; the diagnostics carry one row per test stage."""
-    original = adf_test(df, value)
-    rejected = original.filter(F.col("p_value") > significance).select(*SERIES)
+    tested again; the diagnostics carry one row per test stage.
+
+    The test result, at most two short rows a series, is stored once for both.
+    """
+    stages = materialise(adf_stages(df, significance, value))
+    failed = (F.col("stage") == "original") & (F.col("p_value") > significance)
+    rejected = stages.filter(failed).select(*SERIES)
     levels = df.select(*SERIES, "date", F.col(value).alias("value"))
     changed = first_difference(levels.join(rejected, SERIES, "left_semi"), "value").select(
         *SERIES, "date", F.col("diff").alias("value")
@@ -111,8 +123,11 @@ def make_stationary(
     series = kept.withColumn("differenced", F.lit(False)).unionByName(
         changed.withColumn("differenced", F.lit(True))
     )
-    again = adf_test(changed, "value")
-    diagnostics = _diagnostic(
-        original, "original", significance, F.col("p_value") > significance
-    ).unionByName(_diagnostic(again, "differenced", significance, F.lit(True)))
+    diagnostics = stages.select(
+        *SERIES, F.lit("ADF").alias("test_name"), "stage",
+        "adf_statistic", "p_value", "critical_1pct", "critical_5pct", "critical_10pct",
+        (F.col("p_value") <= significance).alias("is_stationary"),
+        F.when(F.col("stage") == "original", F.col("p_value") > significance).otherwise(True)
+        .alias("differencing_applied"),
+    )
     return series, diagnostics

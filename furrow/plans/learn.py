@@ -13,7 +13,7 @@ from furrow.operators import aggregates as A
 from furrow.operators.features import engineer_features
 from furrow.operators.joins import label_features
 from furrow.operators.series import SERIES, in_order
-from furrow.operators.splits import split_ts_folds, with_position
+from furrow.operators.splits import split_ts_folds, test_size, with_position
 from furrow.session import materialise
 
 
@@ -74,6 +74,36 @@ def regress_forecast(
     return model, A.residual_interval(scored, SERIES)
 
 
+def holdout_forecasts(features: DataFrame, prices: DataFrame, horizons: list[int]) -> DataFrame:
+    """Direct regressions for the back-test: (series, horizon, date, predicted,
+    lower_bound, upper_bound) of every test day with a feature row ``horizon``
+    rows before.
+
+    One pooled fit per horizon, on rows whose target lies before the first test
+    day of its series; the band is 1.96 times the spread of the fit's errors.
+    """
+    sized = with_position(prices.filter(F.col("modal_price").isNotNull()).select(*SERIES, "date"))
+    grid = sized.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
+    first = grid.filter(F.col("pos") == F.col("n") - test_size(F.col("n"), F.col("horizon"))).select(
+        *SERIES, "horizon", F.col("date").alias("_first")
+    )
+    found = []
+    for horizon in horizons:
+        rows = direct_targets(features, horizon).withColumn("_target", F.lead("date", horizon).over(in_order()))
+        rows = rows.filter(F.col("label").isNotNull()).join(first.filter(F.col("horizon") == horizon), SERIES)
+        rows = assemble(rows)
+        model = fit_linear(rows.filter(F.col("_target") < F.col("_first")))
+        point = linear_score(model)
+        width = F.lit(1.96 * model.summary.rootMeanSquaredError)
+        found.append(
+            rows.filter(F.col("_target") >= F.col("_first")).select(
+                *SERIES, "horizon", F.col("_target").alias("date"), point.alias("predicted"),
+                (point - width).alias("lower_bound"), (point + width).alias("upper_bound"),
+            )
+        )
+    return reduce(DataFrame.unionByName, found)
+
+
 def long_features(features: DataFrame) -> DataFrame:
     """One row per (series, date, feature)."""
     as_double = [F.col(c).cast("double").alias(c) for c in K.FEATURE_NAMES]

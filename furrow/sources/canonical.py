@@ -45,6 +45,14 @@ TABLES = {
     "announcements": """
         select crop, min(date) as announced_on
         from {daily_prices} group by crop, extract(year from date)""",
+    # daily prices, and beside each series a random walk that steps by the parity of its prices
+    "walk_prices": """
+        select crop, mandi, date, modal_price from {daily_prices}
+        union all
+        select crop, concat(mandi, '-walk') as mandi, date,
+          cast(1000 + sum(case when cast(floor(modal_price*100+0.5) as bigint) % 2 = 0 then 1 else -1 end)
+            over (partition by crop, mandi order by date) as double) as modal_price
+        from {daily_prices}""",
     "raw_prices": """
         select event_id as id, event_type as crop,
           concat('S', cast(user_id % 5 as varchar(4))) as state, cast(ts as date) as fetch_date,

@@ -3,12 +3,13 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from furrow import constants as K
 from furrow.operators import aggregates as A, joins, splits, windows as W
-from furrow.plans import learn
+from furrow.plans import backtest, learn
 
 START = dt.date(2024, 1, 1)
 
@@ -131,3 +132,33 @@ def test_regression_is_repeatable_and_attribution_adds_up(spark, feature_rows):
 def test_transfer_scores_only_the_other_crop(feature_rows):
     _, scored = learn.regress_forecast(feature_rows, 5, fit_crops=K.HIGH_DATA_CROPS, score_crops=K.LOW_DATA_CROPS)
     assert {r.crop for r in scored.select("crop").distinct().collect()} == {"Ragi"}
+
+
+def test_back_test_with_the_regression(spark):
+    """The regression is scored on the same days, learns nothing from them, and fails alone."""
+    rng = np.random.default_rng(5)
+    n, columns = 400, [c for c in K.MERGED_COLUMNS if c != "modal_price"]
+    frames = []
+    for mandi in ("A", "B"):
+        f = pd.DataFrame({c: rng.uniform(50, 90, n) for c in columns})
+        f.insert(0, "modal_price", 100 + np.cumsum(rng.normal(0, 1, n)))
+        f.insert(0, "date", pd.date_range("2024-01-01", periods=n).date)
+        f.insert(0, "mandi", mandi)
+        frames.append(f)
+    short = frames[0].head(60).assign(mandi="short")
+    prices = spark.createDataFrame(pd.concat([*frames, short]).assign(crop="wheat"))
+    stored = learn.stored_features(prices)
+    learned = learn.holdout_forecasts(stored, prices, [30])
+    rows = {(r.mandi, r.model_name): r for r in backtest.backtest(prices, [30], {"regression": learned}).collect()}
+    assert len(rows) == 9
+    assert all(rows[m, "regression"].rmse < 100 and rows[m, "regression"].pi_coverage_95 > 0 for m in "AB")
+    assert rows["A", "regression"].n_test_samples == rows["A", "naive"].n_test_samples == 60
+    assert rows["short", "regression"].rmse == backtest.FAILED  # no feature row reaches its test days
+    last = prices.groupBy("mandi").agg(F.max("date").alias("d"))
+    spoiled = prices.join(last, "mandi").withColumn(
+        "modal_price", F.when(F.col("date") > F.date_sub("d", 30), 1e6).otherwise(F.col("modal_price"))
+    )
+    other = learn.holdout_forecasts(learn.stored_features(spoiled), spoiled, [30])
+    early = F.col("date") <= F.date_sub(F.lit(frames[0].date.max()), 30)
+    a, b = ({(r.mandi, r.date): r.predicted for r in x.filter(early).collect()} for x in (learned, other))
+    assert a and a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-6 for k in a)
