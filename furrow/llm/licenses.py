@@ -8,8 +8,8 @@ matching, and the verified span and its edits are reported.
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from heapq import heappop, heappush
 from itertools import accumulate
 
 import pyarrow as pa
@@ -92,35 +92,54 @@ class Scanner:
         return out
 
     def windows(self, joined: bytes) -> dict[int, list[tuple[int, int]]]:
-        """Merged stretches of the text to verify, by notice."""
-        found: dict[int, list[tuple[int, int]]] = {}
+        """Stretches of the text to verify, by notice: one for each place where
+        a whole piece puts the notice, wide enough for its edits."""
+        found: dict[int, set[tuple[int, int]]] = {}
         for end, hits in self.pieces.iter(joined.decode("latin-1")):
             for i, size, offset in hits:
                 _, length, edits, _ = self.notices[i]
                 start = end + 1 - size - offset
-                found.setdefault(i, []).append((max(0, start - edits), min(len(joined), start + length + edits)))
-        out = {}
-        for i, spans in found.items():
-            merged: list[list[int]] = []
-            for a, b in sorted(spans):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
-                else:
-                    merged.append([a, b])
-            out[i] = [(a, b) for a, b in merged]
-        return out
+                found.setdefault(i, set()).add((max(0, start - edits), min(len(joined), start + length + edits)))
+        return {i: sorted(spans) for i, spans in found.items()}
+
+    def matches(self, i: int, joined: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(start, end, edits) of notice ``i``, not overlapping, fewest edits first.
+
+        A stretch whose best match overlaps one already taken is searched again
+        beside it, so a near match next to a better one is found as well.
+        """
+        _, length, most, expression = self.notices[i]
+        heap: list[tuple[int, int, int, int, int]] = []
+
+        def seek(a: int, b: int) -> None:
+            m = expression.search(joined, a, b) if b - a >= length - most else None
+            if m and m.end() > m.start():
+                heappush(heap, (sum(m.fuzzy_counts), m.start(), m.end(), a, b))
+
+        for a, b in spans:
+            seek(a, b)
+        taken: list[tuple[int, int, int]] = []  # by start
+        while heap:
+            edits, start, end, a, b = heappop(heap)
+            at = bisect_left(taken, (start, end, 0))
+            over = [t for t in taken[max(0, at - 1) : at + 1] if t[0] < end and start < t[1]]
+            if not over:
+                taken.insert(at, (start, end, edits))
+            else:
+                low, high, _ = over[0]
+                seek(a, low)
+                seek(high, b)
+        return taken
 
     def fuzzy(self, joined: bytes, starts: list[int]) -> list[tuple[int, int, str, int, int]]:
         """(first word, end word, label, edits, notice length) of verified notices."""
         out = []
         for i, spans in self.windows(joined).items():
-            label, length, _, expression = self.notices[i]
-            for a, b in spans:
-                for m in expression.finditer(joined, a, b):
-                    if m.end() > m.start():
-                        first = bisect_right(starts, m.start() + (joined[m.start()] == 32)) - 1
-                        last = bisect_right(starts, m.end() - 1) - 1
-                        out.append((first, last + 1, label, sum(m.fuzzy_counts), length))
+            label, length, _, _ = self.notices[i]
+            for start, end, edits in self.matches(i, joined, spans):
+                first = bisect_right(starts, start + (joined[start] == 32)) - 1
+                last = bisect_right(starts, end - 1) - 1
+                out.append((first, last + 1, label, edits, length))
         return sorted(set(out))
 
     def scan(self, raw: bytes) -> dict:

@@ -72,6 +72,22 @@ def test_spans_and_edits():
     assert licenses.Scanner().scan(b"clean text about nothing of the kind")["labels"] == ""
 
 
+def test_a_near_notice_beside_a_better_one_is_found():
+    scanner = licenses.Scanner()
+    r = scanner.scan(b"released under the mut license released under the mit license releasd under the mit licence")
+    assert r["spans"] == "mit:0:5:1,mit:5:10:0,mit:10:15:2"
+
+
+def test_repeated_near_notices_are_all_found():
+    rng = random.Random(4)
+    for label, notice, edits in licenses.NOTICES:
+        other = [(x, n, k) for x, n, k in licenses.NOTICES if n == notice]
+        scanner = licenses.Scanner(notices=tuple(other))
+        parts = [changed(rng, notice, rng.randrange(edits // 2 + 1)) for _ in range(40)]
+        found = scanner.scan(" ".join(parts).encode())["spans"].split(",")
+        assert len(found) == len(parts), (notice, len(found))
+
+
 def test_odd_rows(odd, none):
     rows = licenses.scan(odd).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(i for i, _ in ODD_TEXTS)
