@@ -2,7 +2,8 @@
 
 The shard is a function of the key and the number of shards alone: no ring
 table, and when a shard is appended, a row either stays or moves into it.
-Slots number the rows of a shard without a gap: rows fall by hash into blocks,
+Slots number the rows of a shard without a gap: rows fall by hash of id, size
+and checksum into blocks, so rows of one id are divided too,
 a window numbers each block, and the blocks' counts are added up. No task holds
 a whole shard.
 """
@@ -14,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import IntegerType
 
+from furrow.llm.common import checkpoint
+
 SHARDS = 16
 #: Blocks a shard is numbered in; SHARDS * BLOCKS rows of counts are broadcast.
 BLOCKS = 1024
@@ -59,23 +62,26 @@ def assign(
 
     ``size`` is the text's UTF-8 bytes plus 1 (null text: 1, crc32 0), and
     ``grown_shard`` the shard once another one is appended. A null id is a key
-    like any other. Rows with equal ids share their shard and take neighbouring
-    slots by size and checksum. An empty table gives no rows; other columns are
+    like any other. Rows with equal ids share their shard; size and checksum
+    spread them over its blocks. An empty table gives no rows; other columns are
     ignored.
     """
-    spread = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(blocks)).cast("int")
-    keyed = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keyed = keyed.withColumn("shard", shard_of(F.col("doc_id"), shards)).withColumn("block", spread)
-    counts = keyed.groupBy("shard", "block").count()  # reads the id column alone
-    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    raw = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
-    rows = keyed.select(
-        "doc_id", "shard", "block",
+    raw = F.coalesce(F.encode(F.col(text_col).cast("string"), "UTF-8"), F.lit(b""))
+    keyed = df.select(
+        F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(raw) + 1).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
-        shard_of(F.col("doc_id"), shards + 1).alias("grown_shard"),
+    )
+    rows = checkpoint(
+        keyed.withColumns({
+            "shard": shard_of(F.col("doc_id"), shards),
+            "grown_shard": shard_of(F.col("doc_id"), shards + 1),
+            "block": F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(blocks)).cast("int"),
+        })
     )
+    counts = rows.groupBy("shard", "block").count()
+    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
     within = Window.partitionBy("shard", "block").orderBy("doc_id", "size", "text_crc32")
     # at most shards * blocks short rows
     return (

@@ -45,6 +45,13 @@ def test_shares_are_even(spark):
     assert all(3_600 < n < 4_400 for n in Counter(r["shard"] for r in rows).values())
 
 
+def test_rows_of_one_id_are_divided(spark):
+    rows = shards.assign(spark.range(3_000).selectExpr("cast(null as long) doc_id", "cast(id as string) text"), shards=4, blocks=8).collect()
+    assert len({r["shard"] for r in rows}) == 1
+    assert sorted(r["slot"] for r in rows) == list(range(3_000))
+    assert [r["slot"] for r in rows] != [r["slot"] for r in sorted(rows, key=lambda r: (r["size"], r["text_crc32"]))]
+
+
 def test_odd_rows(odd, none):
     rows = shards.assign(odd).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(i for i, _ in ODD_TEXTS)
