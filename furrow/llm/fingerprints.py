@@ -21,6 +21,8 @@ from furrow.llm.common import bounded, checkpoint, texts
 
 BITS = 128
 SEED = 20
+#: Code points of a text by which rows of one id fall into ranges.
+BORDER_CHARS = 12
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -111,7 +113,9 @@ def compare_with_edit(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leave it, to be paired with those of the neighbouring ranges.
     """
     order = [F.desc_nulls_last("doc_id"), F.desc("text")]
-    ordered = texts(df, id_col, text_col).repartitionByRange(order[0]).sortWithinPartitions(*order)
+    # ranges also divide rows of one id, by the start of the text: whole texts would fill the driver's sample
+    borders = [order[0], F.desc(F.substring("text", 1, BORDER_CHARS))]
+    ordered = texts(df, id_col, text_col).repartitionByRange(*borders).sortWithinPartitions(*order)
     names = [n for n, _ in _RESULT]
     edge = ["part", "first_text", "last_id", "last_text"]
     schema = pa.schema([*_RESULT, ("part", pa.int64()), ("first_text", pa.string()), ("last_id", pa.int64()), ("last_text", pa.string())])

@@ -43,6 +43,11 @@ def test_few_rows_and_ranges(make_docs, n):
     assert rows_of(fingerprints.compare_with_edit(make_docs(docs).repartition(4))) == expected(docs)
 
 
+def test_rows_of_one_id_are_divided(spark, make_docs):
+    docs = [(None, f"{i % 70} text with a common end é") for i in range(150)] + [(5, "one"), (5, "two")]
+    assert rows_of(fingerprints.compare_with_edit(make_docs(docs).repartition(4))) == expected(docs)
+
+
 def test_odd_rows(odd, none):
     assert rows_of(fingerprints.compare_with_edit(odd)) == expected(ODD_TEXTS)
     assert fingerprints.compare_with_edit(none).count() == 0
