@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from furrow.llm import fingerprints, idfiles, licenses, neardup, neighbours, packing, pieces, secrets, shards, toxicity
+from furrow.llm import fingerprints, idfiles, licenses, neardup, negatives, neighbours, packing, pieces, secrets, shards, toxicity
 from furrow.llm.common import read
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -56,12 +56,39 @@ def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.write_and_read(read(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, relabel=moved)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scans, op2_sharding, op3_nearest_neighbours, op4_packing, op5_toxicity, op6_fingerprints,
-        op7_simhash_near_dedup, op8_license_scans, op9_sentencepiece, op10_token_id_output,
+        op7_simhash_near_dedup, op8_license_scans, op9_sentencepiece, op10_token_id_output, op12_hard_negatives,
     )
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op12_hard_negatives": """
+with given as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+           list_transform(embedding, lambda x: floor(256 * x::double)) as v
+    from embeddings
+    where label is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+    select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score
+    from given a, given b
+    where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+), positives as (
+    select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+    qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::integer as rank,
+       vec_id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id)
+where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify rank <= 10
+""",
+}
