@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from furrow.llm import fingerprints, idfiles, licenses, neardup, negatives, neighbours, packing, pieces, secrets, shards, toxicity
+from furrow.llm import collocations, fingerprints, idfiles, licenses, neardup, negatives, neighbours, packing, pieces, secrets, shards, toxicity
 from furrow.llm.common import read
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -61,11 +61,16 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, relabel=moved)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scans, op2_sharding, op3_nearest_neighbours, op4_packing, op5_toxicity, op6_fingerprints,
         op7_simhash_near_dedup, op8_license_scans, op9_sentencepiece, op10_token_id_output, op12_hard_negatives,
+        op13_collocations,
     )
 }
 
@@ -90,5 +95,46 @@ select anchor_id, positive_id, row_number() over (partition by anchor_id, positi
 from positives join scored using (anchor_id)
 where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
 qualify rank <= 10
+""",
+    "op13_collocations": """
+with pieces as (
+    select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents
+), worded as (
+    select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') as w from pieces
+), grams as (
+    select lang, phrase, len(string_split(phrase, ' ')) as size, count(*) as n
+    from (
+        select lang, unnest(list_transform(range(1, len(w) + 1), lambda i: w[i])) as phrase from worded
+        union all
+        select lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from worded
+        union all
+        select lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from worded
+    )
+    group by lang, phrase
+), totals as (
+    select lang, sum(n)::bigint as n from grams where size = 1 group by lang
+), found as (
+    select *, string_split(phrase, ' ') as w from grams where size > 1 and n >= 10
+), cuts as (
+    select lang, phrase, n as a, 1 as k, w[1] as head, array_to_string(w[2:], ' ') as tail from found
+    union all
+    select lang, phrase, n, 2, w[1] || ' ' || w[2], w[3] from found where size = 3
+), scored as (
+    select c.lang, c.phrase, c.a, x.n as l, y.n as r, (1000000::hugeint * c.a * c.a // (x.n::hugeint * y.n))::bigint as score
+    from cuts c join grams x on x.lang = c.lang and x.phrase = c.head join grams y on y.lang = c.lang and y.phrase = c.tail
+    qualify row_number() over (partition by c.lang, c.phrase order by score, k) = 1
+), inside as (
+    select lang, phrase, max(n) as longer
+    from (select lang, w[1] || ' ' || w[2] as phrase, n from found where size = 3
+          union all select lang, w[2] || ' ' || w[3], n from found where size = 3)
+    group by lang, phrase
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase)::bigint as rank,
+       phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score
+from scored left join inside using (lang, phrase) join totals using (lang)
+where longer is null or 100 * longer < 50 * a
+qualify rank <= 2000
 """,
 }
