@@ -65,8 +65,9 @@ def _joined(values: pa.Array, lengths: np.ndarray, by: str) -> pa.Array:
 def parse(texts: pa.Array, overlap: int = LONGEST - 1, modulus: int = MODULUS) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(chunks, last, row): the chunks of all texts, words joined by one blank;
     whether a chunk ends its piece; which text it comes from."""
-    split = pc.split_pattern_regex(pc.ascii_lower(texts.cast(pa.large_string())), PIECES)
-    words = pc.split_pattern_regex(split.flatten(), BLANKS)
+    split = pc.split_pattern_regex(texts.cast(pa.large_string()), PIECES)
+    # lowered only here: ascii_lower errs on slices of an array
+    words = pc.split_pattern_regex(pc.ascii_lower(split.flatten()), BLANKS)
     piece = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
     row = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
     flat = words.flatten()

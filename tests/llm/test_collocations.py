@@ -88,3 +88,10 @@ def test_chunks_of_equal_passages_are_equal_and_cover_every_place():
         glued += words[2:]
     assert " ".join(glued) == f"x y z {passage} q r"
     assert last.tolist() == [i + 1 == len(row) or row[i] != row[i + 1] for i in range(len(row))]
+
+
+def test_slices_of_an_array_are_cut_like_the_whole():
+    texts = pa.array([f"Äbc {i} DÉF, GHI jkl" for i in range(50)])
+    whole, _, row = parse(texts)
+    part, _, own = parse(texts.slice(20, 10))
+    assert part.to_pylist() == [c for c, r in zip(whole.to_pylist(), row) if 20 <= r < 30]
