@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from furrow.llm import collocations, fingerprints, idfiles, licenses, neardup, negatives, neighbours, packing, pieces, secrets, shards, toxicity
+from furrow.llm import collocations, fingerprints, idfiles, licenses, neardup, negatives, neighbours, packing, pieces, repeats, secrets, shards, toxicity
 from furrow.llm.common import read
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -56,6 +56,10 @@ def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.write_and_read(read(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, relabel=moved)
@@ -69,12 +73,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scans, op2_sharding, op3_nearest_neighbours, op4_packing, op5_toxicity, op6_fingerprints,
-        op7_simhash_near_dedup, op8_license_scans, op9_sentencepiece, op10_token_id_output, op12_hard_negatives,
+        op7_simhash_near_dedup, op8_license_scans, op9_sentencepiece, op10_token_id_output, op11_repeats, op12_hard_negatives,
         op13_collocations,
     )
 }
 
 ORACLE: dict[str, str] = {
+    "op11_repeats": """
+with docs as (
+    select doc_id, hex(encode(coalesce(text, ''))) as h from documents
+), strings as (
+    select doc_id, s, substr(h, 2 * s + 1, 200) as string
+    from (select doc_id, h, unnest(range(0, len(h) // 2 - 99)) as s from docs where len(h) >= 200)
+), late as (
+    select doc_id, s from strings qualify row_number() over (partition by string order by doc_id, s) > 1
+), edges as (
+    select doc_id, s, coalesce(s - lag(s) over (partition by doc_id order by s) > 100, true) as fresh from late
+), numbered as (
+    select doc_id, s, sum(fresh::int) over (partition by doc_id order by s) as span from edges
+), spans as (
+    select doc_id, span, min(s) as a, max(s) + 100 as b from numbered group by doc_id, span
+), gaps as (
+    select doc_id, span, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from spans
+), kept as (
+    select doc_id, count(*) as n_spans, sum(b - a) as n_removed, max(b) as last,
+           string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) as head, any_value(h) as h
+    from gaps join docs using (doc_id) group by doc_id
+)
+select d.doc_id, (len(d.h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+       sha256(unhex(case when k.doc_id is null then d.h else head || substr(k.h, 2 * last + 1) end)) as kept_sha256
+from docs d left join kept k using (doc_id)
+""",
     "op12_hard_negatives": """
 with given as (
     select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
