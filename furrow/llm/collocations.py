@@ -7,8 +7,9 @@ the distinct chunks with their frequencies form a dictionary. Phrases are counte
 inside the distinct chunks, weighted by frequency. A phrase that starts inside
 the overlap belongs to the later chunk, so every occurrence counts once.
 
-Counts are added up in each task, dealt by hash of the whole phrase in compressed
-runs, and added up again; no phrase's occurrences ever meet in one place.
+Chunks and phrases are counted in each task, dealt by a hash of the whole string
+in compressed runs, and added up again, so that a string's occurrences never meet
+in one place, only its partial counts.
 """
 
 from __future__ import annotations
@@ -26,10 +27,14 @@ TOP = 2000
 #: One window of words in so many ends a chunk.
 MODULUS = 8
 #: Text bytes whose phrases one run of partial counts stands for, and of a slice.
-PART_BYTES, SLICE = 8 << 20, 16 << 20
+PART_BYTES, SLICE = 4 << 20, 4 << 20
 NO_LANG = "und"
-PIECES, BLANKS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: A-Z lowered, all ends of a piece as one, tabs as blanks.
+_PLAIN = bytes.maketrans(
+    b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" "
+)
+_RUNS = "part long, lang string, last boolean, strings binary, counts binary"
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -49,34 +54,53 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def _strings(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    places = np.concatenate(([0], np.cumsum(lengths)))
+    return pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(places.astype(np.int64)), pa.py_buffer(data))
+
+
+def _bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes, length of each string) of an array or a slice of one."""
+    strings = strings.cast(pa.large_string())
+    offsets = np.frombuffer(strings.buffers()[1], np.int64, len(strings) + 1, strings.offset * 8)
+    data = strings.buffers()[2]
+    data = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    return data, np.diff(offsets)
+
+
 def _joined(values: pa.Array, lengths: np.ndarray, by: str) -> pa.Array:
     """Runs of strings, so many to each, joined by ``by``."""
     ends = np.cumsum(lengths)
-    behind = np.zeros(len(values), bool)
-    behind[ends - 1] = True
-    between = pc.if_else(pa.array(behind), pa.scalar("", pa.large_string()), pa.scalar(by, pa.large_string()))
-    flat = pc.binary_join_element_wise(values.cast(pa.large_string()), between, pa.scalar("", pa.large_string()))
-    flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
-    offsets = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1, flat.offset * 8)
-    places = pa.py_buffer(offsets[np.concatenate(([0], ends))].tobytes())
-    return pa.LargeStringArray.from_buffers(len(lengths), places, flat.buffers()[2])
-
-
-def parse(texts: pa.Array, overlap: int = LONGEST - 1, modulus: int = MODULUS) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(chunks, last, row): the chunks of all texts, words joined by one blank;
-    whether a chunk ends its piece; which text it comes from."""
-    split = pc.split_pattern_regex(texts.cast(pa.large_string()), PIECES)
-    # lowered only here: ascii_lower errs on slices of an array
-    words = pc.split_pattern_regex(pc.ascii_lower(split.flatten()), BLANKS)
-    piece = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
-    row = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
-    flat = words.flatten()
-    some = pc.not_equal(flat, "")
-    coded = flat.filter(some).dictionary_encode()
-    code, piece = coded.indices.to_numpy(), piece[some.to_numpy(zero_copy_only=False)]
-    n = len(code)
-    if not n:
-        return pa.array([], pa.large_string()), np.zeros(0, bool), np.zeros(0, np.int64)
+    between = np.ones(len(values), np.int64)
+    between[ends - 1] = 0
+    data, own = _bytes(values)
+    size = own + between
+    out = np.full(size.sum(), ord(by), np.uint8)
+    joint = np.zeros(len(out) + 1, bool)
+    joint[(np.cumsum(size) - 1)[between == 1]] = True
+    out[~joint[:-1]] = data
+    return _strings(out, np.add.reduceat(size, ends - lengths) if len(lengths) else lengths)
+
+
+def parse(texts: pa.Array, overlap: int = LONGEST - 1, modulus: int = MODULUS) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(chunks, last, row, hash): the chunks of all texts, words joined by one
+    blank; whether a chunk ends its piece; which text it comes from; a hash."""
+    raw, sizes = _bytes(texts)
+    plain = np.frombuffer(raw.tobytes().translate(_PLAIN), np.uint8)
+    inside = (plain != 10) & (plain != 32)
+    edge = np.zeros(len(plain) + 1, bool)  # a text ends the word and the piece before it
+    edge[np.cumsum(sizes)] = True
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1] | edge[1:-1]
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return pa.array([], pa.large_string()), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    row = np.searchsorted(np.cumsum(sizes), starts, "right")
+    piece = (np.cumsum(plain == 10) + np.cumsum(edge[:-1]))[starts]
+    kept = np.cumsum(inside)
+    lengths = np.diff(np.concatenate((kept[starts] - 1, kept[-1:])))
+    coded = _strings(plain[inside], lengths).dictionary_encode()
+    code, n = coded.indices.to_numpy(), len(starts)
     first = np.concatenate(([True], piece[1:] != piece[:-1]))
     hashed = _mixed(_hashes(coded.dictionary))[code]
     window = hashed
@@ -88,22 +112,26 @@ def parse(texts: pa.Array, overlap: int = LONGEST - 1, modulus: int = MODULUS) -
     starts = np.flatnonzero(cut | first)
     last = np.concatenate((first[starts[1:]], [True]))
     ends = np.concatenate((starts[1:] + np.where(last[:-1], 0, overlap), [n]))
-    lengths = ends - starts
-    taken = coded.dictionary.take(pa.array(code[_ranges(starts, lengths)]))
-    return _joined(taken, lengths, " "), last, row[piece[starts]]
+    at = _ranges(starts, ends - starts)
+    place = (at - np.repeat(starts, ends - starts) + 1).astype(np.uint64)
+    hashes = np.add.reduceat(_mixed(hashed[at] + place * _ODD), np.cumsum(ends - starts) - (ends - starts))
+    return _joined(coded.dictionary.take(pa.array(code[at])), ends - starts, " "), last, row[starts], hashes
 
 
 def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct keys, total weight of each, which of them each key is)."""
-    distinct, which = np.unique(keys, return_inverse=True)
-    order = np.argsort(which, kind="stable")
-    at = np.searchsorted(which[order], np.arange(len(distinct)))
-    return distinct, np.add.reduceat(weights[order], at) if len(distinct) else weights[:0], which
+    order = np.argsort(keys)
+    keys = keys[order]
+    fresh = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(fresh) - 1
+    totals = np.add.reduceat(weights[order], np.flatnonzero(fresh)) if len(keys) else weights[:0]
+    return keys[fresh], totals, which
 
 
 def count(chunks: pa.Array, last: np.ndarray, langs: pa.Array, weights: np.ndarray, longest: int = LONGEST):
-    """(phrases, lang, hash, count): the distinct phrases of one slice of the
-    dictionary, with the empty phrase for all words of a lang; and the langs."""
+    """(phrases, lang, hash, count, langs): the distinct phrases of one slice of
+    the dictionary, with the empty phrase for all words of a lang."""
     lang = langs.dictionary_encode()
     split = pc.split_pattern(chunks.cast(pa.large_string()), " ")
     offsets = split.offsets.to_numpy()
@@ -122,24 +150,70 @@ def count(chunks: pa.Array, last: np.ndarray, langs: pa.Array, weights: np.ndarr
     left, weight = left[own], np.repeat(weights, sizes)[own]
     prefix = np.repeat(lang.indices.to_numpy().astype(np.int64), sizes)[own]
     names, seeds = lang.dictionary.cast(pa.large_string()), _mixed(_hashes(lang.dictionary))
-    held = {"lang": np.arange(len(names)), "hash": seeds, "text": pa.array([""] * len(names), pa.large_string())}
-    every = [(held["text"], held["lang"], held["hash"], np.bincount(prefix, weight, len(names)).astype(np.int64))]
+    of, hashes, text = np.arange(len(names)), seeds, pa.array([""] * len(names), pa.large_string())
+    every = [(text, of, hashes, np.bincount(prefix, weight, len(names)).astype(np.int64))]
     for size in range(1, longest + 1):
         have = left >= size
         own, left, weight, prefix = own[have], left[have], weight[have], prefix[have]
-        distinct, summed, prefix = _summed(prefix * total + code[own + size - 1], weight)
+        distinct, totals, prefix = _summed(prefix * total + code[own + size - 1], weight)
         before, word = np.divmod(distinct, max(total, 1))
-        text, spelt = held["text"].take(pa.array(before)), words.take(pa.array(word))
-        held = {
-            "lang": held["lang"][before],
-            "hash": _mixed(held["hash"][before] * _ODD + hashed[word]),
-            "text": spelt if size == 1 else pc.binary_join_element_wise(text, spelt, pa.scalar(" ", pa.large_string())),
-        }
-        every.append((held["text"], held["lang"], held["hash"], summed))
+        of, hashes = of[before], _mixed(hashes[before] * _ODD + hashed[word])
+        spelt = words.take(pa.array(word))
+        text = spelt if size == 1 else pc.binary_join_element_wise(text.take(pa.array(before)), spelt, pa.scalar(" ", pa.large_string()))
+        every.append((text, of, hashes, totals))
     texts, of, hashes, counts = zip(*every)
     return pa.concat_arrays(texts), np.concatenate(of), np.concatenate(hashes), np.concatenate(counts), names
 
 
+def _packed(strings: pa.Array, part: np.ndarray, lang: np.ndarray, names: pa.Array, last: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """One row for each part, lang and flag: its strings and their counts, compressed."""
+    from zstandard import ZstdCompressor
+
+    squeeze = ZstdCompressor(level=1).compress
+    group = (part * len(names) + lang) * 2 + last
+    _, group = np.unique(group, return_inverse=True) if len(group) and group.max() >= 1 << 16 else (None, group)
+    order = np.argsort(group.astype(np.uint16) if len(group) and group.max() < 1 << 16 else group, kind="stable")
+    group, counts = group[order], counts[order].astype("<i8")
+    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, np.int64)
+    ends = np.concatenate((starts[1:], [len(group)])).astype(np.int64) if len(starts) else starts
+    joined = _joined(strings.take(pa.array(order)), ends - starts, "\n").cast(pa.large_binary())
+    head = order[starts]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(part[head], pa.int64()), names.take(pa.array(lang[head])).cast(pa.string()), pa.array(last[head].astype(bool)),
+            pa.array([squeeze(x.as_buffer()) for x in joined], pa.binary()),
+            pa.array([squeeze(counts[a:b].tobytes()) for a, b in zip(starts, ends)], pa.binary()),
+        ],
+        ["part", "lang", "last", "strings", "counts"],
+    )
+
+
+def _added(batches):
+    """(lang, last, strings, counts) of each part, lang and flag, from rows in their order."""
+    from zstandard import ZstdDecompressor
+
+    spread = ZstdDecompressor().decompress
+    key, held = None, []
+
+    def total():
+        strings, counts = zip(*held)
+        coded = pa.concat_arrays(strings).dictionary_encode()
+        # whole numbers below 2**53 add up exactly
+        sums = np.bincount(coded.indices.to_numpy(), np.concatenate(counts), len(coded.dictionary))
+        return *key[1:], coded.dictionary, sums.astype(np.int64)
+
+    for batch in batches:
+        for *now, strings, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "lang", "last", "strings", "counts"))):
+            if now != key:
+                if held:
+                    yield total()
+                key, held = now, []
+            text = pa.array([spread(strings).decode()], pa.large_string())
+            held.append((pc.split_pattern(text, "\n").flatten(), np.frombuffer(spread(counts), "<i8")))
+    if held:
+        yield total()
+
+
 def frequencies(
     df: DataFrame,
     longest: int = LONGEST,
@@ -156,69 +230,50 @@ def frequencies(
     )
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-volume // PART_BYTES))
+    dealt = lambda hashes: (hashes % np.uint64(parts)).astype(np.int64)
 
     def chunked(batches):
         for batch in bounded(batches, limit=SLICE):
-            chunks, last, row = parse(batch.column("text"), longest - 1, modulus)
-            langs = batch.column("lang").take(pa.array(row))
-            table = pa.table({"lang": langs, "last": pa.array(last), "chunk": chunks.cast(pa.string())})
-            yield from table.group_by(["lang", "last", "chunk"]).aggregate([([], "count_all")]).rename_columns(
-                ["lang", "last", "chunk", "n"]
-            ).to_batches()
+            chunks, last, row, hashes = parse(batch.column("text"), longest - 1, modulus)
+            lang, coded = batch.column("lang").dictionary_encode(), chunks.dictionary_encode()
+            order = pc.array_sort_indices(coded.dictionary).to_numpy()  # runs in order compress well
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            code = rank[coded.indices.to_numpy()]
+            hashed = np.zeros(len(order), np.uint64)
+            hashed[code] = hashes
+            kinds = 2 * len(lang.dictionary)
+            distinct, counts, _ = _summed(code * kinds + 2 * lang.indices.to_numpy()[row] + last, np.ones(len(code), np.int64))
+            code, kind = np.divmod(distinct, kinds)
+            strings = coded.dictionary.take(pa.array(order[code]))
+            yield _packed(strings, dealt(hashed[code]), kind // 2, lang.dictionary, kind % 2, counts)
 
     def counted(batches):
-        from zstandard import ZstdCompressor
-
-        squeeze = ZstdCompressor(level=1).compress
-        for batch in bounded(batches, "chunk", SLICE):
-            last = batch.column("last").to_numpy(zero_copy_only=False)
-            phrases, lang, hashed, totals, names = count(batch.column("chunk"), last, batch.column("lang"), batch.column("n").to_numpy(), longest)
-            group = (hashed % np.uint64(parts)).astype(np.int64) * len(names) + lang
-            order = np.argsort(group, kind="stable")
-            group, totals = group[order], totals[order]
-            starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-            ends = np.concatenate((starts[1:], [len(group)]))
-            joined = _joined(phrases.take(pa.array(order)), ends - starts, "\n").cast(pa.large_binary())
-            part, of = np.divmod(group[starts], len(names))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(part), names.take(pa.array(of)).cast(pa.string()),
-                    pa.array([squeeze(x.as_buffer()) for x in joined], pa.binary()),
-                    pa.array([squeeze(totals[a:b].astype("<i8").tobytes()) for a, b in zip(starts, ends)], pa.binary()),
-                ],
-                ["part", "lang", "phrases", "counts"],
-            )
-
-    def added(batches):
-        from zstandard import ZstdDecompressor
-
-        spread = ZstdDecompressor().decompress
-        key, held = None, []
-
-        def total() -> pa.RecordBatch:
-            table = pa.concat_tables(held).group_by("phrase").aggregate([("n", "sum")])
-            table = table.filter(pc.or_(pc.greater_equal(table["n_sum"], least), pc.equal(table["phrase"], "")))
-            phrase = table["phrase"].combine_chunks().cast(pa.string())
-            return pa.RecordBatch.from_arrays(
-                [pa.array([key[1]] * len(phrase), pa.string()), phrase, table["n_sum"].combine_chunks()], ["lang", "phrase", "n"]
-            )
-
-        for batch in batches:
-            for part, lang, phrases, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "lang", "phrases", "counts"))):
-                if (part, lang) != key:
-                    if held:
-                        yield total()
-                    key, held = (part, lang), []
-                text = pa.array([spread(phrases).decode()], pa.large_string())
-                held.append(pa.table({"phrase": pc.split_pattern(text, "\n").flatten(), "n": np.frombuffer(spread(counts), "<i8")}))
+        held, size = [], 0
+
+        def phrases() -> pa.RecordBatch:
+            lang, last, chunks, weights = (pa.concat_arrays(c) for c in zip(*held))
+            found, of, hashes, totals, names = count(chunks, last.to_numpy(zero_copy_only=False), lang, weights.to_numpy(), longest)
+            return _packed(found, dealt(hashes), of, names, np.zeros(len(of), np.int64), totals)
+
+        for lang, last, chunks, weights in _added(batches):
+            held.append((pa.repeat(lang, len(chunks)), pa.repeat(last, len(chunks)), chunks, pa.array(weights)))
+            size += chunks.nbytes
+            if size >= SLICE:
+                yield phrases()
+                held, size = [], 0
         if held:
-            yield total()
+            yield phrases()
+
+    def frequent(batches):
+        for lang, _, phrase, n in _added(batches):
+            some = (n >= least) | pc.equal(phrase, "").to_numpy(zero_copy_only=False)
+            phrase = phrase.filter(pa.array(some)).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(phrase)), phrase, pa.array(n[some])], ["lang", "phrase", "n"])
 
-    dictionary = docs.mapInArrow(chunked, "lang string, last boolean, chunk string, n long")
-    dictionary = dictionary.groupBy("lang", "last", "chunk").agg(F.sum("n").alias("n"))
-    runs = dictionary.mapInArrow(counted, "part long, lang string, phrases binary, counts binary")
-    runs = runs.repartition(parts, "part").sortWithinPartitions("part", "lang")
-    return runs.mapInArrow(added, "lang string, phrase string, n long")
+    together = lambda runs: runs.repartition(parts, "part").sortWithinPartitions("part", "lang", "last")
+    dictionary = together(docs.mapInArrow(chunked, _RUNS))
+    return together(dictionary.mapInArrow(counted, _RUNS)).mapInArrow(frequent, "lang string, phrase string, n long")
 
 
 def mine(

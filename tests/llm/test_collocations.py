@@ -78,7 +78,7 @@ def test_odd_rows(spark, odd, none):
 
 def test_chunks_of_equal_passages_are_equal_and_cover_every_place():
     passage = " ".join(f"w{i}" for i in range(200))
-    chunks, last, row = parse(pa.array([f"x y z {passage} q r", f"other {passage}", "", None and "" or "one"]))
+    chunks, last, row, _ = parse(pa.array([f"x y z {passage} q r", f"other {passage}", "", None and "" or "one"]))
     first, second = ([c for c, r in zip(chunks.to_pylist(), row) if r == i] for i in (0, 1))
     assert second[1:-1] and set(second[1:-1]) <= set(first)
     glued = first[0].split()
@@ -92,6 +92,8 @@ def test_chunks_of_equal_passages_are_equal_and_cover_every_place():
 
 def test_slices_of_an_array_are_cut_like_the_whole():
     texts = pa.array([f"Äbc {i} DÉF, GHI jkl" for i in range(50)])
-    whole, _, row = parse(texts)
-    part, _, own = parse(texts.slice(20, 10))
+    whole, _, row, hashes = parse(texts)
+    part, _, own, again = parse(texts.slice(20, 10))
     assert part.to_pylist() == [c for c, r in zip(whole.to_pylist(), row) if 20 <= r < 30]
+    by_chunk = dict(zip(whole.to_pylist(), hashes.tolist()))
+    assert again.tolist() == [by_chunk[c] for c in part.to_pylist()] and len(set(by_chunk.values())) == len(by_chunk)
