@@ -36,11 +36,11 @@ from furrow.session import shared_folder
 
 LENGTH = 100
 #: Suffix tuples that a queue or a batch of anchors holds in memory.
-HELD = 1 << 18
+HELD = 1 << 17
 #: An anchor is hot with one of so many sampled windows, and at least HOT_LEAST; one text in SAMPLE is sampled.
 HOT_SHARE, HOT_LEAST, SAMPLE = 4096, 64, 16
 #: Text bytes that a task looks at in one go.
-SLICE = 8 << 20
+SLICE = 4 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,6 +104,18 @@ def _matrix(values: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
+def _binary(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Byte strings laid end to end as an array."""
+    places = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each of the ranges, one after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def _least_between(values: np.ndarray, after: np.ndarray, upto: np.ndarray) -> np.ndarray:
     """min(values[after + 1 : upto + 1]) of each pair, by a table of doubled spans."""
     out = values[upto]
@@ -208,46 +220,55 @@ class _Run:
             self.store.delete_file(self.file)
 
 
-def induce(sample: Iterator[dict[str, np.ndarray]], length: int, held: int, folder: str) -> Iterator[tuple]:
-    """(layer, owner, place, row) of every window that an earlier one equals.
+def induce(
+    sample: Iterator[dict[str, np.ndarray]], length: int, held: int, folder: str, rows: dict[str, np.ndarray] | None = None
+) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """(layer, tuples) of the windows that an earlier one equals.
 
     ``sample`` gives the tuples of the suffixes at anchors in ascending order by
-    group: group, lcp, reach (bytes before the anchor), left (those bytes, nearest
-    first), owner, place (of the anchor), row. Only a single group may come in
-    several chunks. Owner and place settle which window is the earlier one.
+    group: group, lcp, and what a tuple says of its suffix: reach (bytes before
+    the anchor), left (those bytes, nearest first), owner and place (of the
+    anchor), which settle the earlier window. If all suffixes fit in memory,
+    ``rows`` has these instead, with ``rank`` for owner and place, and a tuple
+    only its ``row`` there. Only a single group may come in several chunks.
     """
     layer = 0
     while True:
         queue, open_run = Queue(held, folder), None  # the earliest of the run that the last chunk left open
         for chunk in sample:
-            lcp, owner, place = chunk["lcp"], chunk["owner"], chunk["place"]
+            of = (lambda name, at: rows[name][chunk["row"][at]]) if rows else (lambda name, at: chunk[name][at])
+            lcp = chunk["lcp"]
             like = lcp >= length
-            carried = bool(like[0]) and open_run is not None
-            next_like = np.concatenate((like[1:], [True]))  # the last one's successor is not known yet
-            members = np.flatnonzero(like | next_like)
-            run = np.cumsum(~like)[members]
-            order = np.lexsort((place[members], owner[members], run))
-            members, run = members[order], run[order]
-            heads = np.concatenate(([True], run[1:] != run[:-1])) if len(run) else np.zeros(0, bool)
-            leader = members[np.flatnonzero(heads)[np.cumsum(heads) - 1]] if len(run) else members
-            later = (owner[members] != owner[leader]) | (place[members] != place[leader])
-            yield layer, owner[members[later]], place[members[later]], chunk["row"][members[later]]
-            if carried:
-                mine = (int(owner[leader[0]]), int(place[leader[0]]))
-                held_row, open_run = open_run[2], open_run[:2]
-                if mine != open_run:
-                    lost, row = max((open_run, held_row), (mine, int(chunk["row"][leader[0]])))
-                    yield layer, np.array([lost[0]]), np.array([lost[1]]), np.array([row])
-            if len(members) and run[-1] == np.sum(~like):  # the run at the chunk's end stays open
-                end = leader[-1]
-                found = (int(owner[end]), int(place[end]), int(chunk["row"][end]))
-                whole = carried and run[-1] == run[0]
-                open_run = min(found, (*open_run, held_row)) if whole else found
-            reach = chunk["reach"]
-            near = np.maximum(lcp, np.concatenate((lcp[1:], [length])))
+            pick = lambda at: {name: chunk[name][at] for name in (("row",) if rows else ("owner", "place"))}
+            if rows:
+                members = np.flatnonzero(like | np.concatenate((like[1:], [False])))
+                if len(members):
+                    rank, starts = of("rank", members), np.flatnonzero(~like[members])
+                    least = np.minimum.reduceat(rank, starts)
+                    yield layer, pick(members[rank != np.repeat(least, np.diff(np.concatenate((starts, [len(members)]))))])
+            else:
+                owner, place = chunk["owner"], chunk["place"]
+                carried = bool(like[0]) and open_run is not None
+                members = np.flatnonzero(like | np.concatenate((like[1:], [True])))  # the last one's successor is not known yet
+                run = np.cumsum(~like)[members]
+                order = np.lexsort((place[members], owner[members], run))
+                members, run = members[order], run[order]
+                heads = np.concatenate(([True], run[1:] != run[:-1]))
+                leader = members[np.flatnonzero(heads)[np.cumsum(heads) - 1]]
+                yield layer, pick(members[(owner[members] != owner[leader]) | (place[members] != place[leader])])
+                if carried:
+                    mine = (int(owner[leader[0]]), int(place[leader[0]]))
+                    if mine != open_run:
+                        lost = max(open_run, mine)
+                        yield layer, {"owner": np.array([lost[0]]), "place": np.array([lost[1]])}
+                found = (int(owner[leader[-1]]), int(place[leader[-1]]))
+                open_run = min(found, open_run) if carried and run[-1] == run[0] else found
+            reach = of("reach", slice(None))
+            near = np.maximum(lcp, np.concatenate((lcp[1:], [0 if rows else length])))
             chosen = np.flatnonzero((reach > layer) & (near + reach - layer >= length))
-            keys = (chunk["group"][chosen] << 8) | chunk["left"][chosen, layer] if len(chosen) else chosen
-            queue.push(chosen, keys, chunk)
+            left, at = (rows["left"], chunk["row"][chosen]) if rows else (chunk["left"], chosen)
+            byte = left[at, layer] if len(chosen) else chosen
+            queue.push(chosen, (chunk["group"][chosen] << 8) | byte, chunk)
         if not queue.size:
             return
         sample, layer = queue.pop(), layer + 1
@@ -323,35 +344,31 @@ def _marks(texts: DataFrame, firsts: DataFrame, hot: np.ndarray, length: int, he
             some = np.flatnonzero(some)
             owner, inside = batch.column("owner").to_numpy()[text[some]], place[some] - base[text[some]]
             is_hot = np.isin(anchor[some], hot)
+            cold, end = some[~is_hot], first[some] + number[some] - 1 + length
+            data = np.frombuffer(raw, np.uint8)
+            n_left, n_right = place[cold] - first[cold], end[~is_hot] - place[cold]
+            backwards = np.repeat(place[cold] - 1, n_left) - _ranges(np.zeros(len(cold), np.int64), n_left)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.zeros(len(cold), np.int8)), pa.array(anchor[cold]), pa.array(owner[~is_hot]), pa.array(inside[~is_hot]),
+                    _binary(data[backwards], n_left), _binary(data[_ranges(place[cold], n_right)], n_right),
+                ],
+                names,
+            )
             rows, earliest = [], {}
-            for h, a, o, w, p, s, n in zip(
-                is_hot.tolist(), anchor[some].tolist(), owner.tolist(), inside.tolist(),
-                place[some].tolist(), first[some].tolist(), number[some].tolist(),
-            ):
-                row = (int(h), a, o, w, raw[s:p][::-1], raw[p : s + n - 1 + length])
-                if not h:
-                    rows.append(row)
-                    continue
+            some, end, owner, inside = some[is_hot], end[is_hot], owner[is_hot], inside[is_hot]
+            for a, o, w, p, s, e in zip(
+                anchor[some].tolist(), owner.tolist(), inside.tolist(), place[some].tolist(), first[some].tolist(), end.tolist()
+            ):
+                row = (1, a, o, w, raw[s:p][::-1], raw[p:e])
                 other = earliest.setdefault(row[4:], row)
                 if other[2:4] != row[2:4]:  # all but the earliest repeat it as a whole
                     late = max(other, row, key=lambda r: r[2:4])
                     earliest[row[4:]] = min(other, row, key=lambda r: r[2:4])
                     start = late[3] - len(late[4])
-                    rows.append((2, start + len(late[4]) + len(late[5]), late[2], start, b"", b""))
+                    rows.append((2, late[3] + len(late[5]), late[2], start, b"", b""))
             yield _batch(rows + list(earliest.values()), [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()], names)
 
-    def repeated(rows: Iterator[dict], single: bool):
-        """Marks of whole groups held together, or of one group in several chunks."""
-        if not single:
-            chunk = next(rows)
-            flags = np.zeros((len(chunk["row"]), reach + 1), bool)
-            for layer, _, _, row in induce(iter([chunk]), length, held, folder):
-                flags[row, layer] = True
-            yield _spans(flags, chunk["owner"], chunk["place"], length)
-            return
-        for layer, owner, place, _ in induce(rows, length, held, folder):
-            yield owner, place - layer, place - layer + length
-
     def sorted_groups(batches):
         parts, size = [], 0
 
@@ -371,14 +388,21 @@ def _marks(texts: DataFrame, firsts: DataFrame, hot: np.ndarray, length: int, he
             return {
                 "group": np.cumsum(np.concatenate(([0], anchor[1:] != anchor[:-1]))), "reach": n_left.astype(np.int16),
                 "lcp": np.concatenate(([head], lcp)).astype(np.int16), "left": left, "owner": column("owner").to_numpy(),
-                "place": column("place").to_numpy(), "row": np.arange(len(anchor)), "end": (right[-1], int(n_right[-1])),
+                "place": column("place").to_numpy(), "end": (right[-1], int(n_right[-1])),
             }
 
         def held_together(table: pa.Table):
-            chunk = tuples(table, None)
-            chunk.pop("end")
-            for spans in repeated(iter([chunk]), False):
-                yield _marked(*spans)
+            rows = tuples(table, None)
+            owner, place = rows["owner"], rows["place"]
+            order = np.lexsort((place, owner))
+            fresh = np.concatenate(([0], (np.diff(owner[order]) != 0) | (np.diff(place[order]) != 0)))
+            rows["rank"] = np.empty(len(order), np.int64)
+            rows["rank"][order] = np.cumsum(fresh)
+            flags = np.zeros((len(order), reach + 1), bool)
+            sample = {"group": rows["group"], "lcp": rows["lcp"], "row": np.arange(len(order))}
+            for layer, late in induce(iter([sample]), length, len(order), folder, rows):
+                flags[late["row"], layer] = True
+            return _marked(*_spans(flags, owner, place, length))
 
         source = (b for b in batches if b.num_rows)
         queue = []
@@ -417,14 +441,14 @@ def _marks(texts: DataFrame, firsts: DataFrame, hot: np.ndarray, length: int, he
             others = np.flatnonzero(anchor != anchor[-1])
             cut = int(others[-1]) + 1 if len(others) else 0
             if cut:  # whole groups; the last one may go on
-                yield from held_together(table.slice(0, cut))
+                yield held_together(table.slice(0, cut))
                 parts, size = table.slice(cut).combine_chunks().to_batches(), len(anchor) - cut
             else:
                 parts, size = [], 0
-                for spans in repeated(one_group(table, int(anchor[0])), True):
-                    yield _marked(*spans)
+                for layer, late in induce(one_group(table, int(anchor[0])), length, held, folder):
+                    yield _marked(late["owner"], late["place"] - layer, late["place"] - layer + length)
         if size:
-            yield from held_together(pa.Table.from_batches(parts))
+            yield held_together(pa.Table.from_batches(parts))
 
     def _marked(owner, start, end) -> pa.RecordBatch:
         zero = np.zeros(len(owner), np.int64)

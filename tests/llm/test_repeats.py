@@ -113,12 +113,12 @@ def test_one_group_in_several_chunks_through_files(tmp_path, chunk):
     whole = {
         "group": column([0] * len(sample)), "lcp": column(lcp, np.int16), "reach": column([reach] * len(sample), np.int16),
         "left": column([list(text[p - reach : p][::-1]) for _, p in sample], np.uint8), "owner": column([0] * len(sample)),
-        "place": column([p for _, p in sample]), "row": np.arange(len(sample)),
+        "place": column([p for _, p in sample]),
     }
     chunks = ({k: v[i : i + chunk] for k, v in whole.items()} for i in range(0, len(sample), chunk))
     got = Counter()
-    for layer, _, place, _ in induce(chunks, length, chunk, str(tmp_path)):
-        got.update((layer, int(p)) for p in place)
+    for layer, late in induce(chunks, length, chunk, str(tmp_path)):
+        got.update((layer, int(p)) for p in late["place"])
     truth = Counter()
     for layer in range(reach + 1):
         seen = set()
