@@ -54,8 +54,8 @@ def price_change_feed(spark, sf):
     days = materialise(table(spark, sf, "market_days"))
     floors = days.groupBy("crop").agg((F.floor(F.avg("modal_price")) + 0.5).alias("msp"))
     reports = forecast.forecast_report(days, 7, newest(spark, sf, "events", "ts"), floors)
-    changes = jobs.price_change_feed(event_prices(spark, sf).drop("id"))
-    out = jobs.with_advice(jobs.run_available(changes, shared_folder(spark)), reports)
+    changes = jobs.price_change_feed(event_prices(spark, sf).drop("id"), reports=materialise(reports))
+    out = jobs.run_available(changes, shared_folder(spark))
     return rounded(out, ["change_pct"]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 

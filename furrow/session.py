@@ -57,6 +57,12 @@ def checkpoint_folder(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_root(spark))
 
 
+def has_files(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def release(spark: SparkSession, folder: str) -> bool:
     """Delete a scratch folder made by ``shared_folder``; True if it is gone."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
