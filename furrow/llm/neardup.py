@@ -59,16 +59,21 @@ def simhash(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, text_mark, fp) of (doc_id, text) rows as ``texts`` gives them.
+
+    fp is the fingerprint as a signed long, text_mark a 64-bit hash of the text.
+    Null ids and repeated rows come back as they are; a text without words has
+    fingerprint 0; an empty table gives no rows; other columns are ignored.
+    """
 
     def run(batches):
         for batch in bounded(batches):
             found = [simhash(t.as_buffer().to_pybytes(), shingle, seed) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"]
-            )
+            prints = pa.array(np.array(found, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_mark"), prints], ["doc_id", "text_mark", "fp"])
 
-    return docs.mapInArrow(run, "doc_id long, fp long")
+    marked = docs.select("doc_id", F.xxhash64("text").alias("text_mark"), "text")
+    return marked.mapInArrow(run, "doc_id long, text_mark long, fp long")
 
 
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -182,8 +187,11 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     walk: int = WALK,
+    marks: bool = False,
 ) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every row.
+    """doc_id, fingerprint (16 hex digits), component_id of every row; with
+    ``marks`` also text_mark (a 64-bit hash of the text) and component (the
+    component by itself, also where no row of it has an id).
 
     Documents whose fingerprints differ in at most ``radius`` bits are linked;
     component_id is the smallest doc_id reachable, the document's own included.
@@ -198,21 +206,31 @@ def near_duplicates(
     rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     rooted = rooted.select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
+    named = rooted.join(smallest, "root").select("fp", "component_id", F.col("root").alias("component"))
     return base.join(named, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
+        *(["text_mark", "component"] if marks else []),
+    )
 
 
-def keep_one(df: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``df`` with the smallest id of their component, one row an id.
+def keep_one(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``df`` of each component: that with the smallest id.
 
-    ``found`` is ``near_duplicates(df)``. Rows without an id all stay.
+    ``found`` is ``near_duplicates(df, marks=True)``. Null ids come last; rows of
+    one id and component go by the hash of their text, and of rows that repeat
+    both any one stays. Rows of one id whose texts are in unlike components are
+    decided each by itself. All columns stay as they are, whatever their names;
+    an empty table gives an empty one.
     """
-    id_kept, copy = fresh(df, "kept"), fresh(df, "copy")
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_kept)).distinct()
-    once = Window.partitionBy(id_col).orderBy(id_col)
-    named = df.where(F.col(id_col).isNotNull())
-    named = named.join(kept, F.col(id_col).cast("long") == F.col(id_kept), "left_semi")
-    named = named.withColumn(copy, F.row_number().over(once)).where(F.col(copy) == 1).drop(copy)
-    return named.unionByName(df.where(F.col(id_col).isNull()))
+    parts = ["none", "id", "mark"]
+    of = lambda i, mark: (i.isNull().alias("none"), F.coalesce(i.cast("long"), F.lit(0)).alias("id"), mark.alias("mark"))
+    first = found.groupBy("component").agg(F.min(F.struct(*of(F.col("doc_id"), F.col("text_mark")))).alias("first"))
+    first = first.select("first.*").distinct()
+    names = {p: fresh(df, f"kept_{p}") for p in parts}
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = df.select("*", *(c.alias(names[p]) for p, c in zip(parts, of(F.col(id_col), F.xxhash64(text)))))
+    keyed = keyed.join(first.select(*(F.col(p).alias(names[p]) for p in parts)), list(names.values()), "left_semi")
+    copy = fresh(keyed, "copy")
+    once = Window.partitionBy(*names.values()).orderBy(names["id"])
+    kept = keyed.withColumn(copy, F.row_number().over(once)).where(F.col(copy) == 1)
+    return kept.select(*(F.col(f"`{c}`") for c in df.columns))

@@ -98,6 +98,18 @@ def test_odd_rows(odd, none):
     assert len(empty) == 4 and {r["component_id"] for r in empty} == {1}
     assert {r["component_id"] for r in rows if r["doc_id"] in (5, 6)} == {5}
     assert neardup.near_duplicates(none).count() == 0
-    kept = neardup.keep_one(odd, neardup.near_duplicates(odd))
+    kept = neardup.keep_one(odd, neardup.near_duplicates(odd, marks=True))
     assert kept.columns == odd.columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 4, 5, 7, -9, None, None])
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 4, 5, 7, -9, None])
+    assert neardup.keep_one(none, neardup.near_duplicates(none, marks=True)).count() == 0
+
+
+def test_one_row_of_each_component_stays(make_docs):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    near = a + " more"
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, c), (7, near), (None, c), (None, "alone"), (None, "alone")]
+    df = make_docs(rows)
+    found = neardup.near_duplicates(df, radius=8, marks=True)
+    kept = Counter((r["doc_id"], r["text"]) for r in neardup.keep_one(df, found).collect())
+    assert kept == Counter([(1, a), (5, b), (7, c), (None, "alone")])
+    assert neardup.keep_one(df.where("doc_id is null"), neardup.near_duplicates(df.where("doc_id is null"), marks=True)).count() == 2
