@@ -43,6 +43,31 @@ def bounded(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator
             yield batch.slice(int(start), int(end - start))
 
 
+def raw_bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes, length of each string) of an array or a slice of one."""
+    strings = strings.cast(pa.large_string())
+    offsets = np.frombuffer(strings.buffers()[1], np.int64, len(strings) + 1, strings.offset * 8)
+    data = strings.buffers()[2]
+    data = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    return data, np.diff(offsets)
+
+
+def strings_of(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Strings laid end to end as an array."""
+    places = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def shared_file(path: str) -> str:
+    """Where a task finds a file: at ``path``, or as added to the session with
+    ``addFile`` under that name."""
+    import os
+
+    from pyspark import SparkFiles
+
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the table does not have, ``name`` or longer."""
     taken = {c.lower() for c in df.columns}

@@ -13,10 +13,12 @@ File layout, little-endian:
 A block packs the offsets of its ids from the smallest at the width that covers
 ``percentile`` of them; wider ones are stored whole in the exception list.
 
-Documents are range-partitioned by id, so file k holds smaller ids than file
-k + 1, and a document's place in the corpus is its place in the file plus the
-ids of the files before. Files are written beside their final name and then
-renamed, so a repeated or speculative task leaves one whole file.
+Documents are range-partitioned by id (rows of one id by the start and a hash
+of their text), so file k holds no larger ids than file k + 1, and a document's
+place in the corpus is its place in the file plus the ids of the files before. A
+task rolls over to its next file after ``FILE_IDS`` ids; a document is never split
+between files. Files are written beside their final name and then renamed, so a
+repeated or speculative task leaves whole files only.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from furrow.llm.common import bounded, texts
+from furrow.llm.common import bounded, open_store, texts
 from furrow.llm.wordids import word_ids
 from furrow.session import shared_folder
 
@@ -38,6 +40,8 @@ MAGIC = b"FPFORv01"
 BLOCK = 256
 PERCENTILE = 0.9
 END_ID = 2
+#: Ids after which a task starts its next file.
+FILE_IDS = 8_000_000
 _HEAD, _TAIL = "<IBHH", "<QQQQQ"
 _HEAD_SIZE, _TAIL_SIZE = struct.calcsize(_HEAD), struct.calcsize(_TAIL)
 
@@ -190,40 +194,47 @@ def write(
     id_col: str = "doc_id",
     text_col: str = "text",
     percentile: float = PERCENTILE,
+    file_ids: int = FILE_IDS,
 ) -> DataFrame:
     """Encode all documents into files under ``folder``/ids in ascending id order.
 
     Runs at once; returns the manifest (file, n_docs, n_ids), also kept as
-    Parquet under ``folder``/manifest. Null ids come first, ties by text. Null
+    Parquet under ``folder``/manifest. Null ids come first; rows of one id by the
+    first twelve characters of the text, then a hash of it, then the text. Null
     and empty texts are the end id alone; repeated rows are written once each;
     an empty table writes no file. Other columns are ignored.
     """
 
     def put(batches):
-        from pyarrow import fs
-
-        encoder, writer, ids_seen = word_ids(path), None, 0
-        name = f"part-{TaskContext.get().partitionId():06d}.pfor"
-        store, base = fs.FileSystem.from_uri(f"{folder}/ids")
+        encoder, writer, number = word_ids(path), None, 0
+        store, base = open_store(f"{folder}/ids")
         end_mark = np.uint32(end_id)
+
+        def finish() -> pa.RecordBatch:
+            name = f"part-{TaskContext.get().partitionId():06d}-{number:06d}.pfor"
+            writer.close()
+            writer.sink.close()
+            store.move(trial, f"{base}/{name}")
+            return pa.RecordBatch.from_pydict({"file": [name], "n_docs": [len(writer.docs)], "n_ids": [sum(writer.counts)]})
+
         for batch in bounded(batches):
             if writer is None:
                 store.create_dir(base, recursive=True)
-                trial = f"{base}/_{name}-{uuid.uuid4().hex}"
-                sink = store.open_output_stream(trial)
-                writer = IdFileWriter(sink, percentile)
+                trial = f"{base}/_{uuid.uuid4().hex}"
+                writer, held = IdFileWriter(store.open_output_stream(trial), percentile), 0
             ends, ids, _ = encoder.encode(batch.column("text"))
             counts = np.diff(ends, prepend=0) + 1
             writer.add(batch.column("doc_id").to_pylist(), counts, np.insert(ids, ends, end_mark))
-            ids_seen += int(counts.sum())
+            held += int(counts.sum())
+            if held >= file_ids:
+                yield finish()
+                writer, number = None, number + 1
         if writer is not None:
-            writer.close()
-            sink.close()
-            store.move(trial, f"{base}/{name}")
-            yield pa.RecordBatch.from_pydict({"file": [name], "n_docs": [len(writer.docs)], "n_ids": [ids_seen]})
+            yield finish()
 
     docs = texts(df, id_col, text_col)
-    ordered = docs.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    order = [F.asc_nulls_first("doc_id"), F.substring("text", 1, 12), F.xxhash64("text")]
+    ordered = docs.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     ordered.mapInArrow(put, "file string, n_docs long, n_ids long").write.parquet(f"{folder}/manifest")
     return df.sparkSession.read.parquet(f"{folder}/manifest")
 

@@ -5,8 +5,9 @@ it is placed, longest piece first, into the open window that it fills best.
 The open windows lie in a segment tree indexed by remaining capacity, so the
 tightest one is found in O(log window). Token ids stay where the text is read;
 only (document, start, length) rows are shuffled, dealt by hash into blocks of
-about ``block_docs`` documents, and each block is packed by one task. Padding is
-at most a few open windows a block.
+about ``block_docs`` documents, and each block is packed by one task. The hash
+takes in where a row was read, so that equal rows spread over all blocks. Padding
+is at most a few open windows a block.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from furrow.llm.common import bounded, texts
@@ -86,25 +88,30 @@ def tokenized_pieces(
     """One row per piece before packing: full windows and the rest of each document."""
 
     def cut(batches):
-        encoder = word_ids(path)
-        end_mark = np.array([end_id], np.uint32)
+        encoder, seen, part = word_ids(path), 0, TaskContext.get().partitionId()
         for batch in bounded(batches):
             ends, ids, _ = encoder.encode(batch.column("text"))
-            rows, begin = [], 0
-            for doc, end in zip(batch.column("doc_id").to_pylist(), ends.tolist()):
-                own = np.concatenate((ids[begin:end], end_mark)).astype("<u4")
-                begin = end
-                for start in range(0, len(own), window):
-                    piece = own[start : start + window]
-                    rows.append((doc, start, len(piece), zlib.crc32(piece.tobytes()), len(own), piece if keep_ids else None))
-            cols = list(zip(*rows))
-            arrays = [pa.array(c, pa.int64()) for c in cols[:5]]
+            ids = np.insert(ids, ends, np.uint32(end_id)).astype("<u4")
+            tokens = np.diff(ends, prepend=0) + 1
+            pieces = -(-tokens // window)
+            doc = np.repeat(np.arange(len(tokens)), pieces)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
+            length = np.minimum(window, tokens[doc] - start)
+            places = np.concatenate(([0], np.cumsum(length)))  # pieces lie end to end
+            raw = memoryview(ids.tobytes())
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(places.tolist(), places[1:].tolist())]
+            salt = part * 1_000_003 + seen + np.arange(len(doc))
+            seen += len(doc)
+            arrays = [
+                batch.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()),
+                pa.array(tokens[doc]), pa.array(salt),
+            ]
             if keep_ids:
-                arrays.append(pa.array(cols[5], pa.list_(pa.int64())))
+                arrays.append(pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(ids.astype(np.int64))))
             yield pa.RecordBatch.from_arrays(arrays, names[: len(arrays)])
 
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt", "ids"]
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
     return docs.mapInArrow(cut, schema + (", ids array<long>" if keep_ids else ""))
 
 
@@ -131,7 +138,7 @@ def pack(
     docs = texts(df, id_col, text_col)
     blocks = max(1, -(-docs.count() // block_docs))
     pieces = tokenized_pieces(docs, path, window, end_id, keep_ids)
-    block = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks)).alias("block")
+    block = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "salt"), F.lit(blocks)).alias("block")
 
     def place(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", na_position="first")
@@ -139,7 +146,7 @@ def pack(
         pdf["sequence_id"] = (np.int64(key[0]) << 32) + number
         pdf["offset"] = offset
         pdf["doc_id"] = pdf["doc_id"].astype("Int64")
-        return pdf.drop(columns="block")
+        return pdf.drop(columns=["block", "salt"])
 
     out = PIECES + (", ids array<long>" if keep_ids else "")
     order = [c.split()[0] for c in out.split(", ")]
@@ -148,7 +155,13 @@ def pack(
 
 def sequences(packed: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:
     """The padded windows themselves, from ``pack(..., keep_ids=True)``:
-    sequence_id, ids (``window`` of them), n_ids before padding."""
+    sequence_id, ids (``window`` of them), n_ids before padding.
+
+    A window's pieces, at most ``window`` of them, meet in one group, in order of
+    their offsets. Rows of a packing appear once each; an empty packing gives no
+    rows; columns beside sequence_id, offset and ids are ignored. A packing
+    without ids, or with a null in one of the three, is an error of the caller.
+    """
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     return (
         packed.groupBy("sequence_id")

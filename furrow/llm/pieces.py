@@ -4,7 +4,8 @@ The model's protobuf is parsed here; from it come the normaliser, the marker of
 white space, the vocabulary with its scores (unigram) or the merges that the
 scores imply (BPE), and byte fallback. Batches are encoded by the library, with
 as many threads as a task has cores. Parity with the sentencepiece library is
-verified for every distinct word that a worker encodes.
+verified for every distinct word that a worker encodes. Ids whose pieces are
+text or bytes decode to those; bytes that make no text are left to the library.
 """
 
 from __future__ import annotations
@@ -19,14 +20,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from furrow.llm.common import bounded, per_process, texts
-from furrow.llm.wordids import MEMO_WORDS, Memo
+from furrow.llm.common import bounded, per_process, raw_bytes, shared_file, strings_of, texts
+from furrow.llm.wordids import JOINED, MEMO_WORDS, Memo, _ranges
 
 MARK = "▁"
-THREADS = 2
 # Numbers of the model format.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -148,35 +147,84 @@ def build(model: Model, prefix: bool = True):
 class PieceIds(Memo):
     """Encoder and decoder of a model; flags say where both libraries agree."""
 
-    def __init__(self, raw: bytes, memo: int = MEMO_WORDS, threads: int = THREADS):
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+    def __init__(self, raw: bytes, memo: int = MEMO_WORDS, threads: int = 1):
+        os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         import sentencepiece
+        from tokenizers import pre_tokenizers
 
         self.model = parse(raw)
         self.threads = threads
         self.whole = build(self.model)
         self.inner = build(self.model, prefix=False)
+        self.joint = build(self.model, prefix=False)  # many words in one string
+        self.joint.pre_tokenizer = pre_tokenizers.Split(MARK, "merged_with_next")
         self.other = sentencepiece.SentencePieceProcessor(model_proto=raw)
         self.by_word = self.model.splits_at_blanks
+        self.starts_word = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
+        spelt = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
+        self.is_byte = np.array([kind == BYTE for _, _, kind in self.model.pieces])
+        self.spelt = np.frombuffer(b"".join(spelt), np.uint8)
+        self.sizes = np.array([len(x) for x in spelt], np.int64)
+        self.places = np.cumsum(self.sizes) - self.sizes
         super().__init__(memo)
 
-    def split(self, texts: pa.Array) -> pa.Array:
+    def split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """Words with the blanks before them; the whole text where the model
         does not split at blanks."""
-        offsets = np.arange(len(texts) + 1)
         if not self.by_word:
-            return pa.LargeListArray.from_arrays(pa.array(offsets), texts)
-        if self.model.dummy_prefix:
-            blank, none = pa.scalar(" ", texts.type), pa.scalar("", texts.type)
-            texts = pc.if_else(pc.equal(texts, none), none, pc.binary_join_element_wise(blank, texts, none))
-        border = next(c for c in map(chr, range(0xE000, 0xF8FF)) if not pc.any(pc.match_substring(texts, c)).as_py())
-        return pc.split_pattern(pc.replace_substring_regex(texts, "( +)", border + r"\1"), border)
-
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return texts.cast(pa.large_string()), np.ones(len(texts), np.int64)
+        raw, sizes = raw_bytes(texts)
+        if self.model.dummy_prefix:  # a blank before every text that is not empty
+            longer = sizes + (sizes > 0)
+            own = np.ones(longer.sum(), bool)
+            own[(np.cumsum(longer) - longer)[sizes > 0]] = False
+            given, sizes = raw, longer
+            raw = np.full(len(own), 32, np.uint8)
+            raw[own] = given
+        blank = raw == 32
+        begins = blank.copy()
+        begins[1:] &= ~blank[:-1]
+        ends = np.cumsum(sizes)
+        begins[(ends - sizes)[sizes > 0]] = True
+        starts = np.flatnonzero(begins)
+        per_text = np.diff(np.searchsorted(starts, np.concatenate(([0], ends))))
+        return strings_of(raw, np.diff(np.concatenate((starts, [len(raw)])))), per_text
+
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        simple = np.zeros(len(words), bool)
+        if self.by_word and self.model.dummy_prefix:  # one blank, then no marker
+            simple = pc.match_substring_regex(words, f"^ [^ {MARK}]+$").to_numpy(zero_copy_only=False)
+        names, own = words.to_pylist(), np.flatnonzero(simple)
+        parts = [own[i : i + JOINED] for i in range(0, len(own), JOINED)]
+        joined = ["".join([names[i] for i in part.tolist()]) for part in parts]
+        counts, good = np.zeros(len(words), np.int64), np.ones(len(words), bool)
+        found, order = [], []
+        every = self.joint.encode_batch_fast(joined, add_special_tokens=False)
+        checks = self.other.encode([text[1:] for text in joined], num_threads=self.threads)  # it puts the first blank itself
+        for part, got, check in zip(parts, every, checks):
+            ids = np.asarray(got.ids, np.uint32)
+            first = np.flatnonzero(self.starts_word[ids])
+            if len(first) == len(part) and got.ids == check:
+                counts[part] = np.diff(np.concatenate((first, [len(ids)])))
+            else:
+                ids, counts[part], good[part] = self._one_by_one([names[i] for i in part.tolist()])
+            found.append(ids)
+            order.append(part)
+        rest = np.flatnonzero(~simple)
+        if len(rest):
+            ids, counts[rest], good[rest] = self._one_by_one([names[i] for i in rest.tolist()])
+            found.append(ids)
+            order.append(rest)
+        order = np.concatenate([np.zeros(0, np.int64), *order])
+        starts = np.zeros(len(words), np.int64)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        return np.concatenate([np.zeros(0, np.uint32), *found])[_ranges(starts, counts)], counts, good
+
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         tokenizer = self.inner if self.by_word else self.whole
         found = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        if self.by_word and self.model.dummy_prefix:  # the other library puts the first blank itself
+        if self.by_word and self.model.dummy_prefix:
             check = self.other.encode([w[1:] if w[:1] == " " else w for w in words], num_threads=self.threads)
             lone = [self.other.piece_to_id(MARK)]
             check = [lone if w == " " else c for w, c in zip(words, check)]
@@ -188,19 +236,49 @@ class PieceIds(Memo):
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
 
+    def spell(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The text of each run of ids in UTF-8, as ``decode`` gives it."""
+        sizes = self.sizes[ids]
+        spelt = self.spelt[_ranges(self.places[ids], sizes)].tobytes()
+        total = np.concatenate(([0], np.cumsum(sizes)))
+        bytes_before = np.concatenate(([0], np.cumsum(self.is_byte[ids])))
+        starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
+        out = []
+        for a, b, start, end, byte in zip(
+            total[starts].tolist(), total[ends].tolist(), starts.tolist(), ends.tolist(),
+            (bytes_before[ends] > bytes_before[starts]).tolist(),
+        ):
+            own = spelt[a + (self.model.dummy_prefix and spelt[a : min(a + 1, b)] == b" ") : b]
+            # runs of byte pieces that are no characters have a rule of the library's own
+            out.append(own if not byte or _is_text(own) else self.decode([ids[start:end].tolist()])[0].encode())
+        return out
+
+
+def _is_text(raw: bytes) -> bool:
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
 
 def piece_ids(path: str) -> PieceIds:
-    """The encoder of this worker for a model file at ``path``, or for one that
-    was added to the session with ``addFile`` under that name."""
+    """The encoder of this worker for a model file (see ``shared_file``)."""
 
     def make() -> PieceIds:
-        place = path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
-        with open(place, "rb") as file:
-            return PieceIds(file.read())
+        with open(shared_file(path), "rb") as file:
+            return PieceIds(file.read(), threads=task_cores())
 
     return per_process(("pieces", path), make)
 
 
+def task_cores() -> int:
+    """The cores that Spark gives a task."""
+    from pyspark import TaskContext
+
+    return TaskContext.get().cpus() if TaskContext.get() else 1
+
+
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids, parity of every whole text.
 
@@ -220,14 +298,21 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id, text of every list of ids; a null list is the empty text."""
+    """doc_id, text of every list of ids.
+
+    A null or empty list is the empty text. Repeated rows and null ids come back
+    as they are; an empty table gives no rows; other columns are ignored. Ids
+    outside the model, and nulls within a list, are an error.
+    """
 
     def run(batches):
         decoder = piece_ids(path)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                lists = [x or [] for x in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(decoder.decode(lists), pa.string())], ["doc_id", "text"])
+                lists = [np.asarray(x or [], np.uint32) for x in part.column("ids").to_pylist()]
+                ends = np.cumsum([len(x) for x in lists])
+                decoded = [t.decode() for t in decoder.spell(np.concatenate(lists), ends)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(decoded, pa.string())], ["doc_id", "text"])
 
     return df.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{ids_col}` as array<int>) ids").mapInArrow(
         run, "doc_id long, text string"
@@ -246,15 +331,17 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         encoder = piece_ids(path)
         for batch in bounded(batches, limit=4 << 20):
             ends, ids, same = encoder.encode(batch.column("text"))
-            given = batch.column("text").to_pylist()
-            every, starts = ids.tolist(), [0, *ends.tolist()]
-            decoded = encoder.decode([every[a:b] for a, b in zip(starts, starts[1:])])
+            content, sizes = raw_bytes(batch.column("text"))
+            content, places = memoryview(content.tobytes()), np.concatenate(([0], np.cumsum(sizes))).tolist()
+            given = [content[a:b] for a, b in zip(places, places[1:])]
+            starts = [0, *ends.tolist()]
+            decoded = encoder.spell(ids, ends)
             raw = memoryview(ids.astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array(np.diff(starts), pa.int64()),
                     pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts, starts[1:])], pa.int64()),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded]),
+                    pa.array([hashlib.sha256(t).hexdigest() for t in decoded]),
                     pa.array(same), pa.array([a == b for a, b in zip(given, decoded)]),
                 ],
                 ["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "parity", "same_text"],
