@@ -12,27 +12,30 @@ from pyspark.sql import DataFrame, SparkSession
 from furrow.llm import neardup, packing, secrets, toxicity
 from furrow.llm.common import read
 from furrow.llm.queries import WORD_TOKENIZER
-from furrow.session import materialise
+from furrow.session import release, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a model fitted on the labels does not predict toxic."""
+    """Documents that a model fitted on the labels does not predict toxic; null
+    ids and texts, repeated rows and all columns stay as they are."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), where=toxicity.remainder() != 0)
     return toxicity.keep_clean(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each near-duplicate group."""
-    return neardup.keep_one(docs, neardup.near_duplicates(docs, shingle=3, radius=2))
+    return neardup.keep_one(docs, neardup.near_duplicates(docs, shingle=3, radius=2, marks=True))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets replaced in the text; n_chars follows the new text."""
+    """Secrets replaced in the text; n_chars follows the new text, a null text
+    stays null."""
     return secrets.redact(docs, size_col="n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2,048 tokens, placed into sequences."""
+    """Pieces of at most 2,048 tokens, placed into sequences; a null or empty
+    text is its end token alone."""
     return packing.pack(docs, WORD_TOKENIZER)
 
 
@@ -47,8 +50,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; every result but the last is stored in between."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over documents.
+
+    Every result but the last is stored in between; a stage's input is deleted
+    once its result is stored. An empty table goes through all stages; null ids
+    and texts, repeated rows and further columns are treated as each stage says.
+    """
+    docs, before = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        folder = shared_folder(spark)
+        stored = stage(spark, docs, sf_dir)
+        stored.write.parquet(folder)
+        docs = spark.read.schema(stored.schema).parquet(folder)
+        if before is not None:
+            release(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)
