@@ -15,7 +15,8 @@ PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(read(spark, sf_dir, "documents"))
+    docs = read(spark, sf_dir, "documents")
+    return secrets.scan(docs, common=secrets.corpus_words(docs))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

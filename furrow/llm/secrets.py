@@ -5,7 +5,8 @@ them, every value in a wider credential context (more key names, several
 languages, logins inside URLs) is judged by how many guesses it takes: a dynamic
 programme finds the cheapest segmentation of the value into common words, dates,
 repeats, keyboard walks and brute-force stretches. Values that cost at least
-``10 ** least`` guesses become spans of kind ``guess``.
+``10 ** least`` guesses become spans of kind ``guess``. Common words are a short
+fixed list and, behind it, the most frequent words of the corpus itself.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from itertools import pairwise
+from bisect import bisect_right
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from furrow.llm.common import bounded, texts
+from furrow.llm.common import bounded, raw_bytes, strings_of, texts
 
 #: Patterns: (kind, expression, group that is measured, least length of it).
 BASE = (
@@ -57,13 +60,20 @@ KEYBOARD = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 #: Signs that stand for letters.
 LEET = {"4": "a", "@": "a", "3": "e", "1": "i", "!": "i", "0": "o", "5": "s", "$": "s", "7": "t"}
 
-_RANK = {w: i for i, w in reversed(list(enumerate(WORDS, 1)))}
-_LONGEST = max(map(len, WORDS))
+#: Words that the corpus itself adds to the list, by their counts, and their lengths.
+CORPUS_WORDS = 10_000
+LENGTHS = (3, 20)
+
 _BRUTE = 1.0  # log10 of the guesses for a sign
 _JOIN = math.log10(2)  # for each further segment
-_DATE = re.compile(r"(?=((?:19|20)\d\d([-/._ ]?)(?:0?[1-9]|1[0-2])\2(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._ ]?)(?:0[1-9]|1[0-2])\3(?:19|20)?\d\d))")
-_YEAR = re.compile(r"(?=((?:19|20)\d\d))")
-_REPEAT = re.compile(r"(.{1,8}?)\1{2,}|(.{2,8}?)\2+", re.S)
+_LENGTH = 1.0  # for the length of a walk or the number of repeats
+_KEYS = math.log10(len("".join(KEYBOARD)))  # for the start of a walk
+_TURN = math.log10(4)  # for a walk's turn back to the key before
+_ORDER = math.log10(36 * 2)  # for the start and direction of a run of letters or digits
+_PERIODS = 8  # the longest unit of a repeat
+_DATE = re.compile(r"(?:19|20)\d\d([-/._ ]?)(?:0?[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._ ]?)(?:0[1-9]|1[0-2])\2(?:19|20)?\d\d")
+_YEAR = re.compile(r"(?:19|20)\d\d")
+_DATE_COST, _YEAR_COST = math.log10(365 * 120 * 4), math.log10(120)
 
 
 def _neighbours() -> set[tuple[str, str]]:
@@ -79,74 +89,99 @@ def _neighbours() -> set[tuple[str, str]]:
 _NEXT = _neighbours()
 
 
-def _runs(value: str, good):
-    """Maximal stretches (start, end) whose neighbouring signs satisfy ``good``."""
-    start = 0
-    for i, (a, b) in enumerate(pairwise(value), 1):
-        if not good(a, b):
-            if i - start >= 3:
-                yield start, i
-            start = i
-    if len(value) - start >= 3:
-        yield start, len(value)
-
-
-def _word_cost(part: str) -> float | None:
-    """log10 guesses of a stretch as a common word, also reversed, capitalised
-    or with signs for letters."""
-    lower = part.lower()
-    plain = "".join(LEET.get(c, c) for c in lower)
-    for form, extra in ((lower, 0.0), (lower[::-1], math.log10(2)), (plain, math.log10(4)), (plain[::-1], math.log10(8))):
-        if form in _RANK:
-            capitals = sum(c.isupper() for c in part)
-            shape = 0.0 if not capitals else math.log10(2) if part.istitle() or part.isupper() else math.log10(2) * min(capitals, len(part) - capitals)
-            return math.log10(_RANK[form]) + extra + shape
-    return None
-
-
-def segments(value: str) -> tuple[float, list[tuple[str, int, int]]]:
+class Words:
+    """Common words, most common first."""
+
+    def __init__(self, ranked: list[str]):
+        self.rank = {w: i for i, w in reversed(list(enumerate(ranked, 1)))}
+        self.longest = max(map(len, ranked), default=0)
+
+    def cost(self, part: str) -> float | None:
+        """log10 guesses of a stretch as a common word, also reversed, capitalised
+        or with signs for letters."""
+        lower = part.lower()
+        plain = "".join(LEET.get(c, c) for c in lower)
+        forms = ((lower, 0.0), (lower[::-1], math.log10(2)), (plain, math.log10(4)), (plain[::-1], math.log10(8)))
+        found = [math.log10(self.rank[form]) + extra for form, extra in forms if form in self.rank]
+        if not found:
+            return None
+        capitals = sum(c.isupper() for c in part)
+        shape = 0.0 if not capitals else math.log10(2) if part.istitle() or part.isupper() else math.log10(2) * min(capitals, len(part) - capitals)
+        return min(found) + shape
+
+
+FIXED = Words(WORDS)
+
+
+def _in_order(a: str, b: str, step: int) -> bool:
+    return a.isalnum() and b.isalnum() and ord(b) - ord(a) == step
+
+
+def segments(value: str, words: Words = FIXED) -> tuple[float, list[tuple[str, int, int]]]:
     """(log10 guesses, cheapest segmentation as (kind, start, end)).
 
-    Every further segment doubles the guesses. Whole maximal walks and repeats
-    are offered, words of dictionary length and dates, so the work grows with the
-    length of the value.
+    Every further segment doubles the guesses. Offered are all common words, all
+    dates and years, every stretch of three or more neighbouring keys or of
+    letters or digits in order, every repeat (three or more of one sign, two or
+    more of a unit of up to eight), and any brute-force stretch. Stretches that
+    may have any length are open states of the programme, so that the work grows
+    with the length of the value.
     """
     n = len(value)
     if not n:
         return 0.0, []
-    ends: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
-    for i in range(n):
-        for j in range(i + 2, min(n, i + _LONGEST) + 1):
-            if (cost := _word_cost(value[i:j])) is not None:
-                ends[j].append((i, cost, "word"))
+    inf = math.inf
     lower = value.lower()
-    for start, end in _runs(lower, lambda a, b: (a, b) in _NEXT):
-        turns = sum(1 for a, b, c in zip(lower[start:end], lower[start + 1 : end], lower[start + 2 : end]) if a == c)
-        ends[end].append((start, math.log10(len("".join(KEYBOARD))) + math.log10(end - start) + turns * math.log10(4), "walk"))
-    for step in (1, -1):
-        for start, end in _runs(lower, lambda a, b: a.isalnum() and b.isalnum() and ord(b) - ord(a) == step):
-            ends[end].append((start, math.log10(36 * 2) + math.log10(end - start), "walk"))
-    for m in _REPEAT.finditer(value):
-        unit = m[1] or m[2]
-        ends[m.end()].append((m.start(), _BRUTE * len(unit) + math.log10(len(m[0]) / len(unit)), "repeat"))
-    for m in _DATE.finditer(value):
-        ends[m.end(1)].append((m.start(1), math.log10(365 * 120 * 4), "date"))
-    for m in _YEAR.finditer(value):
-        ends[m.end(1)].append((m.start(1), math.log10(120), "date"))
-    # best[j]: cheapest for value[:j]; brute: cheapest that ends in a brute-force stretch
-    best, last = [0.0] + [math.inf] * n, [(0, "")] * (n + 1)
-    brute, brute_from = math.inf, 0
+    best, last = [0.0] + [inf] * n, [(0, "")] * (n + 1)
+    # cheapest that ends in an open stretch of each kind, and where that starts
+    brute = keys = up = down = (inf, 0)
+    repeats = [(inf, 0)] * (_PERIODS + 1)
+    alike = [0] * (_PERIODS + 1)  # signs up to here that equal the one a period before
+
+    def opened(i: int, cost: float) -> tuple[float, int]:
+        return best[i] + (_JOIN if i else 0.0) + cost, i
+
     for j in range(1, n + 1):
-        opened = best[j - 1] + (_JOIN if j > 1 else 0.0) + _BRUTE
-        if brute + _BRUTE <= opened:
-            brute += _BRUTE
-        else:
-            brute, brute_from = opened, j - 1
-        best[j], last[j] = brute, (brute_from, "brute")
-        for i, cost, kind in ends[j]:
-            total = best[i] + (_JOIN if i else 0.0) + cost
-            if total < best[j]:
-                best[j], last[j] = total, (i, kind)
+        brute = min((brute[0] + _BRUTE, brute[1]), opened(j - 1, _BRUTE))
+        offers = [(*brute, "brute")]
+        if j >= 3:
+            a, b, c = lower[j - 3 : j]
+            if (b, c) in _NEXT:
+                turn = _TURN if a == c else 0.0
+                keys = (keys[0] + turn, keys[1])
+                if (a, b) in _NEXT:
+                    keys = min(keys, opened(j - 3, _KEYS + _LENGTH + turn))
+            else:
+                keys = (inf, 0)
+            runs = []
+            for run, step in ((up, 1), (down, -1)):
+                if not _in_order(b, c, step):
+                    run = (inf, 0)
+                elif _in_order(a, b, step):
+                    run = min(run, opened(j - 3, _ORDER + _LENGTH))
+                runs.append(run)
+            up, down = runs
+            offers += [(*keys, "walk"), (*up, "walk"), (*down, "walk")]
+        for p in range(1, min(_PERIODS, j - 1) + 1):
+            if value[j - 1] != value[j - 1 - p]:
+                repeats[p], alike[p] = (inf, 0), 0
+                continue
+            alike[p] += 1
+            least = max(2 * p, 3)
+            if alike[p] >= least - p:
+                repeats[p] = min(repeats[p], opened(j - least, _BRUTE * p + _LENGTH))
+                offers.append((*repeats[p], "repeat"))
+        for size in range(2, min(words.longest, j) + 1):
+            if (cost := words.cost(value[j - size : j])) is not None:
+                offers.append((*opened(j - size, cost), "word"))
+        if value[j - 1].isdecimal():
+            for size in range(4, min(10, j) + 1):
+                if size == 4 and _YEAR.fullmatch(value, j - 4, j):
+                    offers.append((*opened(j - 4, _YEAR_COST), "date"))
+                if size >= 6 and _DATE.fullmatch(value, j - size, j):
+                    offers.append((*opened(j - size, _DATE_COST), "date"))
+        best[j], start, kind = min(offers, key=lambda o: o[0])
+        last[j] = (start, kind)
     out, j = [], n
     while j:
         i, kind = last[j]
@@ -155,8 +190,8 @@ def segments(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     return best[n], out[::-1]
 
 
-def guess_cost(value: str) -> float:
-    return segments(value)[0]
+def guess_cost(value: str, words: Words = FIXED) -> float:
+    return segments(value, words)[0]
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -170,7 +205,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(BASE[k][0], start, end) for start, k, end in sorted(found)]
 
 
-def guess_spans(text: str, least: float = LEAST) -> list[tuple[int, int, float]]:
+def guess_spans(text: str, least: float = LEAST, words: Words = FIXED) -> list[tuple[int, int, float]]:
     """(start, end, log10 guesses) of hard-to-guess values in credential contexts."""
     lower = text.lower()
     if not any(h in lower for h in HINTS):
@@ -183,19 +218,22 @@ def guess_spans(text: str, least: float = LEAST) -> list[tuple[int, int, float]]
     out = []
     for start, end in sorted(set(found)):
         value = text[start:end]
-        if len(value) >= LEAST_LENGTH and (cost := guess_cost(value)) >= least:
+        if len(value) >= LEAST_LENGTH and (cost := guess_cost(value, words)) >= least:
             out.append((start, end, cost))
     return out
 
 
-def find(text: str, least: float = LEAST) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], float]:
+def find(text: str, least: float = LEAST, words: Words = FIXED) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], float]:
     """(fixed spans, all spans, largest log10 guesses of a value in context).
 
     A guessed value inside a fixed span makes no span of its own.
     """
     base = base_spans(text)
-    guessed = guess_spans(text, least)
-    own = [("guess", s, e) for s, e, _ in guessed if not any(a <= s and e <= b for _, a, b in base)]
+    guessed = guess_spans(text, least, words)
+    starts = [a for _, a, _ in base]
+    reach = list(accumulate((b for _, _, b in base), max))  # the furthest end of the spans up to here
+    covered = lambda s, e: (k := bisect_right(starts, s)) > 0 and reach[k - 1] >= e
+    own = [("guess", s, e) for s, e, _ in guessed if not covered(s, e)]
     every = sorted(base + own, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
     return base, every, max((c for _, _, c in guessed), default=0.0)
 
@@ -223,20 +261,60 @@ def _join(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
+def corpus_words(df: DataFrame, text_col: str = "text", limit: int = CORPUS_WORDS) -> list[str]:
+    """The ``limit`` most frequent words of all texts, most frequent first, ties
+    by the alphabet: runs of LENGTHS letters a to z, in lower case.
+
+    Counts cover every text. Null and empty texts have no words, repeated rows
+    count each, an empty table gives none.
+    """
+
+    def run(batches):
+        low = np.zeros(256, np.uint8)
+        for c in range(97, 123):
+            low[c] = low[c - 32] = c
+        for batch in bounded(batches, "text"):
+            raw, sizes = raw_bytes(batch.column("text"))
+            letters = low[raw]
+            inside = letters > 0
+            edge = np.zeros(len(raw) + 1, bool)
+            edge[np.cumsum(sizes)] = True
+            begins = inside.copy()
+            begins[1:] &= ~inside[:-1] | edge[1:-1]
+            starts = np.flatnonzero(begins)
+            if not len(starts):
+                continue
+            kept = np.cumsum(inside)
+            lengths = np.diff(np.concatenate((kept[starts] - 1, kept[-1:])))
+            words = strings_of(letters[inside], lengths).filter(pa.array((lengths >= LENGTHS[0]) & (lengths <= LENGTHS[1])))
+            coded = words.dictionary_encode()
+            counts = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+            yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), pa.array(counts, pa.int64())], ["word", "n"])
+
+    counts = df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(run, "word string, n long")
+    total = counts.groupBy("word").agg(F.sum("n").alias("n"))
+    return [r["word"] for r in total.orderBy(F.desc("n"), "word").limit(limit).collect()]
+
+
+def scan(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, common: list[str] | None = None
+) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess, hardest_log10.
 
-    Spans are kind:start:end in code points, end exclusive, by start, then kind
+    ``common`` are words that rank behind the fixed ones (``corpus_words``). Spans are kind:start:end in code points, end exclusive, by start, then kind
     in the order assign, access, hex, guess. A null text is empty: counts 0, no
     spans, the checksum of the empty string. Repeated rows and null ids come
     back as they are; an empty table gives no rows; other columns are ignored.
     """
 
+    ranked = WORDS + (common or [])
+
     def run(batches):
+        words = Words(ranked)
         for batch in bounded(batches):
             rows = []
             for text in batch.column("text").to_pylist():
-                base, every, hardest = find(text, least)
+                base, every, hardest = find(text, least, words)
                 kinds = [k for k, _, _ in base]
                 rows.append((
                     *(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(_join(base).encode()).hexdigest(),
@@ -253,17 +331,23 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: f
     )
 
 
-def redact(df: DataFrame, text_col: str = "text", size_col: str | None = None, mark: str = "<secret>", least: float = LEAST) -> DataFrame:
+def redact(
+    df: DataFrame, text_col: str = "text", size_col: str | None = None, mark: str = "<secret>", least: float = LEAST,
+    common: list[str] | None = None,
+) -> DataFrame:
     """``df`` with every found stretch of the text replaced by ``mark``.
 
-    All columns stay; a null text stays null. ``size_col`` names a column that
+    ``common`` as in ``scan``. All columns stay, whatever their names; a null
+    text stays null, an empty one empty. Null ids and repeated rows stay as they
+    are; an empty table gives an empty one. ``size_col`` names a column that
     takes the new number of code points.
     """
-    at = df.columns.index(text_col)
+    at, ranked = df.columns.index(text_col), WORDS + (common or [])
 
     def run(batches):
+        words = Words(ranked)
         for batch in bounded(batches, text_col):
-            done = [None if t is None else redacted(t, find(t, least)[1], mark) for t in batch.column(at).to_pylist()]
+            done = [None if t is None else redacted(t, find(t, least, words)[1], mark) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(done, batch.schema.field(at).type))
 
     out = df.mapInArrow(run, df.schema)

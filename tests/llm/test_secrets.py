@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -78,22 +79,65 @@ def test_odd_rows(odd, none):
     assert secrets.scan(none).count() == 0
 
 
-def test_guess_cost_is_the_cheapest_segmentation():
-    # all segmentations of short values into the offered pieces
-    def brute(value):
-        n = len(value)
-        pieces = {}
-        for i in range(n):
-            for j in range(i + 1, n + 1):
-                c = secrets._word_cost(value[i:j]) if j - i > 1 else None
-                pieces[i, j] = min(x for x in (c, float(j - i)) if x is not None)
-        best = {0: 0.0}
-        for j in range(1, n + 1):
-            best[j] = min(best[i] + (secrets._JOIN if i else 0) + pieces[i, j] for i in range(j))
-        return best[n]
-
-    for value in ("passwordzkw", "zadminzroot", "pxzkvbm", "lovezangel", "P4sswordq"):
-        assert secrets.guess_cost(value) == pytest.approx(brute(value))
+def offers(value, i, j):
+    """Every cost of the stretch from i to j as one segment, read off the definitions."""
+    part, n = value[i:j], j - i
+    lower, out = part.lower(), [float(n)]
+    if n > 1 and (cost := secrets.FIXED.cost(part)) is not None:
+        out.append(cost)
+    if n >= 3 and all(p in secrets._NEXT for p in zip(lower, lower[1:])):
+        out.append(secrets._KEYS + 1 + sum(a == c for a, c in zip(lower, lower[2:])) * math.log10(4))
+    for step in (1, -1):
+        if n >= 3 and all(a.isalnum() and b.isalnum() and ord(b) - ord(a) == step for a, b in zip(lower, lower[1:])):
+            out.append(math.log10(72) + 1)
+    for p in range(1, 9):
+        if n >= max(2 * p, 3) and all(part[k] == part[k - p] for k in range(p, n)):
+            out.append(p + 1.0)
+    if re.fullmatch(r"(19|20)\d\d", part):
+        out.append(math.log10(120))
+    if secrets._DATE.fullmatch(part):
+        out.append(math.log10(365 * 120 * 4))
+    return min(out)
+
+
+def cheapest(value):
+    best = {0: 0.0}
+    for j in range(1, len(value) + 1):
+        best[j] = min(best[i] + (math.log10(2) if i else 0) + offers(value, i, j) for i in range(j))
+    return best[len(value)]
+
+
+def test_guess_cost_is_the_cheapest_of_all_segmentations():
+    rng = random.Random(5)
+    given = ["asdfghello", "passwordzkw", "P4sswordq", "qwertyabcabc2020", "aaaaqwerewq321cba", "31.12.1999x2020111", "aAbBaAbBaA", "abcabcabcab"]
+    pieces = ["asdf", "qwe", "ewq", "abc", "cba", "123", "aa", "xyxyxy", "2019", "20200131", "love", "Root", "p@ss", "k", "#", "7", "hello"]
+    given += ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 6))) for _ in range(150)]
+    given += ["".join(rng.choice("asdq12") for _ in range(rng.randint(1, 14))) for _ in range(150)]
+    for value in given:
+        cost, found = secrets.segments(value)
+        assert cost == pytest.approx(cheapest(value)), value
+        assert [s for _, s, _ in found] + [len(value)] == [0, *(e for _, _, e in found)]
+        assert cost == pytest.approx(sum(offers(value, s, e) for _, s, e in found) + math.log10(2) * (len(found) - 1))
+
+
+def test_words_of_the_corpus(spark, make_docs):
+    from collections import Counter
+
+    texts = ["Horse battery, staple; horse", None, "", "battery-staple ab " + "x" * 21, "Horse éhorse horse1battery"]
+    docs = make_docs(list(enumerate(texts)))
+    counts = Counter(w for t in texts for w in re.findall("[a-z]+", (t or "").lower()) if 3 <= len(w) <= 20)
+    ranked = [w for w, _ in sorted(counts.items(), key=lambda c: (-c[1], c[0]))]
+    assert secrets.corpus_words(docs) == ranked and secrets.corpus_words(docs, limit=2) == ranked[:2]
+    value = "horsebatterystaple"
+    assert secrets.guess_cost(value) > 10 > secrets.guess_cost(value, secrets.Words(secrets.WORDS + ranked))
+    row = make_docs([(1, f"pwd: {value}")])
+    assert secrets.scan(row).first()["n_guess"] == 1 and secrets.scan(row, common=ranked).first()["n_guess"] == 0
+
+
+def test_many_spans_in_one_text_take_linear_time():
+    text = f'token = "{HEX}" pwd: Xk9#qLw2!vZ@ ' * 20_000
+    base, every, _ = secrets.find(text)
+    assert len(base) == 40_000 and len(every) == 60_000
 
 
 def test_pieces_of_a_value():
