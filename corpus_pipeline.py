@@ -30,7 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets replaced in the text; n_chars follows the new text, a null text
     stays null."""
-    return secrets.redact(docs, size_col="n_chars")
+    return secrets.redact(docs, size_col="n_chars", common=secrets.corpus_words(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
