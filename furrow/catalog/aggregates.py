@@ -235,16 +235,83 @@ def ks_drift_exact(spark, sf):
     return rounded(rounded(out, ["statistic"], 8), ["p_value"], 6)
 
 
-@query("adf_test")
+def sweep_sql(name: str, given: str, skip: str, lags: str) -> str:
+    """CTEs: the regression of ``given`` (key, v, d, m and more) on its level, a
+    constant and ``lags`` changes over the rows from ``skip`` on: one row a swept
+    column, ``k`` of them done, with the matrix and the residual sums so far."""
+    return f"""
+    , {name}_x as (select *, list_transform(range(0, {lags} + 3), lambda c: case
+          when c = 0 then v[{skip} + 1:m] when c = 1 then list_transform(range({skip}, m), lambda x: 1::double)
+          when c = {lags} + 2 then d[{skip} + 1:m] else d[{skip} - c + 2:m - c + 1] end) as cols from {given}),
+    {name} as (with recursive sw as (
+        select crop, mandi, stage, {lags} as lags, m - {skip} as nobs, 0 as k, cast([] as double[]) as rss,
+          list_transform(cols, lambda a: list_transform(cols, lambda b: list_inner_product(a, b))) as mt from {name}_x
+        union all
+        select crop, mandi, stage, lags, nobs, k + 1, list_append(rss, nt[lags + 3][lags + 3]), nt
+        from (select *, list_transform(mt, lambda row, i: case
+            when i = k + 1 then list_transform(row, lambda x, j: case when j = k + 1 then 1 / x else x / row[k + 1] end)
+            else list_transform(row, lambda x, j: case when j = k + 1 then -x / mt[k + 1][k + 1]
+              else x - row[k + 1] * mt[k + 1][j] / mt[k + 1][k + 1] end) end) as nt from sw where k < lags + 2))
+      select * from sw where k = lags + 2)"""
+
+
+def cdf_sql(x: str) -> str:
+    """Standard normal distribution function of ``x`` by its power series."""
+    odd = "lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1)"
+    total = f"list_sum(list_transform(range(0, 121), lambda k: exp((2 * k + 1) * ln(abs({x})) - ({odd}))))"
+    return f"""(case when {x} < -8 then 0 when {x} > 8 then 1 when {x} = 0 then 0.5
+      else 0.5 + sign({x}) * exp(-{x} * {x} / 2) / sqrt(2 * pi()) * {total} end)"""
+
+
+def poly_sql(x: str, coefficients) -> str:
+    return " + ".join(f"({c!r})::double * pow({x}, {i})" for i, c in enumerate(coefficients))
+
+
+def unit_root_sql(source: str) -> str:
+    """CTE ``tested``: both test stages of every series of ``source``, straight from the regressions."""
+    return f"""
+    , y0 as (select crop, mandi, date, modal_price::double as y,
+        modal_price::double - lag(modal_price::double) over (partition by crop, mandi order by date) as dy from {source}),
+    s0 as (
+      select crop, mandi, 'original' as stage, list(y order by date) as y, count(*) as n from y0 where y is not null group by 1, 2
+      union all
+      select crop, mandi, 'differenced', list(dy order by date), count(*) from y0 where dy is not null group by 1, 2),
+    s1 as (select crop, mandi, stage, n, n - 1 as m, list_transform(y, lambda x: x - y[1]) as v,
+        list_transform(range(1, n), lambda i: y[i + 1] - y[i]) as d,
+        cast(greatest(least(ceil(12 * pow(n / 100.0, 0.25)), n // 2 - 2), 0) as int) as top
+      from s0 where n >= 8 and list_min(y) < list_max(y)){sweep_sql('common', 's1', 'top', 'top')},
+    best as (select crop, mandi, stage, list_min(list_transform(range(0, lags + 1), lambda l:
+        {{'score': nobs * ln(greatest(rss[l + 2], 1e-300) / nobs) + 2 * (l + 2), 'lag': l}})).lag as used from common),
+    s2 as (select s1.*, used from s1 join best using (crop, mandi, stage)){sweep_sql('own', 's2', 'used', 'used')},
+    st as (select crop, mandi, stage, lags as used_lag, nobs,
+        mt[1][lags + 3] / sqrt(greatest(mt[1][1] * mt[lags + 3][lags + 3] / greatest(nobs - lags - 2, 1), 0)) as tau from own),
+    sp as (select *, case when tau <= {K.ADF_TAU_STAR} then {poly_sql('tau', K.ADF_SMALL_P)} else {poly_sql('tau', K.ADF_LARGE_P)} end as z from st),
+    tested as (select s0.crop, s0.mandi, s0.stage, tau as adf_statistic,
+        case when tau > {K.ADF_TAU_MAX} then 1 when tau < {K.ADF_TAU_MIN} then 0 else {cdf_sql('z')} end as p_value,
+        """ + ", ".join(f"{poly_sql('(1.0 / nobs)', K.ADF_CRITICAL[c])} as critical_{c}" for c in stationarity.LEVELS) + """,
+        used_lag, nobs from s0 left join sp using (crop, mandi, stage))"""
+
+
+UNIT_ROOT = ["adf_statistic", "p_value", "critical_1pct", "critical_5pct", "critical_10pct"]
+UNIT_ROOT_SQL = ", ".join(f"{qs(c, 6)} as {c}" for c in UNIT_ROOT)
+
+
+@query("adf_test", "daily_prices", sql=unit_root_sql("daily_prices") + f"""
+    select crop, mandi, {UNIT_ROOT_SQL}, used_lag::int as used_lag, nobs::int as nobs from tested where stage = 'original'""")
 def adf_test(spark, sf):
-    return stationarity.adf_test(table(spark, sf, "daily_prices"))
+    return rounded(stationarity.adf_test(table(spark, sf, "daily_prices")), UNIT_ROOT, 6)
 
 
-@query("make_stationary")
+@query("make_stationary", "walk_prices", sql=unit_root_sql("walk_prices") + f"""
+    select t.crop, t.mandi, 'ADF' as test_name, t.stage, {UNIT_ROOT_SQL.replace('((', '((t.')},
+      t.p_value <= 0.05::double as is_stationary,
+      case when t.stage = 'original' then t.p_value > 0.05::double else true end as differencing_applied
+    from tested t join tested o on o.crop = t.crop and o.mandi = t.mandi and o.stage = 'original'
+    where t.stage = 'original' or o.p_value > 0.05::double""")
 def make_stationary(spark, sf):
     """Diagnostics of all series and of a random walk beside each."""
     _, diagnostics = stationarity.make_stationary(table(spark, sf, "walk_prices"))
-    return diagnostics
+    return rounded(diagnostics, UNIT_ROOT, 6)
 
 
 @query("attr_importance", sql=ATTR + f"""

@@ -2,13 +2,14 @@
 
 import datetime as dt
 import itertools
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from furrow.functions.stats import adf_critical, adf_p_value
+from furrow.functions.stats import adf_critical, adf_p_value, normal_cdf
 from furrow.operators import drift, stationarity
 from furrow.operators.prefix import exact_quantiles, running_totals
 
@@ -58,10 +59,14 @@ def test_drift_groups(spark):
         assert out["apart"].n1 == 90 and out["apart"].n2 == 90
 
 
-def test_adf_tables():
-    assert adf_p_value(-2.8615) == pytest.approx(0.05, abs=1e-3)
-    assert adf_p_value(-20) == 0.0 and adf_p_value(3) == 1.0
-    assert adf_critical("5pct", 100) == pytest.approx(-2.8909, abs=1e-3)
+def test_adf_tables(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(adf_p_value(F.lit(-2.8615))) == pytest.approx(0.05, abs=1e-3)
+    assert one(adf_p_value(F.lit(-20.0))) == 0.0 and one(adf_p_value(F.lit(3.0))) == 1.0
+    assert one(adf_p_value(F.lit(None).cast("double"))) is None
+    assert one(adf_critical("5pct", F.lit(100))) == pytest.approx(-2.8909, abs=1e-3)
+    for x in (-7.5, -3.0, -0.1, 0.0, 1.96, 6.0):
+        assert one(normal_cdf(F.lit(x))) == pytest.approx(NormalDist().cdf(x), abs=1e-13)
 
 
 def pair(spark):
@@ -90,13 +95,48 @@ def test_adf_and_differencing(spark):
     assert {r.stage for r in loose.collect()} == {"original"}  # the caller's level decides
 
 
-def test_adf_statistic_without_lags_is_the_ols_ratio():
-    y = np.array([1.0, 3.0, 2.0, 5.0, 4.0, 6.0, 5.5, 7.0, 6.5, 9.0])
-    stat, lag, nobs = stationarity.adf_statistic(y)
-    dy = np.diff(y)
-    cols = [y[lag:-1], np.ones(len(dy) - lag)] + [dy[lag - i : len(dy) - i] for i in range(1, lag + 1)]
-    x, t = np.column_stack(cols), dy[lag:]
-    beta = np.linalg.solve(x.T @ x, x.T @ t)
-    s2 = ((t - x @ beta) ** 2).sum() / (len(t) - x.shape[1])
-    assert nobs == len(t)
-    assert stat == pytest.approx(beta[0] / np.sqrt(s2 * np.linalg.inv(x.T @ x)[0, 0]))
+def plain_adf(y):
+    """(statistic, lag, observations) by least squares on whole design matrices."""
+    n = len(y)
+    change, top = np.diff(y), stationarity.top_lag(n)
+
+    def fit(lags, skip):
+        rows = np.arange(skip, len(change))
+        x = np.column_stack([y[rows], np.ones(len(rows))] + [change[rows - i] for i in range(1, lags + 1)])
+        beta, *_ = np.linalg.lstsq(x, change[rows], rcond=None)
+        return x, beta, ((change[rows] - x @ beta) ** 2).sum(), len(rows)
+
+    scores = []
+    for lag in range(top + 1):
+        _, _, rss, m = fit(lag, top)
+        scores.append((m * np.log(rss / m) + 2 * (lag + 2), lag))
+    lag = min(scores)[1]
+    x, beta, rss, m = fit(lag, lag)
+    return beta[0] / np.sqrt(np.linalg.inv(x.T @ x)[0, 0] * rss / max(m - x.shape[1], 1)), lag, m
+
+
+def test_adf_by_moments_is_the_regression(spark):
+    rng = np.random.default_rng(4)
+    series = {
+        "short": rng.normal(0, 1, 9), "eight": rng.normal(0, 1, 8), "noise": rng.normal(50, 3, 400), "walk": 900 + np.cumsum(rng.normal(0, 2, 700)),
+        "season": 100 + 10 * np.sin(np.arange(500) / 7) + rng.normal(0, 1, 500), "steps": np.cumsum(rng.integers(-2, 3, 150)).astype(float),
+    }
+    ar = rng.normal(0, 1, 600)
+    for t in range(3, 600):
+        ar[t] += 0.5 * ar[t - 1] - 0.3 * ar[t - 3]
+    series["lags"] = 1000 + ar
+    start = dt.date(2020, 1, 1)
+    rows = [("c", m, start + dt.timedelta(days=i), float(v)) for m, y in series.items() for i, v in enumerate(y)]
+    rows += [("c", "gaps", start + dt.timedelta(days=i), None if i % 9 == 4 else float(v)) for i, v in enumerate(series["noise"])]
+    rows += [("c", "few", start + dt.timedelta(days=i), float(i % 3)) for i in range(7)]
+    rows += [("c", "none", start, None)]
+    series["gaps"] = np.array([v for i, v in enumerate(series["noise"]) if i % 9 != 4])
+    df = spark.createDataFrame(rows, "crop string, mandi string, date date, modal_price double")
+    out = {r.mandi: r for r in stationarity.adf_test(df).collect()}
+    assert set(out) == {*series, "few"} and out["few"].adf_statistic is None and out["few"].p_value is None
+    for name, y in series.items():
+        stat, lag, m = plain_adf(y)
+        assert (out[name].used_lag, out[name].nobs) == (lag, m), name
+        assert out[name].adf_statistic == pytest.approx(stat, rel=1e-7), name
+    empty = stationarity.adf_test(df.where("false"))
+    assert empty.count() == 0
