@@ -118,7 +118,7 @@ def feature_rows(spark):
 def test_regression_is_repeatable_and_attribution_adds_up(spark, feature_rows):
     model, scored = learn.regress_forecast(feature_rows, 5)
     again, _ = learn.regress_forecast(feature_rows, 5)
-    assert np.allclose(model.coefficients.toArray(), again.coefficients.toArray())
+    assert np.allclose(model.coefficients, again.coefficients)
     assert scored.count() > 0
     long = learn.linear_attribution(feature_rows, learn.coefficient_table(spark, model))
     sums = long.groupBy("crop", "mandi", "date").agg(F.sum("attribution").alias("s"))
@@ -129,6 +129,59 @@ def test_regression_is_repeatable_and_attribution_adds_up(spark, feature_rows):
     assert worst < 1e-6
 
 
+def plain_ridge(x, y, penalty):
+    """(coefficients, intercept) by least squares on standardised columns with penalty rows."""
+    mean, sd = x.mean(0), x.std(0)
+    z = np.where(sd > 0, (x - mean) / np.where(sd > 0, sd, 1), 0)
+    n, p = z.shape
+    tall = np.vstack([z, np.sqrt(penalty * n) * np.eye(p)])
+    w = np.linalg.lstsq(tall, np.r_[y - y.mean(), np.zeros(p)], rcond=None)[0]
+    w = np.where(sd > 0, w / np.where(sd > 0, sd, 1), 0)
+    return w, y.mean() - w @ mean
+
+
+def test_all_horizons_from_one_matrix(spark, feature_rows):
+    feature_rows = feature_rows.withColumn("is_rabi", F.lit(1.0))  # a constant feature
+    model, scored = learn.regress_forecast(feature_rows, [1, 5, 3])
+    pdf = feature_rows.toPandas().sort_values(["mandi", "date"])
+    for h in (1, 3, 5):
+        train = []
+        for _, f in pdf.groupby("mandi"):
+            f = f.assign(y=f.modal_price.shift(-h), far=f.modal_price.shift(-5)).dropna()
+            train.append(f.iloc[: int(len(f) * 0.8) - 5])
+        train = pd.concat(train)
+        w, b = plain_ridge(train[K.FEATURE_NAMES].to_numpy(), train.y.to_numpy(), 0.1)
+        got = scored.filter(F.col("horizon") == h).toPandas().set_index(["mandi", "date"]).predicted
+        x = pdf.set_index(["mandi", "date"]).loc[got.index, K.FEATURE_NAMES].to_numpy()
+        assert np.allclose(got, x @ w + b, rtol=1e-8) and len(got) == 2 * 29
+        if h == 5:
+            assert np.allclose(model.coefficients, w, atol=1e-8) and model.coefficients[K.FEATURE_NAMES.index("is_rabi")] == 0
+            resid = train.y.to_numpy() - train[K.FEATURE_NAMES].to_numpy() @ w - b
+            assert model.rmse == pytest.approx(np.sqrt((resid**2).mean()))
+
+
+def test_learned_selection_against_plain_folds(spark, feature_rows):
+    out = learn.learned_select(feature_rows, 5, [3, 53], [0.01, 1.0]).collect()
+    pdf = feature_rows.toPandas().sort_values(["mandi", "date"])
+    for r in out:
+        errors = []
+        for fold in range(3):
+            train, check = [], []
+            for _, f in pdf.groupby("mandi"):
+                f = f.assign(y=f.modal_price.shift(-5)).dropna()
+                block = len(f) // 4
+                start = len(f) - (3 - fold) * block
+                train.append(f.iloc[: start - 5])
+                check.append(f.iloc[start : start + block])
+            train, check = pd.concat(train), pd.concat(check)
+            names = K.FEATURE_NAMES[: r.depth]
+            w, b = plain_ridge(train[names].to_numpy(), train.y.to_numpy(), r.penalty)
+            errors.append(np.sqrt(((check.y - check[names].to_numpy() @ w - b) ** 2).mean()))
+        assert r.score == pytest.approx(np.mean(errors), rel=1e-7) and r.folds == 3
+    assert [r.score for r in out if r.best] == [min(r.score for r in out)]
+    assert learn.learned_select(feature_rows.filter("false"), 5, [3], [1.0]).count() == 0
+
+
 def test_transfer_scores_only_the_other_crop(feature_rows):
     _, scored = learn.regress_forecast(feature_rows, 5, fit_crops=K.HIGH_DATA_CROPS, score_crops=K.LOW_DATA_CROPS)
     assert {r.crop for r in scored.select("crop").distinct().collect()} == {"Ragi"}
