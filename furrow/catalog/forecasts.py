@@ -9,6 +9,7 @@ from furrow.catalog.aggregates import KS, TAIL90, SCORES
 from furrow.catalog.joins import ATTR, attributions
 from furrow.catalog.registry import newest, newest_ship, q, qs, query, rounded
 from furrow.catalog.scalars import duck_title, template_sql
+from furrow.catalog.windows import features_sql
 from furrow.operators import aggregates as A, drift, joins, replies
 from furrow.plans import backtest as B, forecast as P, learn
 from furrow.session import materialise, shared_folder
@@ -285,32 +286,125 @@ def features(spark, sf):
     return learn.stored_features(daily, announcements_of(daily))
 
 
-@query("regress_forecast")
+STEPS = list(range(1, K.OUTPUT_STEPS + 1))
+
+
+def matrix_sql() -> str:
+    """CTE ``fe``: the feature matrix in full digits; ``rw``: its rows with all
+    targets, their place and the length of their series."""
+    full = features_sql(lambda value, digits=0: f"({value})")
+    head, _, tail = full.rpartition("select * from f where")
+    leads = ", ".join(f"lead(modal_price, {h}) over w" for h in STEPS)
+    return head.rstrip() + f"""
+    , fe as (select * from f where {tail}),
+    tg as (select *, [{', '.join(f'{n}::double' for n in K.FEATURE_NAMES)}] as x, [{leads}] as y from fe
+      window w as (partition by crop, mandi order by date)),
+    rw as (select crop, mandi, date, x, y, row_number() over (partition by crop, mandi order by date) - 1 as pos,
+        count(*) over (partition by crop, mandi) as n from tg where y[{len(STEPS)}] is not null)"""
+
+
+def ridge_sql(train: str, targets: int, penalty: str = "0.1") -> str:
+    """CTE ``lm``: weights ``w`` and intercepts ``b`` of the ridge regressions of
+    ``train`` (configuration ``cfg``, x, y), by sweeping the features out of the
+    matrix of products. ``penalty`` may use columns of ``cfg``."""
+    p = len(K.FEATURE_NAMES)
+    return f"""
+    , cells as (select cfg, i, list(list_concat(x, y)[i]) as v from {train}, (select unnest(range(1, {p + targets + 1})) as i) group by cfg, i),
+    st as (select cfg, i, v, list_avg(v) as mu, list_stddev_pop(v) as sd from cells),
+    zz as (select cfg, i, mu, sd, list_transform(v, lambda a: case when i > {p} then a - mu when sd > 0 then (a - mu) / sd else 0 end) as z from st),
+    gg as (select a.cfg, a.i, list(list_inner_product(a.z, b.z) / len(a.z) + case when a.i = b.i and a.i <= {p} then {penalty} else 0 end order by b.i) as r
+      from zz a join zz b on a.cfg = b.cfg group by a.cfg, a.i),
+    mx as (select cfg, list(r order by i) as mt from gg group by cfg),
+    ss as (select cfg, list(mu order by i) as mu, list(sd order by i) as sd from zz group by cfg),
+    sw as (with recursive s as (
+        select cfg, 0 as k, mt from mx
+        union all
+        select cfg, k + 1, list_transform(mt, lambda row, i: case
+            when i = k + 1 then list_transform(row, lambda x, j: case when j = k + 1 then 1 / x else x / row[k + 1] end)
+            else list_transform(row, lambda x, j: case when j = k + 1 then -x / mt[k + 1][k + 1]
+              else x - row[k + 1] * mt[k + 1][j] / mt[k + 1][k + 1] end) end) from s where k < {p})
+      select cfg, mt from s where k = {p}),
+    wt as (select cfg, mu, list_transform(range(1, {targets + 1}), lambda t: list_transform(range(1, {p + 1}), lambda i:
+        case when sd[i] > 0 then mt[i][{p} + t] / sd[i] else 0 end)) as w from sw join ss using (cfg)),
+    lm as (select cfg, w, list_transform(range(1, {targets + 1}), lambda t: mu[{p} + t] - list_inner_product(w[t], mu[1:{p}])) as b from wt)"""
+
+
+def learned_sql(fit: str = "true", score: str = "true") -> str:
+    """CTE ``ev``: errors of the direct regressions per series and horizon."""
+    return matrix_sql() + f"""
+    , tr as (select 0 as cfg, x, y from rw where pos < floor(n * 0.8::double) - {len(STEPS)} and {fit})""" + ridge_sql("tr", len(STEPS)) + f"""
+    , pr as (select crop, mandi, h as horizon, date, y[h] as actual, list_inner_product(x, w[h]) + b[h] as predicted
+      from (select * from rw where pos >= floor(n * 0.8::double) and {score}) r, lm, (select unnest(range(1, {len(STEPS) + 1})) as h)),
+    sp as (select *, case when count(*) over s > 1 then stddev_pop(actual - predicted) over s else avg(predicted) over s * 0.05::double end as spread
+      from pr window s as (partition by crop, mandi, horizon)),
+    dr as (select *, sign(actual - lag(actual) over w) as da, sign(predicted - lag(predicted) over w) as dp from sp
+      window w as (partition by crop, mandi, horizon order by date)),
+    ev as (select crop, mandi, horizon, sqrt(avg((actual - predicted) * (actual - predicted))) as rmse, avg(abs(actual - predicted)) as mae,
+        coalesce(avg(case when actual <> 0 then abs((actual - predicted) / actual) end) * 100, 0) as mape,
+        coalesce(avg(case when da is not null then case when da = dp then 1.0 else 0.0 end end) * 100, 50) as directional_accuracy,
+        avg(case when abs(actual - predicted) <= 1.96::double * spread then 1.0 else 0.0 end) * 100 as pi_coverage_95, count(*) as n
+      from dr group by crop, mandi, horizon)"""
+
+
+SCORED = ", ".join(f"{qs(c, 3)} as {c}" for c in SCORES)
+RICH, OTHER = ["STANDARD", "MEDIUM", "LARGE"], ["PROMO", "SMALL", "ECONOMY"]
+
+
+@query("regress_forecast", "daily_prices", "announcements", sql=learned_sql() + f"""
+    select crop, mandi, horizon, {SCORED}, n from ev""")
 def regress_forecast(spark, sf):
-    """Held-out scores of the pooled 30-step regression, per series."""
-    _, scored = learn.regress_forecast(features(spark, sf), K.OUTPUT_STEPS)
-    return A.forecast_errors(scored, SERIES)
+    """Held-out scores of the pooled direct regressions, per series and horizon."""
+    _, scored = learn.regress_forecast(features(spark, sf), STEPS)
+    return rounded(A.forecast_errors(scored, [*SERIES, "horizon"]), SCORES, 3)
+
 
+def in_list(crops) -> str:
+    return "crop in (" + ", ".join(f"'{c}'" for c in crops) + ")"
 
-@query("pooled_transfer")
+
+@query("pooled_transfer", "daily_prices", "announcements", sql=learned_sql(in_list(RICH), in_list(OTHER)) + f"""
+    select crop, mandi, horizon, {SCORED}, n from ev where horizon = {K.OUTPUT_STEPS}""")
 def pooled_transfer(spark, sf):
     """Fit on three data-rich crops, score the other ones."""
-    _, scored = learn.regress_forecast(
-        features(spark, sf), K.OUTPUT_STEPS,
-        fit_crops=["STANDARD", "MEDIUM", "LARGE"], score_crops=["PROMO", "SMALL", "ECONOMY"],
-    )
-    return A.forecast_errors(scored, SERIES)
+    _, scored = learn.regress_forecast(features(spark, sf), K.OUTPUT_STEPS, fit_crops=RICH, score_crops=OTHER)
+    return rounded(A.forecast_errors(scored, [*SERIES, "horizon"]), SCORES, 3)
 
 
-@query("linear_attribution")
+@query("linear_attribution", "daily_prices", "announcements", sql=learned_sql() + f"""
+    , names as (select unnest(range(1, {len(K.FEATURE_NAMES) + 1})) as i, unnest([{', '.join(f"'{n}'" for n in K.FEATURE_NAMES)}]) as feature),
+    vals as (select crop, mandi, feature, i, x[i] as v from tg, names),
+    bg as (select i, avg(v) as m from vals group by i),
+    per as (select crop, mandi, feature, avg(abs(w[{K.OUTPUT_STEPS}][vals.i] * (v - m))) as a from vals join bg using (i), lm group by crop, mandi, feature)
+    select crop, feature, {qs('avg(a)', 3)} as importance from per group by crop, feature""")
 def linear_attribution(spark, sf):
-    """Mean |attribution| of each feature of the fitted regression, per crop."""
+    """Mean |attribution| of each feature of the regression at the last horizon, per crop."""
     rows = features(spark, sf)
-    model, _ = learn.regress_forecast(rows, K.OUTPUT_STEPS)
+    model, _ = learn.regress_forecast(rows, STEPS)
     long = learn.linear_attribution(rows, learn.coefficient_table(spark, model))
-    return A.attribution_importance(
-        long.withColumn("sample", F.struct(*SERIES)), ["crop"]
-    )
+    out = A.attribution_importance(long.withColumn("sample", F.struct(*SERIES)), ["crop"])
+    return rounded(out, ["importance"], 3)
+
+
+DEPTHS, PENALTIES = [10, len(K.FEATURE_NAMES)], [0.01, 0.1, 1.0]
+
+
+@query("cv_select_learned", "daily_prices", "announcements", sql=matrix_sql() + f"""
+    , fd as (select r.*, fold, n // 4 as block, n - (3 - fold) * (n // 4) as start from rw r, (select unnest([0, 1, 2]) as fold)),
+    fk as (select * from fd where n - 3 * block > 30 and block > 30),
+    grid as (select fold, depth, penalty, {{'fold': fold, 'depth': depth, 'penalty': penalty}} as cfg
+      from (select unnest([0, 1, 2]) as fold), (select unnest({DEPTHS}) as depth), (select unnest({PENALTIES}::double[]) as penalty)),
+    tr as (select cfg, list_transform(x, lambda a, i: case when i <= depth then a else 0 end) as x, [y[{K.OUTPUT_STEPS}]] as y
+      from fk join grid using (fold) where pos < start - {K.OUTPUT_STEPS})""" + ridge_sql("tr", 1, "a.cfg.penalty") + f"""
+    , er as (select g.fold, g.depth, g.penalty, sqrt(avg(pow(y[{K.OUTPUT_STEPS}] - list_inner_product(x, w[1]) - b[1], 2))) as rmse
+      from fk join grid g using (fold) join lm on lm.cfg = g.cfg where pos >= start and pos < start + block group by all),
+    sc as (select depth, penalty, avg(rmse) as score, count(*) as folds from er group by depth, penalty)
+    select depth::int as depth, penalty, {qs('score', 3)} as score, folds::int as folds,
+      row_number() over (order by score, depth, penalty) = 1 as best from sc""")
+def cv_select_learned(spark, sf):
+    """Feature depth and penalty of the learned model by expanding folds."""
+    out = learn.learned_select(features(spark, sf), K.OUTPUT_STEPS, DEPTHS, PENALTIES)
+    stored = materialise(out)  # the table that a fit reads its configuration from
+    return rounded(stored, ["score"], 3)
 
 
 @query("save_explanations", sql=ATTR + f"""

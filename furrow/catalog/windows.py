@@ -32,7 +32,7 @@ def over(width):
     return f"over (partition by crop, mandi order by date rows between {width - 1} preceding and current row)"
 
 
-def roll_sql(value, prefix, digits=3):
+def roll_sql(value, prefix, digits=3, qs=qs):
     out = []
     for w in K.ROLL_WINDOWS:
         full = f"count({value}) {over(w)} = {w}"
@@ -145,7 +145,9 @@ PLAIN = [*K.MERGED_COLUMNS, *[f"price_lag_{k}" for k in K.PRICE_LAGS],
          "days_since_msp_announcement", "drought_flag", "futures_roll_signal"]
 DIGITS = {n: 3 for n in K.FEATURE_NAMES if n not in PLAIN}
 
-FEATURES = CORR + f"""
+def features_sql(qs=qs):
+    """CTEs and final select of the feature matrix; ``qs`` says how derived columns are shown."""
+    return CORR + f"""
     , base as (select d.*, {lag_sql('modal_price', 'price', K.PRICE_LAGS)},
         {lag_sql('arrivals_tonnes', 'arrivals', K.ARRIVAL_LAGS)},
         lag(freight_index, 7) over w as f7, lag(msp, 1) over w as m1,
@@ -153,7 +155,7 @@ FEATURES = CORR + f"""
         sum(cast(rainfall_mm as decimal(14,2))) {over(10)} as rain10,
         sum(arrivals_tonnes) {over(30)} as arr30,
         case when count(*) {over(7)} = 7 then avg((max_temp + min_temp) / 2) {over(7)} end as temp_rmean_7,
-        {roll_sql('modal_price', 'price')}, {roll_sql('arrivals_tonnes', 'arrivals')}
+        {roll_sql('modal_price', 'price', qs=qs)}, {roll_sql('arrivals_tonnes', 'arrivals', qs=qs)}
       from daily_prices d {WIN}),
     f as (select b.crop, b.mandi, b.date, {', '.join('b.' + c for c in K.MERGED_COLUMNS)},
         {', '.join(f'price_lag_{k}' for k in K.PRICE_LAGS)}, {', '.join(roll_names('price'))},
@@ -189,6 +191,9 @@ FEATURES = CORR + f"""
       and price_volatility is not null and price_momentum_7d is not null"""
 
 
+FEATURES = features_sql()
+
+
 @query("features_53", "daily_prices", "announcements", sql=FEATURES)
 def features_53(spark, sf):
     daily = materialise(prices(spark, sf))  # read twice: features and announcement days
