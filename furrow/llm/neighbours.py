@@ -176,12 +176,15 @@ def search(
         for at in range(0, len(asking), 256):
             part = asking[at : at + 256]
             rough = part @ vectors.T
-            # a few more than asked for: the product's last digit may differ from the exact score
-            few = min(k + 9, rough.shape[1])
-            near = np.argpartition(-rough, few - 1, axis=1)[:, :few]
-            for q, chosen in zip(part, near):
+            few = min(k + 1, rough.shape[1])
+            least = np.partition(rough, rough.shape[1] - few, axis=1)[:, rough.shape[1] - few]
+            # all that may tie: the product's last digits may differ from the exact score
+            slack = 1e-13 * vectors.shape[1] * np.abs(part).sum(axis=1) * np.abs(vectors).max()
+            for q, own, limit in zip(part, rough, least - slack):
+                chosen = np.flatnonzero(own >= limit)
                 scores = (vectors[chosen] * q).sum(axis=1)
-                found = sorted((-s, i) for s, c in zip(scores.tolist(), chosen.tolist()) for i in ids[c])[: k + 1]
+                first = np.lexsort((chosen, -scores))[: k + 1]  # vectors lie in order of their smallest id
+                found = sorted((-s, i) for s, c in zip(scores[first].tolist(), chosen[first].tolist()) for i in ids[c])[: k + 1]
                 out_ids.append([i for _, i in found])
                 out_scores.append([-s for s, _ in found])
         return pd.DataFrame({"point": left["point"], "ids": out_ids, "scores": out_scores})

@@ -80,6 +80,20 @@ def test_copies_ties_and_odd_rows(spark):
     assert neighbours.search(one, F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_many_ties_go_to_the_smallest_ids(spark):
+    rng = np.random.default_rng(8)
+    vectors = rng.integers(-1, 2, (500, 4)).astype(float)  # few values, so that most scores tie
+    vectors[(vectors == 0).all(1), 0] = 1
+    df = spark.createDataFrame([(int(i), v.tolist(), 0, None, None, None) for i, v in zip(rng.permutation(500), vectors)], SCHEMA)
+    of = {r["vec_id"]: np.array(r["embedding"]) for r in df.collect()}
+    got = {}
+    for r in neighbours.search(df, F.col("vec_id") % 50 == 0, k=5, share=1.0).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q, found in got.items():
+        assert found == sorted((i for i in of if i != q), key=lambda i: (-float(of[q] @ of[i]), i))[:5]
+    assert len(got) == 10
+
+
 def test_hilbert_keys_walk_through_neighbouring_cells():
     for dims, bits in ((1, 3), (2, 4), (3, 3), (4, 2)):
         cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims), axis=-1).reshape(-1, dims)
