@@ -45,6 +45,15 @@ NOTICES = (
     ("proprietary", "all rights reserved", 1),
 )
 
+#: Short phrases: (label, words that stand as they are, words that may be misspelt, edits that are forgiven).
+#: Two letters leave no room for an edit, so "cc by" is sought as it is and by its long name.
+SHORT = (
+    ("gpl", "gnu", "general public license", 2),
+    ("apache", "apache", "license", 2),
+    ("mit", "mit", "license", 2),
+    ("cc-by", "creative", "commons by", 1),
+)
+
 #: Bytes of a text to word bytes: A-Z lowered, digits, a-z and all beyond ASCII kept, the rest a blank.
 _TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256)
@@ -63,7 +72,7 @@ def seeds(notice: str, edits: int) -> list[tuple[bytes, int]]:
 
 
 class Scanner:
-    def __init__(self, phrases=PHRASES, notices=NOTICES):
+    def __init__(self, phrases=PHRASES, notices=NOTICES, short=SHORT):
         import ahocorasick
         import regex
 
@@ -79,6 +88,14 @@ class Scanner:
                 key = piece.decode("latin-1")
                 held = self.pieces.get(key, [])
                 self.pieces.add_word(key, [*held, (i, len(piece), offset)])
+        self.short = len(self.notices)  # from here on: the first words are the one whole piece
+        for label, first, rest, k in short:
+            head, tail = regex.escape(f" {first} ".encode()), regex.escape(rest.encode())
+            expression = regex.compile(rb"(?be)%b(?:%b){e<=%d}(?=\x20)" % (head, tail, k))
+            key = f" {first} "
+            held = self.pieces.get(key, [])
+            self.pieces.add_word(key, [*held, (len(self.notices), len(key), 0)])
+            self.notices.append((label, len(key) + len(rest), k, expression))
         self.pieces.make_automaton()
 
     def base(self, joined: bytes, starts: list[int]) -> list[tuple[int, str]]:
@@ -99,7 +116,8 @@ class Scanner:
             for i, size, offset in hits:
                 _, length, edits, _ = self.notices[i]
                 start = end + 1 - size - offset
-                found.setdefault(i, set()).add((max(0, start - edits), min(len(joined), start + length + edits)))
+                low = start if i >= self.short else max(0, start - edits)
+                found.setdefault(i, set()).add((low, min(len(joined), start + length + edits + (i >= self.short))))
         return {i: sorted(spans) for i, spans in found.items()}
 
     def matches(self, i: int, joined: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -132,13 +150,19 @@ class Scanner:
         return taken
 
     def fuzzy(self, joined: bytes, starts: list[int]) -> list[tuple[int, int, str, int, int]]:
-        """(first word, end word, label, edits, notice length) of verified notices."""
+        """(first word, end word, label, edits, notice length) of verified notices.
+
+        A short phrase counts where it is misspelt and no longer notice of its
+        label has been found.
+        """
         out = []
-        for i, spans in self.windows(joined).items():
+        for i, spans in sorted(self.windows(joined).items()):
             label, length, _, _ = self.notices[i]
             for start, end, edits in self.matches(i, joined, spans):
                 first = bisect_right(starts, start + (joined[start] == 32)) - 1
                 last = bisect_right(starts, end - 1) - 1
+                if i >= self.short and (not edits or any(x == label and a <= last and first < b for a, b, x, _, _ in out)):
+                    continue
                 out.append((first, last + 1, label, edits, length))
         return sorted(set(out))
 

@@ -72,6 +72,25 @@ def test_spans_and_edits():
     assert licenses.Scanner().scan(b"clean text about nothing of the kind")["labels"] == ""
 
 
+@pytest.mark.parametrize("text,label", [
+    ("Apache Licence, version 2", "apache"), ("under MIT licens.", "mit"), ("GNU Genral Public License v3", "gpl"),
+    ("GNU general publik licence", "gpl"), ("Creative Comons BY 4.0", "cc-by"), ("the apache  lisence;", "apache"),
+])
+def test_base_phrases_with_a_misspelling(text, label):
+    r = licenses.Scanner().scan(text.encode())
+    assert r["base_labels"] == "" and r["labels"] == label and 0.8 < r["score"] < 1
+
+
+@pytest.mark.parametrize("text", ["limit license", "submit licence fees", "apache server", "mit student", "gnu tools", "creative work by us", "kit license"])
+def test_other_phrases_make_no_label(text):
+    assert licenses.Scanner().scan(text.encode())["labels"] == ""
+
+
+def test_many_short_phrases_take_linear_time():
+    found = licenses.Scanner().scan(b"mit licence and apache licens " * 20_000)
+    assert found["spans"].count(",") + 1 == 40_000
+
+
 def test_a_near_notice_beside_a_better_one_is_found():
     scanner = licenses.Scanner()
     r = scanner.scan(b"released under the mut license released under the mit license releasd under the mit licence")
