@@ -428,8 +428,8 @@ def save_explanations(spark, sf):
         q("feature_value", 8).alias("feature_value"), F.col("label").alias("farmer_label"), "rank",
     )
     folder = shared_folder(spark)
-    sinks.append_log(table_rows, folder)
-    return spark.read.schema(table_rows.schema).parquet(folder)
+    sinks.append_log(table_rows, folder, "explanations")
+    return sinks.read_log(spark, folder, table_rows.schema)
 
 
 WIDTHS = [3, 7, 14, 30]

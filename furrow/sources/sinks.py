@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from furrow.operators.series import latest_per_key
+from furrow.session import has_files, release
 
 PRICE_KEY = ["crop", "state", "fetch_date"]
 WEATHER_KEY = ["district", "date"]
@@ -38,8 +39,29 @@ def replace_by_key(current: DataFrame, incoming: DataFrame, keys: list[str]) ->
     return untouched.unionByName(incoming)
 
 
-def append_log(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append_log(df: DataFrame, path: str, run: str) -> None:
+    """Append the rows of one run: written beside the log, then published as a whole.
+
+    A run that is repeated replaces its own rows; one that was killed half-way
+    has left nothing that ``read_log`` sees.
+    """
+    if not run or not all(c.isalnum() or c in "-_." for c in run):
+        raise ValueError("a run is named by letters, digits, - _ .")
+    spark = df.sparkSession
+    staged, place = f"{path}/_staged/{run}", f"{path}/run={run}"
+    df.write.mode("overwrite").parquet(staged)
+    release(spark, place)
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    if not of(path).getFileSystem(spark._jsc.hadoopConfiguration()).rename(of(staged), of(place)):
+        raise OSError(f"cannot publish {place}")
+
+
+def read_log(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows of all published runs, without the runs' names."""
+    names = [f.name for f in schema.fields]
+    if not has_files(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(path).select(*names)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

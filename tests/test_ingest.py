@@ -103,3 +103,22 @@ def test_fill_looks_back_three_days_per_metric(spark):
 def test_keep_max_id(spark):
     df = spark.createDataFrame([(1, "a"), (3, "a"), (2, "b")], "id int, k string")
     assert {r.id for r in joins.keep_max_id(df, ["k"]).collect()} == {2, 3}
+
+
+def test_log_takes_each_run_once(spark, tmp_path):
+    from furrow.sources import sinks
+
+    path = str(tmp_path / "log")
+    rows = lambda *ids: spark.createDataFrame([(i, "x") for i in ids], "id int, run_note string")
+    schema = rows().schema
+    assert sinks.read_log(spark, path, schema).count() == 0
+    sinks.append_log(rows(1, 2), path, "monday")
+    sinks.append_log(rows(3), path, "tuesday")
+    sinks.append_log(rows(1, 2), path, "monday")  # repeated
+    rows(9).write.parquet(f"{path}/_staged/wednesday")  # killed before it was published
+    ids = lambda: sorted(r.id for r in sinks.read_log(spark, path, schema).collect())
+    assert ids() == [1, 2, 3] and sinks.read_log(spark, path, schema).columns == ["id", "run_note"]
+    sinks.append_log(rows(4), path, "wednesday")
+    assert ids() == [1, 2, 3, 4]
+    with pytest.raises(ValueError):
+        sinks.append_log(rows(5), path, "../elsewhere")
