@@ -132,13 +132,14 @@ def improve_vs_baseline(spark, sf):
 Z = repr(z_score())
 
 
-@query("ensemble_interval", "predictions", sql=f"""
+@query("model_spread", "predictions", sql=f"""
     , d as (select crop, mandi, date, avg(predicted) as mean, stddev_pop(predicted) as std
       from predictions group by crop, mandi, date)
     select crop, mandi, date, {qs('mean')} as mean, {qs('std')} as std,
       {qs(f'mean - {Z}::double * std')} as lower_bound, {qs(f'mean + {Z}::double * std')} as upper_bound
     from d""")
-def ensemble_interval(spark, sf):
+def model_spread(spark, sf):
+    """Mean and interval of the three lag models of a day."""
     out = A.ensemble_interval(predictions(spark, sf), [*SERIES, "date"], "predicted")
     return rounded(out, ["mean", "std", "lower_bound", "upper_bound"])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from furrow import constants as K
-from furrow.catalog.aggregates import KS, TAIL90, SCORES
+from furrow.catalog.aggregates import KS, TAIL90, SCORES, Z
 from furrow.catalog.joins import ATTR, attributions
 from furrow.catalog.registry import newest, newest_ship, q, qs, query, rounded
 from furrow.catalog.scalars import duck_title, template_sql
@@ -90,6 +90,24 @@ def baseline_forecast(spark, sf):
     return rounded(out, BOUNDS, 3)
 
 
+@query("ensemble_interval", "daily_prices", sql=BASELINE + f"""
+    , cg as (select crop, mandi, i - 1 as nth, n - 1 as m, y - lag(y) over (partition by crop, mandi order by i) as c from s where n >= 14),
+    cm as (select crop, mandi, nth, m, c - avg(c) over (partition by crop, mandi) as c from cg where c is not null),
+    dw as (select fc.crop, fc.mandi, step, p, draw, m,
+        (('0x' || substr(md5(concat_ws('|', fc.crop, fc.mandi, draw::varchar, ((step - 1) // 7)::varchar)), 1, 7))::bigint % m + (step - 1) % 7) % m as nth
+      from fc join (select distinct crop, mandi, m from cm) using (crop, mandi), (select unnest(range(1, 51)) as draw)),
+    pa as (select dw.crop, dw.mandi, step, draw, p + sum(c) over (partition by dw.crop, dw.mandi, draw order by step) as value
+      from dw join cm on cm.crop = dw.crop and cm.mandi = dw.mandi and cm.nth = dw.nth),
+    en as (select crop, mandi, step, avg(value) as mean, stddev_pop(value) as std from pa group by crop, mandi, step)
+    select crop, mandi, cast(step as int) as step, {LAST_DAY} + cast(step as int) as date, {qs('mean', 3)} as mean, {qs('std', 3)} as std,
+      {qs(f'mean - {Z}::double * std', 3)} as lower_bound, {qs(f'mean + {Z}::double * std', 3)} as upper_bound from en""")
+def ensemble_interval(spark, sf):
+    """Mean and normal interval of 50 bootstrapped paths, every series and day ahead."""
+    draws = P.bootstrap_draws(prices(spark, sf), 30, newest_ship(spark, sf))
+    out = A.ensemble_interval(draws, [*SERIES, "step", "date"], "value")
+    return rounded(out, ["mean", "std", "lower_bound", "upper_bound"], 3)
+
+
 @query("horizon_mean", "daily_prices", sql=BASELINE + f"""
     select crop, mandi, {qs('avg(p)', 3)} as avg_predicted_price from fc group by crop, mandi""")
 def horizon_mean(spark, sf):

@@ -180,6 +180,39 @@ def baseline_forecast(
     return days.select(*SERIES, "step", "date", *[v.alias(c) for v, c in zip(values, names)])
 
 
+def hashed_draw(*parts: Column | str, below: Column) -> Column:
+    """A whole number from 0 to ``below`` - 1, drawn by hashing a counter.
+
+    The draw depends on its parts alone, so it is the same on every engine, in
+    any order and on every retry.
+    """
+    digest = F.md5(F.concat_ws("|", *[F.col(p) if isinstance(p, str) else p.cast("string") for p in parts]))
+    return F.conv(F.substring(digest, 1, 7), 16, 10).cast("bigint") % below
+
+
+def bootstrap_draws(
+    prices: DataFrame, horizon: int = 30, as_of=None, draws: int = 50, block: int = 7
+) -> DataFrame:
+    """(series, step, date, draw, value): ``draws`` paths around the forecast.
+
+    A path adds up day-to-day changes of the series' tail, less their mean, drawn
+    in blocks of ``block`` consecutive days, so that a week's pattern stays
+    together. Series under 14 known prices have no paths.
+    """
+    y, n = F.col("y"), F.col("n")
+    steps = F.zip_with(F.slice(y, 2, n - 1), F.slice(y, 1, n - 1), lambda b, a: b - a)
+    changes = tails(prices).filter(n >= MIN_POINTS).select(*SERIES, (n - 1).alias("_m"), steps.alias("_steps"))
+    changes = changes.withColumn("_mean", A.total(F.col("_steps")) / F.col("_m"))
+    base = baseline_forecast(prices, horizon, as_of, digits=None).select(*SERIES, "step", "date", "predicted_price")
+    rows = base.join(changes, SERIES).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    place = F.col("step") - 1
+    start = hashed_draw(*SERIES, F.col("draw"), F.floor(place / block), below=F.col("_m"))
+    change = F.col("_steps")[((start + place % block) % F.col("_m")).cast("int")] - F.col("_mean")
+    path = Window.partitionBy(*SERIES, "draw").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    slim = rows.select(*SERIES, "step", "date", "draw", "predicted_price", change.alias("_change"))
+    return slim.select(*SERIES, "step", "date", "draw", (F.col("predicted_price") + F.sum("_change").over(path)).alias("value"))
+
+
 def next_prices(prices: DataFrame) -> DataFrame:
     """Newest known price and the next day's forecast, one row per series."""
     fitted = fit_tails(tails(prices)).withColumn("_last", F.coalesce("_last", F.lit(K.DEFAULT_PRICE)))

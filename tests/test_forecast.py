@@ -127,3 +127,31 @@ def test_backtest_failure_marks_and_extra_model(spark, prices):
     assert rows["n100", 30, "naive"].rmse == pytest.approx(np.sqrt(np.mean((y[70:] - y[69:99]) ** 2)))
     point, _ = expected(y[:70], 30)
     assert rows["n100", 30, "trend-season"].rmse == pytest.approx(np.sqrt(np.mean((y[70:] - point) ** 2)))
+
+
+def test_bootstrap_paths_by_loops(spark):
+    import hashlib
+
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from furrow.plans import forecast as P
+
+    start = dt.date(2024, 1, 1)
+    y = [100.0 + i * 0.5 + (i * 7 % 5) for i in range(40)]
+    rows = [("c", "m", start + dt.timedelta(days=i), v) for i, v in enumerate(y)] + [("c", "few", start + dt.timedelta(days=i), 1.0) for i in range(9)]
+    prices = spark.createDataFrame(rows, "crop string, mandi string, date date, modal_price double")
+    as_of = F.lit(start + dt.timedelta(days=39))
+    got = {(r.step, r.draw): r.value for r in P.bootstrap_draws(prices, 10, as_of, draws=4, block=3).collect()}
+    base = {r.step: r.predicted_price for r in P.baseline_forecast(prices, 10, as_of, digits=None).filter("mandi = 'm'").collect()}
+    changes = [b - a for a, b in zip(y, y[1:])]
+    mean = sum(changes) / len(changes)
+    assert len(got) == 40
+    for draw in range(1, 5):
+        total = 0.0
+        for step in range(1, 11):
+            block, inside = divmod(step - 1, 3)
+            drawn = int(hashlib.md5(f"c|m|{draw}|{block}".encode()).hexdigest()[:7], 16) % len(changes)
+            total += changes[(drawn + inside) % len(changes)] - mean
+            assert abs(got[step, draw] - base[step] - total) < 1e-9
