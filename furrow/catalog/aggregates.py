@@ -383,11 +383,28 @@ def champion_challenger(spark, sf):
     from f left join g on f.crop = g.crop and f.outcome = g.outcome
     left join t on f.outcome = t.outcome""")
 def run_summary(spark, sf):
+    return A.run_summary(judged(spark, sf))
+
+
+def judged(spark, sf):
     gain = F.try_divide(F.col("rmse_before") - F.col("rmse_after"), F.col("rmse_before"))
-    runs = table(spark, sf, "runs").withColumn(
+    return table(spark, sf, "runs").withColumn(
         "model_promoted", F.coalesce(gain > K.PROMOTION_MARGIN, F.lit(True))
     )
-    return A.run_summary(runs)
+
+
+@query("run_names", "runs", sql="""
+    , o as (select distinct concat(crop, ' @ ', mandi) as name, case when status = 'failed' then 'failed'
+        when coalesce((rmse_before - rmse_after) / rmse_before > 0.02::double, true) then 'promoted'
+        else 'skipped' end as outcome from runs),
+    t as (select outcome, count(*) as total from o group by outcome),
+    p as (select o.*, total, ('0x' || substr(md5(name), 1, 7))::bigint % ((total + 4) // 5) as part from o join t using (outcome)),
+    l as (select outcome, part, total, array_to_string(list(name order by name), ', ') as names from p group by all)
+    select x.outcome, coalesce(part, 0) as part, coalesce(total, 0) as total, coalesce(names, 'None') as names
+    from (select unnest(['promoted', 'skipped', 'failed']) as outcome) x left join l on l.outcome = x.outcome""")
+def run_names(spark, sf):
+    """Promoted, skipped and failed names of the whole run, about five a row."""
+    return A.run_names(judged(spark, sf), 5)
 
 
 @query("metric_counter", "ops_events", sql="""

@@ -126,12 +126,24 @@ TRIAL_DOC = """
       ',"status":"COMPLETED"}')"""
 
 
-@query("scan_trials", sql="""
+TRIALS = """
     select cast(p_partkey as varchar) as trial_id, cast(64 * (1 + p_partkey % 3) as int) as lstm_units,
       cast(1 + p_partkey % 3 as double) / 10 as dropout, cast(0.001 as double) as learning_rate,
       cast(30 * (1 + p_size % 3) as int) as sequence_length, cast(16 as int) as batch_size,
       cast(p_retailprice as double) as score, 'COMPLETED' as status
-    from part""")
+    from part"""
+
+
+@query("scan_trial_files", sql=TRIALS)
+def scan_trial_files(spark, sf):
+    """One document a file, as a tuner leaves them."""
+    folder = shared_folder(spark)
+    docs = load(spark, sf, "part").select(F.expr(TRIAL_DOC).alias("value"))
+    docs.write.option("maxRecordsPerFile", 1).text(folder)
+    return scans.scan_trials(spark, folder)
+
+
+@query("scan_trials", sql=TRIALS)
 def scan_trials(spark, sf):
     folder = shared_folder(spark)
     docs = load(spark, sf, "part").select(F.expr(TRIAL_DOC).alias("value"))

@@ -256,6 +256,26 @@ def run_status(runs: DataFrame) -> DataFrame:
     )
 
 
+def run_names(runs: DataFrame, size: int = 100) -> DataFrame:
+    """Names of a whole run by outcome: (outcome, part, total, names).
+
+    A row lists about ``size`` of an outcome's distinct "crop @ market" names in
+    order, dealt by a hash of the name, so that no row gathers a run's names; an
+    outcome without names reads 'None'.
+    """
+    name = F.concat_ws(" @ ", "crop", "mandi")
+    done = run_status(runs).select("outcome", name.alias("name")).distinct()
+    totals = done.groupBy("outcome").agg(F.count(F.lit(1)).alias("total"))
+    dealt = done.join(totals, "outcome").withColumn("parts", F.ceil(F.col("total") / size).cast("bigint"))
+    dealt = dealt.withColumn("part", F.conv(F.substring(F.md5("name"), 1, 7), 16, 10).cast("bigint") % F.col("parts"))
+    listed = dealt.groupBy("outcome", "part", "total").agg(F.sort_array(F.collect_list("name")).alias("_n"))
+    every = runs.sparkSession.createDataFrame([(o,) for o in ("promoted", "skipped", "failed")], "outcome string")
+    return every.join(listed, "outcome", "left").select(
+        "outcome", F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("total", F.lit(0)).alias("total"),
+        F.coalesce(F.array_join("_n", ", "), F.lit("None")).alias("names"),
+    )
+
+
 def run_summary(runs: DataFrame) -> DataFrame:
     """Counts and ordered market names per crop and outcome, with the total of
     the outcome; a missing outcome reads 'None'.
