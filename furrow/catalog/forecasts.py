@@ -282,15 +282,6 @@ def backtest(spark, sf):
     return rounded(B.backtest(prices(spark, sf), K.HORIZONS), SCORES, 3)
 
 
-@query("backtest_models")
-def backtest_models(spark, sf):
-    """The back-test with the learned regression beside the other two models
-    (no SQL twin: the fit has none)."""
-    daily = materialise(prices(spark, sf))
-    learned = learn.holdout_forecasts(learn.stored_features(daily, announcements_of(daily)), daily, K.HORIZONS)
-    return B.backtest(daily, K.HORIZONS, {"regression": learned})
-
-
 @query("pivot_model_horizon", "daily_prices", sql=BACKTEST + " select model_name, " + ", ".join(
     f"{qs(f'avg(case when horizon = {h} then rmse end)', 3)} as h{h}" for h in K.HORIZONS
 ) + " from ev group by model_name")
@@ -364,6 +355,50 @@ def learned_sql(fit: str = "true", score: str = "true") -> str:
       from dr group by crop, mandi, horizon)"""
 
 
+def learned_bands_sql() -> str:
+    """CTE ``lp``: the regressions' forecasts of every test day, one fit a horizon."""
+    full = features_sql(lambda value, digits=0: f"({value})")
+    head, _, tail = full.rpartition("select * from f where")
+    leads = ", ".join(f"lead(modal_price, {h}) over w as y{h}, lead(date, {h}) over w as d{h}" for h in K.HORIZONS)
+    pick = lambda c: "case horizon " + " ".join(f"when {h} then {c}{h}" for h in K.HORIZONS) + " end"
+    return f"""
+    , fst as (select crop, mandi, horizon, date as first_day from hh where pos = n_train),
+    lp as (with one as (select 1) {head.rstrip()}
+      , tg as (select crop, mandi, [{', '.join(f'{n}::double' for n in K.FEATURE_NAMES)}] as x, {leads} from f where {tail}
+          window w as (partition by crop, mandi order by date)),
+      ex as (select crop, mandi, x, horizon, {pick('y')} as y1, {pick('d')} as target, first_day
+        from tg join fst using (crop, mandi) where {pick('y')} is not null),
+      tr as (select horizon as cfg, x, [y1] as y from ex where target < first_day){ridge_sql('tr', 1)},
+      rm as (select cfg, sqrt(avg(pow(y[1] - list_inner_product(x, w[1]) - b[1], 2))) as spread from tr join lm using (cfg) group by cfg)
+      select crop, mandi, horizon, target as date, list_inner_product(x, w[1]) + b[1] as predicted, 1.96::double * spread as width
+      from ex join lm on lm.cfg = horizon join rm on rm.cfg = horizon where target >= first_day)"""
+
+
+@query("backtest_models", "daily_prices", "announcements", sql=BACKTEST + learned_bands_sql() + f"""
+    , lr as (select act.crop, act.mandi, act.horizon, act.date, case when predicted is not null then actual end as actual,
+        predicted, predicted - width as lower_bound, predicted + width as upper_bound
+      from act left join lp on lp.crop = act.crop and lp.mandi = act.mandi and lp.horizon = act.horizon and lp.date = act.date),
+    ld as (select *, sign(actual - lag(actual) over w) as da, sign(predicted - lag(predicted) over w) as dp from lr
+      window w as (partition by crop, mandi, horizon order by date)),
+    le as (select crop, mandi, horizon, 'regression' as model_name,
+        sqrt(avg((actual - predicted) * (actual - predicted))) as rmse, avg(abs(actual - predicted)) as mae,
+        coalesce(avg(case when actual <> 0 then abs((actual - predicted) / actual) end) * 100, 0) as mape,
+        coalesce(avg(case when da is not null then case when da = dp then 1.0 else 0.0 end end) * 100, 50) as directional_accuracy,
+        avg(case when actual between lower_bound and upper_bound then 1.0 else 0.0 end) * 100 as pi_coverage_95
+      from ld group by crop, mandi, horizon),
+    al as (select * from ev union all select crop, mandi, horizon, model_name, coalesce(rmse, 999), coalesce(mae, 999),
+        case when rmse is null then 999 else mape end, case when rmse is null then 0 else directional_accuracy end,
+        case when rmse is null then 0 else pi_coverage_95 end from le)
+    select al.crop, al.mandi, al.horizon, model_name,
+      {', '.join(f'{qs(c, 3)} as {c}' for c in SCORES)}, n_train_samples, n_test_samples
+    from al join sz on al.crop = sz.crop and al.mandi = sz.mandi and al.horizon = sz.horizon""")
+def backtest_models(spark, sf):
+    """The back-test with the learned regression beside the other two models."""
+    daily = materialise(prices(spark, sf))
+    learned = learn.holdout_forecasts(learn.stored_features(daily, announcements_of(daily)), daily, K.HORIZONS)
+    return rounded(B.backtest(daily, K.HORIZONS, {"regression": learned}), SCORES, 3)
+
+
 SCORED = ", ".join(f"{qs(c, 3)} as {c}" for c in SCORES)
 RICH, OTHER = ["STANDARD", "MEDIUM", "LARGE"], ["PROMO", "SMALL", "ECONOMY"]
 
