@@ -1,7 +1,9 @@
 """SimHash document fingerprints, and search within a Hamming radius.
 
 Terms are word pairs. Each is hashed to ``BITS`` bits and votes on every bit
-with weight 1 + log(count); the sign of the sum is the fingerprint's bit.
+with weight 1 + log(count); the sign of the sum is the fingerprint's bit. Where
+words say little, in texts of few words and within very long words, runs of bytes
+are terms of lower weight beside them.
 
 ``within`` finds all fingerprints within a radius by permuted block tables: the
 bits are cut into radius + 1 blocks, two fingerprints within the radius agree in
@@ -21,6 +23,10 @@ from furrow.llm.common import bounded, checkpoint, texts
 
 BITS = 128
 SEED = 20
+#: Bytes of a run, its weight beside a word pair's, the number of words from which
+#: a text needs none, the length from which a word has its own, and the bytes
+#: under which runs say no more than the words do.
+RUN, RUN_WEIGHT, FEW_WORDS, LONG_WORD, LEAST_BYTES = 4, 0.5, 128, 32, 16
 #: Code points of a text by which rows of one id fall into ranges.
 BORDER_CHARS = 12
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -32,6 +38,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _byte_runs(words: list[bytes], distinct) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(code, weight) of the byte runs of a text: all of them in a text of few
+    words, fading out towards ``FEW_WORDS``, and those within long words."""
+    parts = [(b" ".join(words), RUN_WEIGHT * (1 - len(words) / FEW_WORDS))] if len(words) < FEW_WORDS else []
+    if max(map(len, distinct)) >= LONG_WORD:
+        parts.append((b" ".join(w for w in words if len(w) >= LONG_WORD), RUN_WEIGHT))
+    out = []
+    for raw, weight in parts:
+        data = np.frombuffer(raw, np.uint8).astype(np.uint64)
+        if len(data) >= LEAST_BYTES:
+            runs = sum(data[k : len(data) - RUN + 1 + k] << np.uint64(8 * k) for k in range(RUN))
+            codes, counts = np.unique(runs, return_counts=True)
+            out.append((codes, weight * (1 + np.log(counts))))
+    return out
+
+
 def fingerprint(text: str) -> bytes:
     """``BITS`` / 8 bytes; all zero for a text without words."""
     from xxhash import xxh64_intdigest
@@ -47,10 +69,11 @@ def fingerprint(text: str) -> bytes:
         first, second = hashes[pair // len(number)], hashes[pair % len(number)]
     else:
         first, second, counts = hashes, hashes, np.ones(1)
+    runs = _byte_runs(words, number)
     with np.errstate(over="ignore"):
-        term = _mix(first * _MIX[0] + second)
+        term = np.concatenate([_mix(first * _MIX[0] + second), *(_mix(codes * _MIX[0]) for codes, _ in runs)])
         halves = [_mix(term + np.uint64(k) * _MIX[0]) for k in range(BITS // 64)]
-    weights = (1 + np.log(counts)).astype(np.float32)
+    weights = np.concatenate([1 + np.log(counts), *(w for _, w in runs)]).astype(np.float32)
     votes = np.zeros(BITS, np.float64)
     for at in range(0, len(term), 1 << 15):
         part = np.stack([h[at : at + (1 << 15)] for h in halves], axis=1)
@@ -73,7 +96,12 @@ def edited(text: str, following: str) -> str:
 
 
 def prints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint as hex) of every whole text."""
+    """(doc_id, fingerprint as hex) of every whole text.
+
+    Null and empty texts, and those without words, have the fingerprint zero.
+    Null ids and repeated rows come back as they are; an empty table gives no
+    rows; other columns are ignored.
+    """
 
     def run(batches):
         for batch in bounded(batches):

@@ -74,3 +74,19 @@ def test_within_finds_every_pair(spark):
     found = {(r["query"], r["found"], r["bits"]) for r in fingerprints.within(stored, stored, 4).collect()}
     distinct = set(prints)
     assert found == {(f"{a:032x}", f"{b:032x}", (a ^ b).bit_count()) for a in distinct for b in distinct if (a ^ b).bit_count() <= 4}
+
+
+def test_texts_without_blanks_and_short_texts():
+    import random
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(n))
+    near = lambda a, b: fingerprints.likeness(fingerprints.fingerprint(a), fingerprints.fingerprint(b))
+    for make in (lambda: word(600), lambda: " ".join(word(6) for _ in range(8)), lambda: "漢字仮名交文章" + word(3) + word(200)):
+        pairs = [(make(), make()) for _ in range(40)]
+        won = sum(near(a, fingerprints.edited(a, b)) > near(a, b) for a, b in pairs)
+        assert won >= 36
+    assert fingerprints.fingerprint("ab") == fingerprints.fingerprint(" AB ") != fingerprints.fingerprint("ac")
+    # the weight of byte runs fades out: no jump from one word more
+    words = [word(7) for _ in range(129)]
+    assert near(" ".join(words[:127]), " ".join(words[:128])) > 0.9
