@@ -295,6 +295,17 @@ def template_sql(lang: str, templates: dict[str, str]) -> str:
     return f"case {lang} " + " ".join(f"when '{x}' then '{t}'" for x, t in templates.items()) + " end"
 
 
+@query("language_reply", "messages", sql=COMMANDS + f"""
+    select conv_id, turn, lang, replace({template_sql('lang', K.LANG_SWITCH_TEMPLATE)}, '{{lang}}', {duck_title('lang')}) as reply
+    from cmd where command = 'language'""")
+def language_reply(spark, sf):
+    """Reply to a switch of language, in the new one."""
+    said = table(spark, sf, "messages").select("conv_id", "turn", text.classify(F.col("body")).alias("c"))
+    lang = F.col("c.lang")
+    reply = text.render(text.template_for(lang, K.LANG_SWITCH_TEMPLATE), {"lang": text.title_case(lang)})
+    return said.filter("c.command = 'language'").select("conv_id", "turn", lang.alias("lang"), reply.alias("reply"))
+
+
 @query("render_template", "messages", sql=COMMANDS + f"""
     select conv_id, turn, replace(replace({template_sql('langs[conv_id % 5 + 1]', K.SUBSCRIBED_TEMPLATE)},
       '{{crop}}', {duck_title('crop')}), '{{mandi}}', {duck_title('mandi')}) as reply

@@ -3,7 +3,6 @@ import random
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from furrow.llm import repeats
