@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from furrow.session import open_store  # noqa: F401
+
 SLICE_BYTES = 4 << 20
 
 
@@ -97,13 +99,3 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def open_store(uri: str):
-    """(file system, path) of a folder of the shared store, for files that tasks write themselves."""
-    from pyarrow import fs
-
-    for scheme in ("s3a://", "s3n://"):  # the names that Hadoop has for it
-        if uri.startswith(scheme):
-            uri = "s3://" + uri[len(scheme) :]
-    return fs.FileSystem.from_uri(uri)

@@ -107,9 +107,12 @@ def scan_subscriptions(subscriptions: DataFrame) -> DataFrame:
 def scan_trials(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
     """Tuning trials: hyperparameters and score of each JSON document.
 
-    ``whole_files`` reads one document per file; otherwise one per line.
+    ``whole_files`` reads one document per file; otherwise one per line. Spark
+    gives a task 32 small files at most; a few tasks a core take them all.
     """
     docs = spark.read.schema(schemas.TRIAL).option("multiLine", whole_files).json(path)
+    if whole_files:
+        docs = docs.coalesce(4 * spark.sparkContext.defaultParallelism)
     return docs.select("trial_id", "hyperparameters.values.*", "score", "status")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from furrow.operators.series import latest_per_key
-from furrow.session import has_files, release
+from furrow.session import has_files, open_store, release
 
 PRICE_KEY = ["crop", "state", "fetch_date"]
 WEATHER_KEY = ["district", "date"]
@@ -72,6 +73,30 @@ def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
+def write_documents(docs: DataFrame, path: str) -> None:
+    """One text file of each row of the one column, ending in a line feed.
+
+    Tasks write the files themselves: with Spark's writer each file costs a commit
+    on the driver and, on a local disk, several processes that set permissions. A
+    task that is repeated has the same rows in the same order, so it writes its
+    own files again.
+    """
+    column = docs.columns[0]
+    store, base = open_store(path)
+    store.create_dir(base, recursive=True)
+
+    def put(rows) -> None:
+        store, base = open_store(path)
+        store.create_dir(base, recursive=True)
+        part = TaskContext.get().partitionId()
+        for i, (text,) in enumerate(rows):
+            with store.open_output_stream(f"{base}/part-{part:06d}-{i:09d}.txt") as out:
+                out.write(((text or "") + "\n").encode())
+
+    tasks = docs.sparkSession.sparkContext.defaultParallelism
+    docs.repartition(tasks).sortWithinPartitions(column).foreachPartition(put)
+
+
 def current_rows(table: DataFrame, partition: str) -> DataFrame:
     """Newest version of every partition value of a versioned table.
 

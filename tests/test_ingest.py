@@ -122,3 +122,24 @@ def test_log_takes_each_run_once(spark, tmp_path):
     assert ids() == [1, 2, 3, 4]
     with pytest.raises(ValueError):
         sinks.append_log(rows(5), path, "../elsewhere")
+
+
+def test_documents_are_written_one_a_file_by_the_tasks(spark, tmp_path):
+    texts = ["b", "a", "a", None, "é\nü"] + [f"t{i}" for i in range(95)]
+    folder = str(tmp_path / "docs")
+    sinks.write_documents(spark.createDataFrame([(t,) for t in texts], "value string"), folder)
+    names = sorted(p.name for p in (tmp_path / "docs").iterdir())
+    assert len(names) == 100 and len({n[:11] for n in names}) > 1  # several tasks, nothing beside the documents
+    assert sorted((tmp_path / "docs" / n).read_bytes() for n in names) == sorted(((t or "") + "\n").encode() for t in texts)
+    empty = str(tmp_path / "empty")
+    sinks.write_documents(spark.createDataFrame([], "value string"), empty)
+    assert scans.scan_trials(spark, empty).count() == 0
+
+
+def test_many_small_trial_files_are_read_by_few_tasks(spark, tmp_path):
+    doc = '{"trial_id":"%d","hyperparameters":{"values":{"lstm_units":64,"batch_size":16}},\n"score":0.5,"status":"COMPLETED"}'
+    for i in range(700):
+        (tmp_path / f"{i}.txt").write_text(doc % i)
+    trials = scans.scan_trials(spark, str(tmp_path))
+    assert trials.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted(int(r.trial_id) for r in trials.where("score = 0.5 and lstm_units = 64").collect()) == list(range(700))
