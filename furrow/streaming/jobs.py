@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 from furrow import constants as K
 from furrow.functions import numbers, text
 from furrow.operators.series import SERIES, latest_per_key
-from furrow.session import has_files
+from furrow.session import has_files, materialise
 from furrow.sources import feed, sinks
 from furrow.streaming.state import POLLED, PollState, SessionState, WindowState, latest_of_polls
 
@@ -213,6 +213,28 @@ def with_advice(changes: DataFrame, reports: DataFrame) -> DataFrame:
 
 # --- alerts ---------------------------------------------------------------------
 
+#: Subscriptions of a market that lie together by threshold; a poll meets or misses them as one.
+BLOCK = 256
+
+
+def threshold_blocks(subscriptions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Active subscriptions in short runs by threshold, and the bounds of each run.
+
+    Threshold 0 (a daily alert) comes first. Of a subscription that comes twice
+    for a market the threshold that triggers first counts.
+    """
+    active = subscriptions.filter("is_active and threshold_price is not null").select(
+        F.col("id").alias("subscription_id"), *SERIES, "threshold_price"
+    )
+    order = [F.col("threshold_price") != 0.0, F.col("threshold_price")]
+    one = active.groupBy("subscription_id", *SERIES).agg(F.min_by("threshold_price", F.struct(*order)).alias("threshold_price"))
+    held = materialise(one.orderBy(*SERIES, *order, "subscription_id").withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK)))
+    bounds = held.groupBy(*SERIES, "block").agg(
+        F.max(F.col("threshold_price") == 0.0).alias("daily"), F.min("threshold_price").alias("lowest")
+    )
+    return held, materialise(bounds)
+
+
 def stream_alerts(prices: DataFrame, subscriptions: DataFrame, poll: str = "60 seconds") -> Job:
     """Incoming prices that trigger a subscription.
 
@@ -220,21 +242,32 @@ def stream_alerts(prices: DataFrame, subscriptions: DataFrame, poll: str = "60 s
     busy minute alerts a subscriber once. ``send`` says that the alert is to go
     out now: a poll that was due already, and a replayed batch, send nothing
     again. A poll that a late row has made not due is given with ``due`` false.
+
+    A poll meets only the blocks of subscriptions that hold one it triggers or
+    has triggered, so the work goes with the alerts, not with polls times
+    subscriptions; polls and blocks are dealt over all tasks, not by market.
     """
-    active = subscriptions.filter("is_active").select(
-        F.col("id").alias("subscription_id"), *SERIES, "threshold_price"
-    )
+    spark = prices.sparkSession
+    subs, bounds = threshold_blocks(subscriptions)
     trigger = lambda price: F.coalesce(numbers.alert_trigger(F.col("threshold_price"), F.col(price), F.lit(None).cast("double")), F.lit(False))
 
     def emit(batch: DataFrame) -> DataFrame:
-        met = batch.join(active, SERIES).withColumns({"due": trigger("price"), "was_due": F.col("was").isNotNull() & trigger("was")})
+        reached = batch.join(bounds, SERIES).where(F.col("daily") | (F.greatest("price", "was") > F.col("lowest"))).drop("daily", "lowest")
+        dealt = reached.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *SERIES, "poll", "block")
+        met = dealt.join(subs, [*SERIES, "block"]).withColumns({"due": trigger("price"), "was_due": F.col("was").isNotNull() & trigger("was")})
         return met.where("due or was_due").select(
             "subscription_id", *SERIES, "poll", "ts", "price", F.nullif("id", F.lit(NO_ID)).alias("id"), "threshold_price",
-            "due", (F.col("due") & ~F.col("was_due")).alias("send"), "revision",
+            "due", (F.col("due") & ~F.col("was_due")).alias("send"), "revision", F.col("was").isNotNull().alias("revised"),
         )
 
     def merge(log: DataFrame) -> DataFrame:
-        return _newest(log, ["subscription_id", *SERIES, "poll"]).where("due").drop("due", "send", "revision", "batch")
+        # only polls that were given again have more than one row for a subscription
+        polls = [*SERIES, "poll"]
+        again = materialise(log.where(F.coalesce("revised", F.lit(True))).select(*polls).distinct())
+        if not again.isEmpty():
+            newest = _newest(log.join(again, polls, "left_semi"), ["subscription_id", *polls])
+            log = log.join(again, polls, "left_anti").unionByName(newest).select(log.columns)
+        return log.where("due").drop("due", "send", "revision", "revised", "batch")
 
     return Job(polled(prices, poll), emit, merge)
 

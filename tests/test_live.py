@@ -112,6 +112,38 @@ def test_no_alert_goes_out_twice_and_none_is_lost(spark, tmp_path):
     assert "send" not in answer.columns and "revision" not in answer.columns
 
 
+def test_alerts_of_many_subscriptions_in_any_batches(spark, tmp_path):
+    rng = random.Random(3)
+    subs = [(i, rng.choice("wr"), rng.choice("mnx"), rng.choice([0.0, -1.0, None, 0.5, 1.0, 3.0, 3.5, 9.0, float("nan")]), rng.random() < 0.8) for i in range(3000)]
+    subs += subs[:100] + [(1, "w", "m", 0.0, True), (1, "w", "m", 9.0, True)]  # some come twice
+    table = spark.createDataFrame(subs, "id int, crop string, mandi string, threshold_price double, is_active boolean")
+    rows = random_prices(5, 200) + [(900, "r", "n", T0, float("-inf")), (901, "w", "m", T0, float("inf"))]
+    latest = {}
+    for i, crop, mandi, ts, price in rows:
+        if price is not None:
+            at = (crop, mandi, ts.replace(second=0))
+            latest[at] = max(latest.get(at, (T0, float("-inf"), -1)), (ts, price, i))
+    want = sorted({(s, i, price) for (crop, mandi, _), (_, price, i) in latest.items() for s, c, m, t, on in subs if on and t is not None and (c, m) == (crop, mandi) and (t == 0 or price > t)})
+    random.Random(4).shuffle(rows)
+    for name, parts in (("one", [rows]), ("many", [rows[:120], rows[120:121], rows[121:]])):
+        land = Landing(spark, tmp_path / name, PRICES)
+        for part in parts:
+            land.add(part)
+        alerts = jobs.stream_alerts(land.stream(), table)
+        answer = jobs.run_available(alerts, str(tmp_path / f"{name}-run"))
+        assert sorted((r.subscription_id, r.id, r.price) for r in answer.collect()) == want
+        plan = answer._jdf.queryExecution().executedPlan().toString()
+        assert ("Window" in plan) == (name == "many")  # nothing was given again: no alert is shuffled
+
+
+def test_a_poll_meets_only_the_subscriptions_it_may_trigger(spark, tmp_path):
+    subs = spark.range(20_000).selectExpr("id", "'w' as crop", "'m' as mandi", "cast(id as double) as threshold_price", "true as is_active")
+    held, bounds = jobs.threshold_blocks(subs.unionByName(subs))
+    assert held.count() == 20_000 and held.groupBy("block").count().agg(F.max("count")).first()[0] <= jobs.BLOCK
+    reached = bounds.where("daily or lowest < 300").select("block")
+    assert held.join(reached, "block").count() <= 300 + 3 * jobs.BLOCK
+
+
 def test_a_gone_sender_leaves_the_state(spark, tmp_path):
     land, folder = Landing(spark, tmp_path / "in", "sender string, seq int, body string"), str(tmp_path / "run")
     days = 8 / 86_400  # eight seconds
