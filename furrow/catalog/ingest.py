@@ -139,7 +139,7 @@ def scan_trial_files(spark, sf):
     """One document a file, as a tuner leaves them."""
     folder = shared_folder(spark)
     docs = load(spark, sf, "part").select(F.expr(TRIAL_DOC).alias("value"))
-    sinks.write_documents(docs, folder)
+    sinks.write_documents(docs, folder, per_folder=10_000)
     return scans.scan_trials(spark, folder)
 
 

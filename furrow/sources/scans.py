@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from furrow import constants as K, schemas
 from furrow.functions import dates, numbers, text
 from furrow.operators.series import as_of_column
+from furrow.sources import sinks
 
 PRICE_FIELDS = ["modal_price", "min_price", "max_price"]
 
@@ -104,15 +107,31 @@ def scan_subscriptions(subscriptions: DataFrame) -> DataFrame:
     return subscriptions.filter(F.col("is_active"))
 
 
+def json_text(raw: bytes) -> str:
+    """A JSON document in the encoding it begins in; where its bytes are none of
+    it stands a character that no document may hold."""
+    encoding = json.detect_encoding(raw)
+    try:
+        return raw.decode(encoding)
+    except UnicodeDecodeError:
+        return raw.decode(encoding, "replace").replace("\ufffd", "\0")
+
+
 def scan_trials(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
     """Tuning trials: hyperparameters and score of each JSON document.
 
-    ``whole_files`` reads one document per file; otherwise one per line. Spark
-    gives a task 32 small files at most; a few tasks a core take them all.
+    ``whole_files`` reads one document per file; otherwise one per line. Files are
+    listed and read by a few tasks a core; where only Spark reaches the store, it
+    lists them on the driver and gives a task 32 small ones at most.
     """
-    docs = spark.read.schema(schemas.TRIAL).option("multiLine", whole_files).json(path)
-    if whole_files:
-        docs = docs.coalesce(4 * spark.sparkContext.defaultParallelism)
+    reader = spark.read.schema(schemas.TRIAL).option("multiLine", whole_files)
+    files = sinks.read_documents(spark, path) if whole_files else None
+    if files is not None:
+        docs = reader.json(files.map(json_text))
+    else:
+        docs = reader.json(path)
+        if whole_files:
+            docs = docs.coalesce(4 * spark.sparkContext.defaultParallelism)
     return docs.select("trial_id", "hyperparameters.values.*", "score", "status")
 
 

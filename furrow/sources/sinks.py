@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import TaskContext
+import functools
+import zlib
+from collections.abc import Iterator
+
+from pyspark import RDD, TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from furrow.operators.series import latest_per_key
@@ -73,12 +77,13 @@ def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def write_documents(docs: DataFrame, path: str) -> None:
+def write_documents(docs: DataFrame, path: str, per_folder: int | None = None) -> None:
     """One text file of each row of the one column, ending in a line feed.
 
     Tasks write the files themselves: Spark's writer took 19 ms a file on a local
     disk. A task that is repeated has the same rows in the same order, so it writes
-    its own files again.
+    its own files again. With ``per_folder`` the files lie in folders ``part=`` of
+    at most so many: listed one by one, no folder grows with the table.
     """
     column = docs.columns[0]
     store, base = open_store(path)
@@ -87,15 +92,95 @@ def write_documents(docs: DataFrame, path: str) -> None:
     def put(rows) -> None:
         store, base = open_store(path)
         store.create_dir(base, recursive=True)
-        part = TaskContext.get().partitionId()
+        part, folder = TaskContext.get().partitionId(), base
         for i, (text,) in enumerate(rows):
-            with store.open_output_stream(f"{base}/part-{part:06d}-{i:09d}.txt") as out:
+            if per_folder and i % per_folder == 0:
+                folder = f"{base}/part={part:06d}-{i // per_folder:06d}"
+                store.create_dir(folder)
+            with store.open_output_stream(f"{folder}/part-{part:06d}-{i:09d}.txt") as out:
                 out.write(((text or "") + "\n").encode())
 
     tasks = docs.sparkSession.sparkContext.defaultParallelism
     docs.repartition(tasks).sortWithinPartitions(column).foreachPartition(put)
 
 
+def _hidden(name: str) -> bool:
+    """Whether Spark's readers pass over a name."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+def _listed(store, folder: str) -> list[tuple[str, bool]]:
+    """(path, whether a folder) of what is not hidden in a folder."""
+    from pyarrow.fs import FileSelector, FileType
+
+    return sorted(
+        (x.path, x.type == FileType.Directory)
+        for x in store.get_file_info(FileSelector(folder))
+        if not _hidden(x.base_name)
+    )
+
+
+def _below(store, folder: str, counts: bool = False) -> Iterator[str]:
+    """The files of a folder in the one that is read: as with Spark's readers
+    those that have a key=value on their way."""
+    counts = counts or "=" in folder.rsplit("/", 1)[-1]
+    for path, is_folder in _listed(store, folder):
+        if is_folder:
+            yield from _below(store, path, counts)
+        elif counts:
+            yield path
+
+
+def _content(store, path: str) -> bytes:
+    """The bytes of a file, uncompressed as its name says."""
+    end = path[path.rfind(".") :].lower()
+    if end in (".lz4", ".snappy"):  # Hadoop frames them in its own way
+        raise ValueError(f"{path}: files of this kind are not read")
+    with store.open_input_stream(path, compression={".gz": "gzip", ".bz2": "bz2", ".zst": "zstd"}.get(end)) as file:
+        return zlib.decompress(file.read()) if end == ".deflate" else file.read()
+
+
+def read_documents(spark: SparkSession, path: str) -> RDD[bytes] | None:
+    """The bytes of each file in a folder, or of the files that a pattern names.
+
+    Tasks list the folders and read the files: the driver, which holds an entry a
+    file with Spark's readers, sees none. None if there is nothing of that name, or
+    in a store that ``open_store`` does not reach.
+    """
+    of = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = of.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(of)
+    roots = [x.getPath().toUri().toString() for x in found or []]
+    if not roots:
+        return None
+    try:
+        open_store(roots[0])
+    except (OSError, ValueError, NotImplementedError):
+        return None
+    tasks = 4 * spark.sparkContext.defaultParallelism
+
+    def inside(uris):
+        for uri in uris:
+            store, at = open_store(uri)
+            if not store.get_file_info(at).is_file:
+                yield from ((uri, *x) for x in _listed(store, at))
+            elif not _hidden(at.rsplit("/", 1)[-1]):
+                yield uri, at, False
+
+    def below(entries):
+        stores = functools.cache(lambda uri: open_store(uri)[0])
+        for uri, at, is_folder in entries:
+            yield from ((uri, x) for x in (_below(stores(uri), at) if is_folder else [at]))
+
+    def contents(files):
+        stores = functools.cache(lambda uri: open_store(uri)[0])
+        for uri, at in files:
+            yield _content(stores(uri), at)
+
+    entries = spark.sparkContext.parallelize(roots, min(len(roots), tasks)).mapPartitions(inside)
+    files = entries.repartition(tasks).mapPartitions(below)
+    return files.repartition(tasks).mapPartitions(contents)
+
+
 def current_rows(table: DataFrame, partition: str) -> DataFrame:
     """Newest version of every partition value of a versioned table.
 

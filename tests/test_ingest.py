@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from furrow import schemas
 from furrow.functions import dates, numbers, text
 from furrow.operators import joins
 from furrow.sources import feed, scans, sinks
@@ -143,3 +144,66 @@ def test_many_small_trial_files_are_read_by_few_tasks(spark, tmp_path):
     trials = scans.scan_trials(spark, str(tmp_path))
     assert trials.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
     assert sorted(int(r.trial_id) for r in trials.where("score = 0.5 and lstm_units = 64").collect()) == list(range(700))
+
+
+TRIAL = '{"trial_id":"%s","hyperparameters":{"values":{"lstm_units":64,"dropout":0.1}},\n"score":0.5,"status":"é"}'
+
+
+def trial_ids(trials):
+    return sorted(r.trial_id for r in trials.collect())
+
+
+def test_the_driver_holds_no_entry_a_trial_file(spark, tmp_path):
+    folder = str(tmp_path / "docs")
+    ids = sorted(str(i) for i in range(100))
+    sinks.write_documents(spark.createDataFrame([(TRIAL % i,) for i in ids], "value string"), folder, per_folder=10)
+    folders = list((tmp_path / "docs").iterdir())
+    assert len(folders) >= 10 and all(1 <= len(list(f.iterdir())) <= 10 for f in folders)
+    for path in (folder, f"file://{folder}", f"{folder}/part=*", f"{folder}/*/*.txt"):
+        trials = scans.scan_trials(spark, path)
+        assert trials.inputFiles() == [] and trial_ids(trials) == ids
+
+
+def test_trial_files_are_read_as_by_the_json_reader_of_spark(spark, tmp_path, monkeypatch):
+    import bz2
+    import gzip
+    import zlib
+
+    from pyspark.errors import AnalysisException
+
+    plain = {f"{e}.json": (TRIAL % e).encode(e) for e in ("utf-8", "utf-8-sig", "utf-16", "utf-16-le", "utf-32-be")}
+    files = plain | {
+        "empty": b"", "end": b"\n", "broken": b"{x", "null": b"null", "cut": (TRIAL % "cut").encode()[:60],
+        "two": (TRIAL % "first" + TRIAL % "second").encode(), "list": f"[{TRIAL % 'a'},{TRIAL % 'b'}]".encode(),
+        "field": b'{"trial_id":"field","score":"abc","hyperparameters":{"values":{"lstm_units":"q","dropout":0.2}}}',
+        "bytes": b'{"trial_id":"x\xff","score":1}', "tail": (TRIAL % "tail").encode() + b"\xff", "nul": b'{"trial_id":"\0"}',
+        "a.gz": gzip.compress((TRIAL % "gz").encode()), "B.GZ": gzip.compress((TRIAL % "GZ").encode()),
+        "a.bz2": bz2.compress((TRIAL % "bz2").encode()), "a.deflate": zlib.compress((TRIAL % "deflate").encode()),
+        "_hidden": (TRIAL % "no").encode(), ".dot": (TRIAL % "no").encode(), "x._COPYING_": (TRIAL % "no").encode(),
+        "_k=v": (TRIAL % "kv").encode(), "sp ace%20": (TRIAL % "space").encode(), "sub/a": (TRIAL % "below").encode(),
+    }
+    keyed = {x: (TRIAL % x).encode() for x in ("k=1/a", "k=2/sub/b", "k=2/_no/c")}
+    for base, contents in (("some files", files), ("keyed", keyed), ("under", {"sub/k=3/d": (TRIAL % "k3").encode()})):
+        for name, raw in contents.items():
+            (tmp_path / base / name).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / base / name).write_bytes(raw)
+
+    def both(path):
+        as_spark = spark.read.schema(schemas.TRIAL).option("multiLine", True).json(path)
+        as_spark = as_spark.select("trial_id", "hyperparameters.values.*", "score", "status")
+        trials = scans.scan_trials(spark, path)
+        assert trials.schema == as_spark.schema
+        assert sorted(map(repr, trials.collect())) == sorted(map(repr, as_spark.collect()))
+        return trials
+
+    paths = [f"{tmp_path}/{x}" for x in ("some files", "some files/*", "some files/utf-8.json", "some files/_hidden", "keyed", "under")]
+    assert [both(p).inputFiles() for p in paths] == [[]] * len(paths)
+    assert trial_ids(scans.scan_trials(spark, paths[4])) == ["k=1/a", "k=2/sub/b"]
+    with pytest.raises(AnalysisException):
+        scans.scan_trials(spark, f"{tmp_path}/none")
+
+    def closed(uri):
+        raise ValueError(uri)
+
+    monkeypatch.setattr(sinks, "open_store", closed)  # a store that only Spark reaches
+    assert len(both(paths[0]).inputFiles()) > 0
